@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ast
 import json
+from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The characters that count as white space.
 SPACE = (
@@ -117,21 +118,36 @@ def _literal_items(texts: pd.Series) -> pd.Series:
     return texts.map(items)
 
 
-def jsonish_list(x) -> Column:
-    """List of names from JSON, a Python literal, pipe or comma text, or one value.
+def with_jsonish_lists(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add lists of names read from text; ``columns`` maps new names to text columns.
 
-    Objects give their name, else english_name, else iso_639_1.
+    The text may be a JSON list or object, a Python literal of that shape, pipe or comma
+    separated, or a single value.  Objects give their name, else english_name, else
+    iso_639_1.  Only text that opens like a list and is no JSON goes through Python.
     """
-    text = F.trim(_col(x))
-    opens = text.startswith("[") | text.startswith("{")
-    wrapped = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
-    parsed = F.from_json(
-        F.when(opens, wrapped), "array<string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
-    )
-    parsed = F.when(F.size(parsed) >= 0, parsed)
-    literal = _literal_items(F.when(opens & parsed.isNull(), text))
-    found = F.coalesce(parsed, literal)
-
+    parsed, literal = {}, {}
+    for out, source in columns.items():
+        text = F.trim(F.col(source))
+        wrapped = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+        strict = F.from_json(
+            F.when(_opens(text), wrapped), "array<string>", {"allowSingleQuotes": "false"}
+        )
+        parsed[f"_json_{out}"] = F.when(F.size(strict) >= 0, strict)
+        rest = F.when(_opens(text) & F.col(f"_json_{out}").isNull(), text)
+        literal[f"_literal_{out}"] = _literal_items(rest)
+    df = df.withColumns(parsed).withColumns(literal)
+    lists = {
+        out: _names(F.trim(F.col(source)), F.coalesce(f"_json_{out}", f"_literal_{out}"))
+        for out, source in columns.items()
+    }
+    return df.withColumns(lists).drop(*parsed, *literal)
+
+
+def _opens(text: Column) -> Column:
+    return text.startswith("[") | text.startswith("{")
+
+
+def _names(text: Column, found: Column) -> Column:
     def name(item: Column) -> Column:
         field = lambda key: F.nullif(F.get_json_object(item, f"$.{key}"), F.lit(""))
         return F.when(

@@ -122,7 +122,8 @@ def weighted_mean(
     """Σ w·v / Σ w per key as ARRAY<FLOAT>, for keys with Σ w above ``min_weight``.
 
     Rows without a vector or with weight 0 do not count.  Partial sums are formed per
-    task before the shuffle, so a hot key sends one vector per map task.
+    task before the shuffle, so a hot key sends one vector per map task.  The last bits
+    of a sum depend on how rows are spread; rounding them off makes the FLOAT repeatable.
     """
     used = df.where(F.col(vector).isNotNull() & (F.col(weight) > 0)).select(
         *keys,
@@ -132,6 +133,7 @@ def weighted_mean(
     grouped = used.groupBy(*keys).agg(
         Summarizer.mean(F.col("_v"), F.col("_w")).alias("_mean"), F.sum("_w").alias("_sum")
     )
+    steady = F.transform(vector_to_array("_mean"), lambda x: F.round(x, 12))
     return grouped.where(F.col("_sum") > min_weight).select(
-        *keys, vector_to_array("_mean").cast("array<float>").alias(name)
+        *keys, steady.cast("array<float>").alias(name)
     )

@@ -54,10 +54,19 @@ def embedding_text(joined: DataFrame) -> DataFrame:
 
     Details' genres win where present; the movie's own title wins over the details'.
     """
-    own = text.genres("genres")
-    other = text.jsonish_list("genres_tmdb")
+    own, other = text.genres("genres"), F.col("_genres")
     title = F.coalesce(F.nullif(text.clean("title"), F.lit("")), text.clean("title_tmdb"))
-    fields = joined.select(
+    listed = text.with_jsonish_lists(
+        joined,
+        {
+            "_genres": "genres_tmdb",
+            "keywords_list": "keywords",
+            "spoken_languages_list": "spoken_languages",
+            "production_countries_list": "production_countries",
+            "production_companies_list": "production_companies",
+        },
+    )
+    fields = listed.select(
         "movieId",
         "imdbId",
         "tmdbId",
@@ -67,10 +76,10 @@ def embedding_text(joined: DataFrame) -> DataFrame:
         text.yes_no("adult").alias("adult"),
         text.clean("original_language").alias("original_language"),
         F.when(F.size(other) > 0, other).otherwise(own).alias("genres_list"),
-        text.jsonish_list("keywords").alias("keywords_list"),
-        text.jsonish_list("spoken_languages").alias("spoken_languages_list"),
-        text.jsonish_list("production_countries").alias("production_countries_list"),
-        text.jsonish_list("production_companies").alias("production_companies_list"),
+        "keywords_list",
+        "spoken_languages_list",
+        "production_countries_list",
+        "production_companies_list",
         F.coalesce("top_user_tags", F.array().cast("array<string>")).alias("top_user_tags"),
         text.clean("tagline").alias("tagline"),
         text.clean("overview").alias("overview"),

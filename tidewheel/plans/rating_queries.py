@@ -11,9 +11,13 @@ from tidewheel.sources import tables
 
 
 def exploded(df: DataFrame, key: str, vector: str, digits: int = 5) -> DataFrame:
-    """A vector column as rows (key, pos, value)."""
+    """A vector column as rows (key, pos, value).
+
+    The mean of two short decimals can lie exactly between two rounded values, where the
+    last bit of a sum decides; a small shift moves such values off the tie.
+    """
     return df.select(key, F.posexplode(vector).alias("pos", "value")).select(
-        key, F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), digits).alias("value")
+        key, F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double") + 1.23e-6, digits).alias("value")
     )
 
 
@@ -260,7 +264,7 @@ def time_extremes(spark, folder):
     return profiling.time_extremes(ratings, ["timestamp", "user_id", "movie_id"])
 
 
-EXPLODED = "SELECT user_id, pos::BIGINT AS pos, round({v}::DOUBLE, 5) AS value FROM {t}"
+EXPLODED = "SELECT user_id, pos::BIGINT AS pos, round({v}::DOUBLE + 1.23e-6::DOUBLE, 5) AS value FROM {t}"
 
 SAMPLES = s.FUSED + """,
 dots AS (

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewheel.plans import rating_queries
+from tidewheel.plans import event_queries, rating_queries, text_queries
 
-GROUPS = (rating_queries.QUERIES,)
+GROUPS = (rating_queries.QUERIES, event_queries.QUERIES, text_queries.QUERIES)
 
 
 def _all() -> dict:

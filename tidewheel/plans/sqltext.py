@@ -55,7 +55,7 @@ def preference(name: str, extra: str = "") -> str:
   SELECT user_id, movie_id, sum(greatest(rating - 3.5::DOUBLE, 0) * time_weight) AS w
   FROM boot WHERE rating > 3.5 {extra} GROUP BY user_id, movie_id),
 {name} AS (
-  SELECT user_id, pos, (sum(w * v) / sum(w))::FLOAT AS value
+  SELECT user_id, pos, round(sum(w * v) / sum(w), 12)::FLOAT AS value
   FROM {name}_w JOIN item_values USING (movie_id)
   GROUP BY user_id, pos HAVING sum(w) > 1e-8)"""
 
