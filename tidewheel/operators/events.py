@@ -150,18 +150,18 @@ def user_activity(auth: DataFrame, user_events: DataFrame) -> DataFrame:
 
 def popular_items(events: DataFrame, limit: int = 50) -> DataFrame:
     """Items by total watch time, then count, then id; rank from 1."""
-    top = (
-        events.groupBy("movie_id")
-        .agg(
-            F.sum("watch_duration_seconds").alias("score"),
-            F.count(F.lit(1)).alias("watch_count"),
-        )
-        .orderBy(F.desc("score"), F.desc("watch_count"), "movie_id")
-        .limit(limit)
+    totals = events.groupBy("movie_id").agg(
+        F.sum("watch_duration_seconds").alias("score"),
+        F.count(F.lit(1)).alias("watch_count"),
     )
+    return rank_items(totals, limit)
+
+
+def rank_items(totals: DataFrame, limit: int = 50) -> DataFrame:
+    order = [F.desc("score"), F.desc("watch_count"), F.asc("movie_id")]
+    top = totals.orderBy(*order).limit(limit)
     # at most ``limit`` rows are left, so ranking them in one task is free
-    order = W.orderBy(F.desc("score"), F.desc("watch_count"), "movie_id")
-    return top.withColumn("rank_position", F.row_number().over(order))
+    return top.withColumn("rank_position", F.row_number().over(W.orderBy(*order)))
 
 
 def popular_list(popular: DataFrame, limit: int = 20) -> DataFrame:
