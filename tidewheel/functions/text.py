@@ -76,12 +76,22 @@ def clean(x) -> Column:
     return collapse(F.regexp_replace(bare, "<[^>]+>", " "))
 
 
-def distinct_ignoring_case(items) -> Column:
-    """Cleaned non-empty strings; of case variants the first spelling stays."""
-    tidy = F.filter(F.transform(_col(items), clean), lambda x: x != "")
-    # one pass over (item, lower case); an item stays if its lower form is first seen here
-    lowered = F.transform(tidy, F.lower)
-    kept = F.filter(tidy, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+def distinct_ignoring_case(items, cleaned: bool = False) -> Column:
+    """Cleaned non-empty strings; of case variants the first spelling stays, in order.
+
+    Variants are found by sorting on the lower-case form, so long lists stay cheap.
+    """
+    tidy = _col(items) if cleaned else F.transform(_col(items), clean)
+    keyed = F.transform(tidy, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x")))
+    # the one-element list gives the sorted entries a name inside the filter
+    firsts = F.transform(
+        F.array(F.sort_array(F.filter(keyed, lambda e: e["x"] != ""))),
+        lambda run: F.filter(
+            run, lambda e, i: (i == 0) | (F.get(run, i - 1)["k"] != e["k"])
+        ),
+    )[0]
+    in_order = F.sort_array(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+    kept = F.transform(in_order, lambda e: e["x"])
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
@@ -155,14 +165,14 @@ def _names(text: Column, found: Column) -> Column:
         ).otherwise(F.coalesce(item, F.lit("None")))
 
     names = F.filter(F.transform(found, name), lambda n: n.isNotNull())
-    single = F.filter(F.array(clean(text)), lambda v: v != "")
-    return (
+    pieces = (
         F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>"))
-        .when(found.isNotNull(), distinct_ignoring_case(names))
-        .when(text.contains("|"), distinct_ignoring_case(F.split(text, r"\|")))
-        .when(text.contains(","), distinct_ignoring_case(F.split(text, ",")))
-        .otherwise(single)
+        .when(found.isNotNull(), names)
+        .when(text.contains("|"), F.split(text, r"\|"))
+        .when(text.contains(","), F.split(text, ","))
+        .otherwise(F.array(text))
     )
+    return distinct_ignoring_case(pieces)
 
 
 def yes_no(x) -> Column:
@@ -187,21 +197,25 @@ def release_year(date, title) -> Column:
     )
 
 
-def item_text(max_overview: int = MAX_OVERVIEW) -> Column:
-    """The labelled lines of an item, empty ones left out, joined by newlines."""
+def item_text(max_overview: int = MAX_OVERVIEW, cleaned: bool = False) -> Column:
+    """The labelled lines of an item, empty ones left out, joined by newlines.
+
+    ``cleaned`` says that the fields went through cleaning before.
+    """
+    tidy = F.col if cleaned else clean
     lines = []
     for field, label in TEXT_LABELS.items():
         if field in LIST_FIELDS:
-            value = F.array_join(as_list(field), ", ")
+            value = F.array_join(F.col(field) if cleaned else as_list(field), ", ")
         elif field == "adult":
-            value = yes_no(field)
+            value = F.col(field) if cleaned else yes_no(field)
         elif field == "overview":
-            value = F.trim(F.substring(clean(field), 1, max_overview))
+            value = F.trim(F.substring(tidy(field), 1, max_overview))
         else:
-            value = clean(field)
+            value = tidy(field)
         shown = value != ""
         if field == "original_title":
-            shown = shown & (F.lower(value) != F.lower(clean("title")))
+            shown = shown & (F.lower(value) != F.lower(tidy("title")))
         lines.append(F.when(shown, F.concat(F.lit(label), value)))
     return F.concat_ws("\n", *lines)
 
@@ -216,12 +230,14 @@ def field_text(field: str) -> Column:
     return F.when(value != "", F.concat(F.lit(TEXT_LABELS[field]), value)).otherwise(F.lit(""))
 
 
-def enough_content() -> Column:
+def enough_content(cleaned: bool = False) -> Column:
     """A title and at least one of genres, overview, tagline, keywords, user tags."""
-    lists = [F.size(as_list(f)) > 0 for f in ("genres_list", "keywords_list", "top_user_tags")]
-    texts = [clean(f) != "" for f in ("overview", "tagline")]
+    tidy = F.col if cleaned else clean
+    items = F.col if cleaned else as_list
+    lists = [F.size(items(f)) > 0 for f in ("genres_list", "keywords_list", "top_user_tags")]
+    texts = [tidy(f) != "" for f in ("overview", "tagline")]
     signal = lists[0] | lists[1] | lists[2] | texts[0] | texts[1]
-    return (clean("title") != "") & signal
+    return (tidy("title") != "") & signal
 
 
 def user_from_name(name) -> Column:

@@ -18,7 +18,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewheel.session import shuffle_partitions
+from tidewheel.session import cut_lineage, shuffle_partitions
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 4096
@@ -220,10 +220,11 @@ def exact_quantiles(
     """Linearly interpolated quantiles per key; ``probs`` maps output names to p.
 
     Equal values are counted first, then the counts are summed along the value, and
-    each quantile is read off at its rank.  One row per key, nulls ignored.
+    each quantile is read off at its rank.  One row per key, nulls ignored.  The counts
+    are written out once, since finding the ranges and summing both read them.
     """
     keys = list(keys)
-    counted = (
+    counted = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))

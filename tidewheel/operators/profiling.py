@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewheel.functions import vectors
 from tidewheel.operators.ordering import exact_quantiles, with_one_row
+from tidewheel.session import cut_lineage
 
 QUANTILES = {"p01": 0.01, "p10": 0.10, "p50": 0.50, "p90": 0.90, "p99": 0.99}
 
@@ -47,6 +48,7 @@ def activity(df: DataFrame, key: str) -> DataFrame:
 
 
 def label_stats(df: DataFrame, label: str = "label") -> DataFrame:
+    df = cut_lineage(df.select(label))
     base = df.agg(
         F.count(label).alias("rows"),
         F.min(label).alias("min_label"),
@@ -110,7 +112,7 @@ def cosine_stats(
     fraction: float | None = 0.02,
     seed: int = 42,
 ) -> DataFrame:
-    seen = _similarity(_sample(df, fraction, seed), user, item).select("cosine_sim")
+    seen = cut_lineage(_similarity(_sample(df, fraction, seed), user, item).select("cosine_sim"))
     base = seen.agg(
         F.count(F.lit(1)).alias("sample_count"),
         F.min("cosine_sim").alias("min_cosine"),

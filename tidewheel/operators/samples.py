@@ -103,9 +103,9 @@ def _newest_eligible(files: DataFrame, versions: DataFrame) -> DataFrame:
     """Per file, the newest version of any user that is not later than the file."""
     # version names are a directory listing: one short array, not data-sized
     times = versions.agg(F.collect_set("version_time")).scalar()
-    return files.select(
+    return files.withColumn("_times", times).select(
         "file_id",
-        F.array_max(F.filter(times, lambda t: t <= F.col("input_time"))).alias("version_time"),
+        F.array_max(F.filter("_times", lambda t: t <= F.col("input_time"))).alias("version_time"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidewheel.operators import profiles, samples, splits, timeline
+from tidewheel.session import cut_lineage
 
 
 def offline_samples(ratings: DataFrame, items: DataFrame, version: str = "v1") -> DataFrame:
@@ -27,6 +28,7 @@ def split(found: DataFrame, strategy: str, label) -> DataFrame:
     if strategy == "per_user":
         placed = splits.split_per_user(found, order=("timestamp", "movie_id", "label"))
     elif strategy == "by_position":
+        found = cut_lineage(found)  # read three times: ranges, their sizes, the rows
         placed = splits.split_by_position(found, order=("user_id", "timestamp", "movie_id", "label"))
     else:
         raise ValueError(f"unknown split strategy: {strategy}")
@@ -38,5 +40,5 @@ def online_dataset(
 ) -> DataFrame:
     """Watch events to labelled and split rows, in event order."""
     found = samples.online_samples(events, versions, items, threshold)
-    placed = splits.split_by_position(found, order=("event_id",))
+    placed = splits.split_by_position(cut_lineage(found), order=("event_id",))
     return splits.label_online(placed, cap)

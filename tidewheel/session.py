@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,7 +65,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Write ``df`` to the shared folder and go on from there."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    Use it where a costly input is read by several jobs.  The table outlives lost
+    executors; the folder is the cluster's to clear.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tidewheel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
