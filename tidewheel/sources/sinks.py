@@ -28,7 +28,7 @@ def stringify(df: DataFrame) -> DataFrame:
         kind = field.dataType
         column = F.col(f"`{field.name}`")
         if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-            column = F.to_json(_sorted_keys(column, kind))
+            column = F.to_json(_sorted_keys(column, kind), {"ignoreNullFields": "false"})
         out.append(column.alias(field.name))
     return df.select(*out)
 
@@ -40,7 +40,7 @@ def _sorted_keys(column, kind):
         return F.when(column.isNotNull(), rebuilt)
     if isinstance(kind, T.MapType):
         return F.map_from_entries(F.array_sort(F.map_entries(column)))
-    if isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType)):
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType)):
         return F.transform(column, lambda x: _sorted_keys(x, kind.elementType))
     return column
 
