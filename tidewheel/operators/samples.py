@@ -14,22 +14,30 @@ def offline_samples(remaining: DataFrame, users: DataFrame, items: DataFrame) ->
     only below its size threshold, else it sort-merges and splits skewed partitions.
     """
     require_columns(remaining, ["user_id", "movie_id", "rating", "timestamp"], "remaining events")
+    return attach_vectors(remaining, users, items).select(
+        "user_id",
+        "movie_id",
+        "timestamp",
+        "event_time",
+        "future_event_order",
+        F.col("rating").cast("double").alias("label"),
+        "user_embedding",
+        "movie_embedding",
+        "profile_version",
+    )
+
+
+def attach_vectors(rows: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows whose user and item both have a vector, with the vectors."""
     require_columns(users, ["user_id", "user_embedding"], "users")
     require_columns(items, ["movie_id", "movie_embedding"], "items")
-    return (
-        remaining.join(items, "movie_id")
-        .join(users, "user_id")
-        .select(
-            "user_id",
-            "movie_id",
-            "timestamp",
-            "event_time",
-            "future_event_order",
-            F.col("rating").cast("double").alias("label"),
-            "user_embedding",
-            "movie_embedding",
-            "profile_version",
-        )
+    return rows.join(items, "movie_id").join(users, "user_id")
+
+
+def matched(rows: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows ``attach_vectors`` would keep, without the vectors: only ids are shuffled."""
+    return rows.join(items.select("movie_id"), "movie_id", "left_semi").join(
+        users.select("user_id"), "user_id", "left_semi"
     )
 
 
@@ -109,29 +117,38 @@ def _newest_eligible(files: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
-def online_samples(
+def online_matched(
     events: DataFrame, versions: DataFrame, items: DataFrame, threshold: float = 0.8
 ) -> DataFrame:
-    """Events with the as-of user vector and the item vector, label = raw watch seconds."""
+    """Events that get both vectors, with the version to use, before the vectors are joined."""
     require_columns(events, ["user_id", "movie_id", "watch_duration_seconds"], "events")
     picks = as_of_picks(events, versions, threshold).select("file_id", "user_id", "version_time")
     return (
-        events.join(picks, ["file_id", "user_id"])
-        .join(items, "movie_id")
-        .join(versions.select("user_id", "version_time", "user_embedding"), ["user_id", "version_time"])
+        events.join(items.select("movie_id"), "movie_id", "left_semi")
+        .join(picks, ["file_id", "user_id"])
         .select(
             "file_id",
             "event_id",
             "user_id",
             "movie_id",
             "version_time",
-            "user_embedding",
-            "movie_embedding",
             F.col("watch_duration_seconds").cast("double").alias("label"),
         )
     )
 
 
+def attach_online_vectors(rows: DataFrame, versions: DataFrame, items: DataFrame) -> DataFrame:
+    vectors = versions.select("user_id", "version_time", "user_embedding")
+    return rows.join(items, "movie_id").join(vectors, ["user_id", "version_time"])
+
+
+def online_samples(
+    events: DataFrame, versions: DataFrame, items: DataFrame, threshold: float = 0.8
+) -> DataFrame:
+    """Events with the as-of user vector and the item vector, label = raw watch seconds."""
+    return attach_online_vectors(online_matched(events, versions, items, threshold), versions, items)
+
+
 def coverage_report(events: DataFrame, versions: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per input file: rows, rows of matched users, their share, versions picked from."""
     files = events.groupBy("file_id").agg(F.count(F.lit(1)).alias("file_rows"))

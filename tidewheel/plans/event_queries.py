@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import labels, vectors
 from tidewheel.operators import (
-    cleaning, events, metrics, profiles, retrieval, samples, scoring, splits, timeline,
+    cleaning, events, metrics, profiles, retrieval, samples, scoring,
 )
 from tidewheel.plans import datasets, sqltext as s
 from tidewheel.plans.rating_queries import SAMPLES, exploded
+from tidewheel.session import cut_lineage
 from tidewheel.sources import tables
 
 
@@ -215,9 +216,8 @@ def _users(spark, folder):
 
 
 def _retrieved(spark, folder, k=10):
-    boot = timeline.base_events(timeline.bootstrap_cut(tables.ratings(spark, folder)))
     items = tables.items(spark, folder)
-    fused = profiles.fused_users(profiles.base_user_profiles(boot, items))
+    _, fused = datasets.offline_inputs(tables.ratings(spark, folder), items)
     return retrieval.top_items(fused, items, k)
 
 
@@ -227,24 +227,26 @@ def user_candidates(spark, folder):
 
 def fallback_candidates(spark, folder):
     found = retrieval.with_popular_fallback(
-        _users(spark, folder), _retrieved(spark, folder), _popular(spark, folder)
+        _users(spark, folder), cut_lineage(_retrieved(spark, folder)), _popular(spark, folder)
     )
     return found.select("user_id", "movie_id", F.round("score", 4).alias("score"), "rank", "category")
 
 
 def merge_candidates(spark, folder):
+    found = cut_lineage(_retrieved(spark, folder))
     popular = retrieval.with_popular_fallback(
-        _users(spark, folder), _retrieved(spark, folder).where(F.lit(False)), _popular(spark, folder)
+        _users(spark, folder), found.where(F.lit(False)), _popular(spark, folder)
     )
-    found = retrieval.merge_candidates(_retrieved(spark, folder), popular, 15)
+    found = retrieval.merge_candidates(found, popular, 15)
     return found.select("user_id", "movie_id", F.round("score", 4).alias("score"), "source", "rank")
 
 
 def _requests(spark, folder):
     """One request per user with a fused vector and the user's remaining items as candidates."""
-    pairs = datasets.offline_samples(tables.ratings(spark, folder), tables.items(spark, folder))
-    once = pairs.select("user_id", "movie_id", "user_embedding", "movie_embedding").dropDuplicates(["user_id", "movie_id"])
-    return once.select(
+    items = tables.items(spark, folder)
+    remaining, users = datasets.offline_inputs(tables.ratings(spark, folder), items)
+    once = remaining.select("user_id", "movie_id").distinct()
+    return samples.attach_vectors(once, users, items).select(
         F.col("user_id").alias("request_id"), "movie_id", "user_embedding", "movie_embedding",
         F.lit(5).alias("request_k"),
     )
@@ -291,9 +293,9 @@ def enrich_results(spark, folder):
 
 def reranked_with_origin(spark, folder):
     """Candidates re-ranked by distance, beside their rank as candidates."""
-    before = _retrieved(spark, folder).select(F.col("user_id").alias("request_id"), "movie_id", "rank", "score")
+    before = cut_lineage(_retrieved(spark, folder)).select(F.col("user_id").alias("request_id"), "movie_id", "rank", "score")
     after = scoring.rank_scores(
-        before.select("request_id", "movie_id", (-F.col("score")).alias("score")), k=F.lit(5)
+        before.select("request_id", "movie_id", (-F.col("score")).alias("score")), k=5
     )
     found = scoring.with_candidate_rank(after, before)
     return found.select("request_id", "movie_id", "rank", "candidate_rank")

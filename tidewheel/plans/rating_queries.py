@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewheel.functions import vectors
 from tidewheel.operators import cleaning, profiles, profiling, samples, splits, timeline
 from tidewheel.plans import datasets, sqltext as s
+from tidewheel.session import cut_lineage
 from tidewheel.sources import tables
 
 
@@ -88,7 +89,8 @@ def short_profile(spark, folder):
 
 
 def _profiles(spark, folder):
-    return profiles.base_user_profiles(_boot(spark, folder), tables.items(spark, folder))
+    base = datasets.base_tables(tables.ratings(spark, folder), tables.items(spark, folder))
+    return base["base_user_profiles"]
 
 
 def user_profiles(spark, folder):
@@ -120,7 +122,7 @@ def missing_vectors(spark, folder):
 
 def build_counters(spark, folder):
     ratings = tables.ratings(spark, folder)
-    cut = timeline.bootstrap_cut(ratings)
+    cut = cut_lineage(timeline.bootstrap_cut(ratings))
     found = profiles.base_user_profiles(timeline.base_events(cut), tables.items(spark, folder))
     return timeline.build_counters(ratings, cut, found)
 
