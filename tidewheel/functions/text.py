@@ -72,8 +72,11 @@ def collapse(x) -> Column:
 
 def clean(x) -> Column:
     """``collapse`` after NUL characters and ``<...>`` tags became blanks."""
-    bare = F.regexp_replace(collapse(x), r"\x00", " ")
-    return collapse(F.regexp_replace(bare, "<[^>]+>", " "))
+    text = _col(x).cast("string")
+    bare = F.regexp_replace(F.translate(collapse(text), "\x00", " "), "<[^>]+>", " ")
+    # most strings hold neither, and need only the first step
+    marked = F.contains(text, F.lit("<")) | F.contains(text, F.lit("\x00"))
+    return F.when(marked, collapse(bare)).otherwise(collapse(text))
 
 
 def distinct_ignoring_case(items, cleaned: bool = False) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -51,17 +52,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
-    A local temporary folder is used only where the setting is absent and the
-    master is local, i.e. in tests.
+    A local temporary folder is used only where the setting is absent and the master is
+    local, i.e. in tests.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tidewheel-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _test_folder(spark.sparkContext.applicationId)
+
+
+@functools.lru_cache(maxsize=None)
+def _test_folder(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="tidewheel-")
 
 
 def cut_lineage(df):
