@@ -128,13 +128,16 @@ def vector_version_time(name: Column | str) -> Column:
     )
 
 
-def read_input_versions(spark: SparkSession, root: str) -> DataFrame:
-    """Watch events of all exports: file_id, input_version and input_time beside the columns.
+def read_input_versions(
+    spark: SparkSession, root: str, names: Sequence[str] | None = None
+) -> DataFrame:
+    """Watch events of exports: file_id, input_version and input_time beside the columns.
 
     Files lie in ``versions/<name>/user_event`` or ``user_events``; folders whose name
-    is no time are left out.
+    is no time are left out.  With ``names`` only these versions are listed and read.
     """
-    found = read_tree(spark, f"{root.rstrip('/')}/versions/*/user_event*")
+    wanted = "*" if names is None else "{" + ",".join(names) + "}"
+    found = read_tree(spark, f"{root.rstrip('/')}/versions/{wanted}/user_event*")
     named = found.withColumn("input_version", version_name(F.col("file_id")))
     return named.withColumn("input_time", input_version_time(F.col("input_version"))).where(
         F.col("input_time").isNotNull()
