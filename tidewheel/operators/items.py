@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewheel.functions import text, vectors
+from tidewheel.session import cut_lineage
 
 
 def linked_details(details: DataFrame, links: DataFrame) -> DataFrame:
@@ -89,6 +90,8 @@ def embedding_text(joined: DataFrame) -> DataFrame:
         text.clean("tagline").alias("tagline"),
         text.clean("overview").alias("overview"),
     )
+    # Spark would move the filter below the cleaning and clean every field twice
+    fields = cut_lineage(fields)
     return (
         fields.where(text.enough_content(cleaned=True))
         .withColumn("embedding_text", text.item_text(cleaned=True))
