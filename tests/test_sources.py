@@ -182,6 +182,28 @@ def test_state_table(spark, tmp_path):
     old = table.path()
     table.replace(rows((9, 9)))
     assert [tuple(r) for r in table.read().collect()] == [(9, 9)] and table.path() != old
+    assert files.folders(spark, str(tmp_path / "t")) == ["step-000000002", "step-000000003", "step-000000004"]
+
+
+def test_change_log(spark, tmp_path):
+    log = sinks.ChangeLog(spark, str(tmp_path / "c"), ["k"])
+    with pytest.raises(FileNotFoundError):
+        log.read()
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v long")
+    state = lambda: sorted(tuple(r) for r in log.read().collect())
+    log.write(rows((1, 1), (2, 1)), 0)
+    log.write(rows((2, 2)), 1)
+    log.write(rows((2, 2)), 1)  # the same batch again
+    assert state() == [(1, 1), (2, 2)]
+    log.compact()
+    assert state() == [(1, 1), (2, 2)]
+    log.write(rows((1, 3), (3, 3)), 2)
+    assert state() == [(1, 3), (2, 2), (3, 3)]
+    log.compact()
+    assert state() == [(1, 3), (2, 2), (3, 3)]
+    assert files.folders(spark, str(tmp_path / "c" / "log")) == ["batch_id=2"]
+    log.compact()
+    assert state() == [(1, 3), (2, 2), (3, 3)]
 
 
 def test_offline_dataset_by_position(spark, folder):

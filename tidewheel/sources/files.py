@@ -27,6 +27,11 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in found if s.isDirectory())
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing points to any more."""
+    _fs(spark, path).delete(_path(spark, path), True)
+
+
 def has_parquet(spark: SparkSession, path: str) -> bool:
     """Whether some Parquet file lies anywhere below ``path``."""
     if not exists(spark, path):

@@ -109,11 +109,13 @@ class StateTable:
     """A table replaced as a whole: each write fills a new folder, then moves a pointer.
 
     Readers follow the pointer, so they see the old or the new rows, never half of both.
+    The last ``keep`` folders stay for readers that are still at it; older ones go.
     """
 
-    def __init__(self, spark, root: str):
+    def __init__(self, spark, root: str, keep: int = 3):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keep = keep
 
     def _pointer(self) -> dict:
         return files.read_json(self.spark, f"{self.root}/current.json", {})
@@ -141,6 +143,9 @@ class StateTable:
             f"{self.root}/current.json",
             {"folder": folder, "step": step, "batch_id": self.last_batch() if batch_id is None else batch_id},
         )
+        for name in files.folders(self.spark, self.root):
+            if name.startswith("step-") and int(name[5:]) <= step - self.keep:
+                files.drop_folder(self.spark, f"{self.root}/{name}")
 
     def add_counts(self, df: DataFrame, keys: Sequence[str], counts: Sequence[str], latest: Sequence[str] = (),
                    batch_id: int | None = None) -> None:
@@ -214,6 +219,11 @@ class ChangeLog:
         return newest.select(*self.keys, "_row.*", *(["batch_id"] if with_batch else []))
 
     def compact(self) -> None:
-        names = files.folders(self.spark, f"{self.root}/log")
-        if names:
-            self.base.replace(self.read(), max(int(n.split("=")[1]) for n in names))
+        """Fold the folders into the snapshot; folders of an earlier snapshot are removed."""
+        before = self.base.last_batch()
+        numbers = {n: int(n.split("=")[1]) for n in files.folders(self.spark, f"{self.root}/log")}
+        if max(numbers.values(), default=before) > before:
+            self.base.replace(self.read(), max(numbers.values()))
+        for name, number in numbers.items():
+            if number <= before:
+                files.drop_folder(self.spark, f"{self.root}/log/{name}")
