@@ -122,3 +122,13 @@ def test_text_order_is_refused(spark):
     df = spark.createDataFrame([("a", "b")], "k string, o string")
     with pytest.raises(ValueError):
         ordering.number_rows(df, [], ["o"])
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot_rows", [1_000_000, 50])
+def test_join_per_key(table, how, hot_rows):
+    stats = table.where("user <> 3").groupBy("user").agg(F.max("ts").alias("last"))
+    got = ordering.join_per_key(table, stats, ["user"], ["id"], how, hot_rows)
+    want = table.join(stats, "user", how)
+    columns = ["id", "user", "ts", "x", "last"]
+    assert sorted(got.select(*columns).collect(), key=str) == sorted(want.select(*columns).collect(), key=str)

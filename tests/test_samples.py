@@ -80,8 +80,9 @@ def profile_loop(rows, last_ts):
     return (None if weight <= 1e-8 else total / weight), used, missing
 
 
-def test_user_profiles(ratings, items):
-    boot = timeline.base_events(timeline.bootstrap_cut(ratings))
+@pytest.mark.parametrize("hot_rows", [1_000_000, 10])
+def test_user_profiles(ratings, items, hot_rows):
+    boot = timeline.base_events(timeline.bootstrap_cut(ratings, hot_rows=hot_rows), hot_rows=hot_rows)
     got = {r["user_id"]: r for r in profiles.base_user_profiles(boot, items).collect()}
     want = bootstrap(histories())
     assert set(got) == set(want)

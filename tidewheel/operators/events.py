@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidewheel.operators.ordering import HOT_ROWS, join_per_key
+
 AUTH_FIELDS = "user_id string, session_id string, event_type string, event_time string, metadata_json string"
 USER_FIELDS = (
     "user_id string, movie_id string, session_id string, event_time string, watch_duration_seconds string"
@@ -178,10 +180,11 @@ def affected_users(events: DataFrame, last_id: int) -> DataFrame:
     return events.where(F.col("event_id") > last_id).select("user_id").distinct()
 
 
-def session_conflicts(events: DataFrame) -> DataFrame:
+def session_conflicts(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Events whose session was first used by another user."""
     bound = events.groupBy("session_id").agg(F.min_by("user_id", "event_id").alias("bound_user_id"))
-    return events.join(bound, "session_id").where(F.col("user_id") != F.col("bound_user_id"))
+    found = join_per_key(events, bound, ["session_id"], ["event_id"], hot_rows=hot_rows)
+    return found.where(F.col("user_id") != F.col("bound_user_id"))
 
 
 def parse_event_time(text) -> Column:

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewheel.operators.ordering import HOT_ROWS, exact_quantiles, number_rows, running, sliding, with_one_row
+from tidewheel.operators.ordering import (
+    HOT_ROWS, exact_quantiles, join_per_key, number_rows, running, sliding, with_one_row,
+)
 
 # Histogram edges of the serving metrics.
 SCORE_EDGES = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
@@ -272,7 +274,7 @@ def circuit_breaker(
     )
     after = F.coalesce(F.col("position") >= F.col("_first"), F.lit(False))
     return (
-        seen.join(first, keys, "left")
+        join_per_key(seen, first, keys, ["position"], "left", hot_rows)
         .withColumn("mode", F.when(after, F.lit("fallback")).otherwise(F.lit("model")))
         .drop("_used", "_rows", "_first")
     )

@@ -106,8 +106,7 @@ def running(
     and is always cut into ranges.
     """
     totals = dict(totals or {})
-    spark = df.sparkSession
-    parts = max(2, shuffle_partitions(spark))
+    parts = max(2, shuffle_partitions(df.sparkSession))
     kept = df.columns
     df = df.select("*", *[e.alias(f"_x_{n}") for n, e in sums.items()])
 
@@ -121,12 +120,7 @@ def running(
                 *[F.sum(f"_x_{n}").over(line).alias(n) for n in sums],
                 *[F.sum(f"_x_{s}").over(frame).alias(t) for t, s in totals.items()],
             )
-        schema = df.select(*keys).schema
-        marks = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], schema)
-        marks = marks.withColumn("_hot", F.lit(True))
-        match = _null_safe(df, marks, keys)
-        df = df.join(F.broadcast(marks), match, "left").select(df["*"], marks["_hot"])
-        df = df.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        df = _mark_hot(df, _hot_table(df, keys, hot), keys)
     else:
         df = df.withColumn("_hot", F.lit(True))
 
@@ -159,6 +153,46 @@ def running(
     )
 
 
+def _hot_table(df: DataFrame, keys: Sequence[str], hot: list) -> DataFrame:
+    """The hot keys as a table of at most ``MAX_HOT_KEYS`` rows."""
+    schema = df.select(*keys).schema
+    rows = [tuple(r[k] for k in keys) for r in hot]
+    return df.sparkSession.createDataFrame(rows, schema).withColumn("_hot", F.lit(True))
+
+
+def _mark_hot(df: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    marked = df.join(F.broadcast(marks), _null_safe(df, marks, keys), "left")
+    return marked.select(df["*"], F.coalesce(marks["_hot"], F.lit(False)).alias("_hot"))
+
+
+def join_per_key(
+    df: DataFrame,
+    stats: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join a table with one row per key to all rows of that key.
+
+    AQE splits a skewed side only when both sides come straight from a shuffle, which an
+    aggregate does not.  So rows of a hot key are dealt over as many tasks as there are
+    shuffle partitions, by a hash of the ``spread`` columns, and only the hot keys' rows
+    of ``stats`` are repeated to meet them.
+    """
+    keys = list(keys)
+    hot = hot_keys(df, keys, hot_rows)
+    if not hot:
+        return df.join(stats, keys, how)
+    salts = max(2, shuffle_partitions(df.sparkSession))
+    marks = _hot_table(df, keys, hot)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = _mark_hot(df, marks, keys).withColumn("_salt", salt).drop("_hot")
+    right = _mark_hot(stats, marks, keys).withColumn("_salt", F.explode(places)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     match = F.lit(True)
     for name in names:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewheel.operators.cleaning import require_columns
+from tidewheel.operators.ordering import join_per_key
 
 
 def offline_samples(remaining: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -123,9 +124,9 @@ def online_matched(
     """Events that get both vectors, with the version to use, before the vectors are joined."""
     require_columns(events, ["user_id", "movie_id", "watch_duration_seconds"], "events")
     picks = as_of_picks(events, versions, threshold).select("file_id", "user_id", "version_time")
+    known = events.join(items.select("movie_id"), "movie_id", "left_semi")
     return (
-        events.join(items.select("movie_id"), "movie_id", "left_semi")
-        .join(picks, ["file_id", "user_id"])
+        join_per_key(known, picks, ["file_id", "user_id"], ["event_id"])
         .select(
             "file_id",
             "event_id",

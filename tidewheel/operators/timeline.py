@@ -8,7 +8,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewheel.operators.ordering import HOT_ROWS, number_rows
+from tidewheel.operators.ordering import HOT_ROWS, join_per_key, number_rows
 
 ORDER = ("timestamp", "source_key", "movie_id", "rating")
 
@@ -65,7 +65,9 @@ def bootstrap_cut(
     )
 
 
-def base_events(cut: DataFrame, half_life_days: float = 180.0, positive_from: float = 4.0) -> DataFrame:
+def base_events(
+    cut: DataFrame, half_life_days: float = 180.0, positive_from: float = 4.0, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Bootstrap rows with event time, positive flag, centred rating and time weight."""
     boot = cut.where(F.col("part") == "bootstrap")
     per_user = boot.groupBy("user_id").agg(
@@ -73,7 +75,7 @@ def base_events(cut: DataFrame, half_life_days: float = 180.0, positive_from: fl
     )
     decay = math.log(2.0) / max(half_life_days, 1)
     age_days = (F.col("_last_ts") - F.col("timestamp")).cast("double") / F.lit(86400.0)
-    return boot.join(per_user, "user_id").select(
+    return join_per_key(boot, per_user, ["user_id"], ["event_order"], hot_rows=hot_rows).select(
         "user_id",
         "movie_id",
         "rating",

@@ -42,10 +42,10 @@ def item_vector_build(spark: SparkSession, texts: DataFrame, out: str, encode=No
 
 
 def read_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Valid item vectors of one length, the last of several rows per id."""
+    """Valid item vectors of one length, the last of several rows per id, as a written table."""
     raw = readers.read_item_vectors(spark, folder)
     dim = cleaning.vector_length(raw, "embedding")
-    return cleaning.item_vectors(raw, order="ingest_order", dim=dim)
+    return cut_lineage(cleaning.item_vectors(raw, order="ingest_order", dim=dim))
 
 
 def profile_build(
@@ -169,7 +169,7 @@ def online_build(
         return {"status": "ok", "version": None}
     events = readers.read_input_versions(spark, inputs, holding)
     made = samples.online_samples(
-        events, readers.read_vector_versions(spark, vectors), read_items(spark, item_folder), threshold
+        events, cut_lineage(readers.read_vector_versions(spark, vectors)), read_items(spark, item_folder), threshold
     )
     manifest = data.write(
         {"parts": made}, None, {"input_versions": sorted(new, key=lambda n: new[n])}, rows_per_file
