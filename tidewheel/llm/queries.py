@@ -6,10 +6,15 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import exact, licenses, mixing
+from tidewheel.llm import exact, licenses, mixing, warc
 from tidewheel.llm.tables import table
 
 
+def op1_warc_members(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archive_pages(table(spark, folder, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_content_sort(spark: SparkSession, folder: str) -> DataFrame:
     return exact.content_groups(table(spark, folder, "documents"), keep="largest")
 
@@ -115,6 +120,7 @@ FROM w LEFT JOIN f ON w.doc_id = f.doc_id
 """
 
 QUERIES = {
+    "op1_warc_members": (op1_warc_members, None),
     "op2_content_sort": (op2_content_sort, OP2_SQL),
     "op6_pareto_mix": (op6_pareto_mix, OP6_SQL),
     "op9_license_scan": (op9_license_scan, OP9_SQL),
