@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewheel.llm import exact, licenses, mixing, warc
+from tidewheel.llm import exact, licenses, mixing, toxicity, warc
 from tidewheel.llm.tables import table
 
 
@@ -119,11 +119,20 @@ SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
 FROM w LEFT JOIN f ON w.doc_id = f.doc_id
 """
 
+def op10_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    net = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs, net, keep=["doc_id"]).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_warc_members": (op1_warc_members, None),
     "op2_content_sort": (op2_content_sort, OP2_SQL),
     "op6_pareto_mix": (op6_pareto_mix, OP6_SQL),
     "op9_license_scan": (op9_license_scan, OP9_SQL),
+    "op10_toxicity_cnn": (op10_toxicity_cnn, None),
 }
 
 
