@@ -21,7 +21,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tidewheel.llm.tables import partitions, stored, text_or_empty
+from tidewheel.llm.tables import count_not_above, partitions, stored, text_or_empty
 
 SAMPLED_PER_SLICE = 32
 SLICES_PER_TASK = 4
@@ -99,7 +99,7 @@ def _runs(rows: DataFrame, keep: str) -> DataFrame:
     splitters, count = _splitters(rows, key)
     keyed = rows.withColumn("_key", key)
     if count:
-        keyed = keyed.withColumn("_slice", _slice(splitters, count))
+        keyed = keyed.withColumn("_slice", count_not_above(splitters, count, F.col("_key")))
         below, above = (F.get(splitters, F.col("_slice") - 1), F.get(splitters, F.col("_slice")))
         # At either end a neighbour is absent and compares as null.
         touched = F.coalesce(F.col("_key.h") == below["h"], F.lit(False)) | F.coalesce(
@@ -145,18 +145,6 @@ def _splitters(rows: DataFrame, key: Column) -> tuple[Column, int]:
     return F.from_json(F.lit(json.dumps(cuts)), shape), len(cuts)
 
 
-def _slice(splitters: Column, count: int) -> Column:
-    """How many splitters are not above the row's key, by binary search."""
-    steps = [1 << b for b in reversed(range(count.bit_length()))]
-
-    def step(low: Column, width: Column) -> Column:
-        to = low + width
-        fits = (to <= count) & (F.get(splitters, to - 1) <= F.col("_key"))
-        return F.when(fits, to).otherwise(low)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
-
-
 def _stitched(edge: DataFrame, keep: str) -> DataFrame:
     """For runs of texts that a splitter touches: the keeper and size over all slices.
 

@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewheel.llm import exact, licenses, mixing, toxicity, warc
+from tidewheel.llm import exact, fingerprint, licenses, mixing, toxicity, warc
 from tidewheel.llm.tables import table
 
 
@@ -78,6 +78,10 @@ FROM c
 """
 
 
+def op8_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.compared_with_edits(table(spark, folder, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -131,6 +135,7 @@ QUERIES = {
     "op1_warc_members": (op1_warc_members, None),
     "op2_content_sort": (op2_content_sort, OP2_SQL),
     "op6_pareto_mix": (op6_pareto_mix, OP6_SQL),
+    "op8_multiset_hash": (op8_multiset_hash, None),
     "op9_license_scan": (op9_license_scan, OP9_SQL),
     "op10_toxicity_cnn": (op10_toxicity_cnn, None),
 }

@@ -33,6 +33,17 @@ def partitions(df: DataFrame) -> int:
     return max(2, shuffle_partitions(df.sparkSession))
 
 
+def count_not_above(splitters: Column, count: int, key: Column) -> Column:
+    """How many of the ``count`` sorted splitters are not above ``key``, by binary search."""
+    steps = [1 << b for b in reversed(range(count.bit_length()))]
+
+    def step(low: Column, width: Column) -> Column:
+        to = low + width
+        return F.when((to <= count) & (F.get(splitters, to - 1) <= key), to).otherwise(low)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step) if steps else F.lit(0)
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): the smallest node of each connected component, by star contraction.
 
