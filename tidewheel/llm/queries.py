@@ -6,7 +6,8 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewheel.llm import exact, fingerprint, licenses, mixing, toxicity, warc
+from tidewheel.llm import exact, fingerprint, licenses, mixing, packing, tokens, toxicity, warc
+from tidewheel.llm.encoders import default_path
 from tidewheel.llm.tables import table
 
 
@@ -28,6 +29,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+def op3_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), default_path("word_bpe_49k.json"))
+
+
 def op6_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), carry=["doc_id"]).drop("copies")
 
@@ -78,6 +83,10 @@ FROM c
 """
 
 
+def op7_digest_cache(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents"), default_path("piece_bpe_32k.model"))
+
+
 def op8_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compared_with_edits(table(spark, folder, "documents"))
 
@@ -134,7 +143,9 @@ def op10_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_warc_members": (op1_warc_members, None),
     "op2_content_sort": (op2_content_sort, OP2_SQL),
+    "op3_curve_packing": (op3_curve_packing, None),
     "op6_pareto_mix": (op6_pareto_mix, OP6_SQL),
+    "op7_digest_cache": (op7_digest_cache, None),
     "op8_multiset_hash": (op8_multiset_hash, None),
     "op9_license_scan": (op9_license_scan, OP9_SQL),
     "op10_toxicity_cnn": (op10_toxicity_cnn, None),
