@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewheel.llm import exact, fingerprint, licenses, mixing, packing, shards, tokens, toxicity, warc
+from tidewheel.llm import exact, fingerprint, licenses, mixing, near, packing, shards, tokens, toxicity, warc
 from tidewheel.llm.encoders import default_path
 from tidewheel.llm.tables import table
 
@@ -37,6 +37,10 @@ def op4_training_order(spark: SparkSession, folder: str) -> DataFrame:
     return shards.training_order(table(spark, folder, "documents"), default_path("word_bpe_49k.json"))
 
 
+def op5_jaccard_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
 def op6_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), carry=["doc_id"]).drop("copies")
 
@@ -149,6 +153,7 @@ QUERIES = {
     "op2_content_sort": (op2_content_sort, OP2_SQL),
     "op3_curve_packing": (op3_curve_packing, None),
     "op4_training_order": (op4_training_order, None),
+    "op5_jaccard_forest": (op5_jaccard_forest, None),
     "op6_pareto_mix": (op6_pareto_mix, OP6_SQL),
     "op7_digest_cache": (op7_digest_cache, None),
     "op8_multiset_hash": (op8_multiset_hash, None),
