@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidewheel.llm.tables import count_not_above, partitions, text_or_empty
+from tidewheel.llm.tables import count_not_above, free_name, partitions, text_or_empty
 from tidewheel.llm.words import Words, blocks, raw_bytes
 
 EXACT = 8
@@ -203,7 +203,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerpri
                 out += [encode(e, k) for e, k in zip(*vectors(batch.column(0).slice(start, stop - start).to_pylist()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string())], [*kept, name])
 
-    return docs.select(text_or_empty(text_col).alias("_text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return docs.select(text_or_empty(text_col).alias(free_name(docs, "hashed_text")), *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
 def compared_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -160,9 +160,10 @@ def _ranked(rows: DataFrame, plan: DataFrame, cap: int, seed: str) -> DataFrame:
     )
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it has copies."""
-    mixed = mix(docs.select(F.struct("*").alias("_doc"), "*"), carry=["_doc"], **options)
+    slim = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    mixed = mix(slim, id_col="id", carry=["_doc"], **options)
     return (
         mixed.where("copies > 0")
         .select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))

@@ -293,6 +293,8 @@ def _tiles(rows: DataFrame, classes: DataFrame, grouped: DataFrame, threshold: f
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id stands for its group of near duplicates."""
-    heads = near_duplicates(docs, id_col, **options).where(F.col(id_col).eqNullSafe(F.col("group_id"))).select(id_col)
-    return docs.join(stored(heads.distinct(), "heads"), id_col, "left_semi")
+    """The rows of ``docs`` whose id is the smallest of its group of near duplicates; rows
+    without an id stay."""
+    told = near_duplicates(docs, id_col, **options)
+    beaten = told.where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("_beaten")).distinct()
+    return docs.join(stored(beaten, "beaten"), docs[id_col] == F.col("_beaten"), "left_anti")

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tidewheel.llm.tables import free_name
 from tidewheel.llm.words import blocks, words_in
 
 BUCKETS = 1 << 22
@@ -300,7 +301,7 @@ def scored(docs: DataFrame, net: Net, text_col: str = "text", keep: list[str] |
             score = pa.array(net.scores(batch.column(0)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], [*kept, name])
 
-    return docs.select(F.col(text_col).cast("string").alias("_scored_text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).cast("string").alias(free_name(docs, "scored_text")), *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, net: Net, lang_col: str = "lang") -> DataFrame:
@@ -310,5 +311,5 @@ def clean(docs: DataFrame, net: Net, lang_col: str = "lang") -> DataFrame:
     for lang, value in net.thresholds.items():
         if lang is not None and lang_col in docs.columns:
             limit = F.when(F.col(lang_col) == lang, F.lit(value)).otherwise(limit)
-    marked = scored(docs, net, name="_toxicity")
-    return marked.where(F.col("_toxicity") < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = free_name(docs, "toxicity")
+    return scored(docs, net, name=score).where(F.col(score) < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
