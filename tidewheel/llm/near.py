@@ -296,5 +296,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group of near duplicates; rows
     without an id stay."""
     told = near_duplicates(docs, id_col, **options)
-    beaten = told.where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("_beaten")).distinct()
-    return docs.join(stored(beaten, "beaten"), docs[id_col] == F.col("_beaten"), "left_anti")
+    beaten = told.where(F.col(id_col) != F.col("group_id")).select(id_col).distinct()
+    return docs.join(stored(beaten, "beaten"), id_col, "left_anti")
