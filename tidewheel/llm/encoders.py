@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 
 # Characters whose lower case, normal form and class (letter, digit, other) are beyond doubt:
 # printable ASCII and the Latin-1 letters.
@@ -86,7 +86,7 @@ class WordEncoder:
             self.parts.setdefault("", b"")
             self._learn(missing - {""})
         known = self.parts
-        return [self._raw([t])[0] if w else b"".join([known[p] for p in ps]) for t, w, ps in zip(texts, whole, split)]
+        return [self._raw([t])[0] if w else b"".join(map(known.__getitem__, ps)) for t, w, ps in zip(texts, whole, split)]
 
 
 @functools.lru_cache(maxsize=4)
