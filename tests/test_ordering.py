@@ -118,10 +118,33 @@ def test_exact_quantiles_without_key(table):
     assert got["p"] == pytest.approx(np.quantile(values, 0.99))
 
 
-def test_text_order_is_refused(spark):
-    df = spark.createDataFrame([("a", "b")], "k string, o string")
-    with pytest.raises(ValueError):
-        ordering.number_rows(df, [], ["o"])
+BIG = 2**60
+
+
+@pytest.mark.parametrize("kind", ["large", "text", "decimal", "time"])
+@pytest.mark.parametrize("hot_rows", [1_000_000, 10])
+@pytest.mark.parametrize("with_key", [True, False])
+def test_orders_beyond_doubles(spark, kind, hot_rows, with_key):
+    """Same positions below and above the threshold for orders that a double cannot hold."""
+    n = 2000
+    first = {
+        "large": F.lit(BIG) + F.col("id"),
+        "text": F.concat(F.lit('a"\u00e9 '), F.lpad(F.col("id").cast("string"), 6, "0")),
+        "decimal": (F.col("id").cast("decimal(38,10)") + F.lit(2).cast("decimal(38,10)") / 10_000_000),
+        "time": F.timestamp_micros(F.lit(10**15) + F.col("id")),
+    }[kind]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(n).select(F.lit(1).alias("k"), first.alias("o"), (-F.col("id")).alias("p"), "id")
+        df = df.repartition(7, "id").withColumn("o", F.when(F.col("id") % 50 != 0, F.col("o")))
+        got = ordering.number_rows(df, ["k"] if with_key else [], ["o", "p"], "seq", "n", hot_rows).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    nulls = sorted((i for i in range(0, n, 50)), reverse=True)
+    want = nulls + [i for i in range(n) if i % 50]
+    assert [r["id"] for r in sorted(got, key=lambda r: r["seq"])] == want
+    assert {r["seq"] for r in got} == set(range(1, n + 1)) and {r["n"] for r in got} == {n}
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

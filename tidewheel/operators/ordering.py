@@ -3,7 +3,8 @@
 A plain ``row_number() over (partition by user ...)`` puts every row of a user into
 one task.  Here a key that holds very many rows is first cut into consecutive ranges
 of its order, so that no task sees more than one range; the ranges are then stitched
-together with their row counts.  Results equal the plain window.
+together with their row counts.  Ranges are compared in the order columns' own types, so
+results equal the plain window for any orderable column, whichever way a key goes.
 
 Inputs are evaluated more than once, so they must be deterministic (a scan, or the
 outcome of ``cut_lineage``).
@@ -13,82 +14,59 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import math
+import json
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidewheel.session import cut_lineage, shuffle_partitions
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 4096
+SAMPLED_PER_RANGE = 32
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list:
-    """The most frequent keys with more than ``hot_rows`` rows, with their counts.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows and their counts, as a stored table.
 
-    At most ``MAX_HOT_KEYS`` small rows reach the driver.  A key left out of the list
-    holds fewer than ``hot_rows`` rows or less than 1/``MAX_HOT_KEYS`` of the table.
+    However large the input, it has fewer than rows / ``hot_rows`` rows.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
-
-
-def _as_number(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    if kind == "timestamp_ntz":
-        return F.col(name).cast("timestamp").cast("double")
-    if kind == "date":
-        return F.col(name).cast("timestamp").cast("double")
-    if kind == "string":
-        raise ValueError(f"order column {name} must be numeric or a time to be cut into ranges")
-    return F.col(name).cast("double")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return cut_lineage(counts.where(F.col("_rows") > hot_rows))
 
 
 def range_buckets(
-    df: DataFrame, order: Sequence[str], parts: int, active: Column | None = None
+    df: DataFrame, order: Sequence[str], parts: int, active: Column | None = None, rows: int | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """Add integer columns ``_b0, _b1, ...`` that never decrease along ``order``.
+    """Add an integer column ``_b0`` that never decreases along ``order``.
 
-    ``_b0`` cuts the first order column at approximate quantiles, so each bucket holds
-    about 1/``parts`` of the rows whatever the keys are.  A value so frequent that it
-    fills a whole range gets a bucket of its own, which the next order column cuts
-    again into ``_b1``, and so on.
+    A sample of at most about ``SAMPLED_PER_RANGE`` order tuples per range gives the cuts; a
+    row's range is the number of cuts that are not above its own tuple, found by binary
+    search.  Since whole tuples are compared, a frequent first value is cut by the next
+    columns.  ``rows`` is the number of active rows, counted if not given.
     """
-    names: list[str] = []
     scope = F.lit(True) if active is None else active
-    for level, column in enumerate(order):
-        value, raw, out = f"_v{level}", f"_r{level}", f"_b{level}"
-        df = df.withColumn(value, F.when(scope, _as_number(df, column)))
-        probs = [i / parts for i in range(1, parts)] or [0.5]
-        row = df.agg(
-            F.percentile_approx(value, probs, max(10_000, 20 * parts)).alias("cuts")
-        ).first()
-        cuts = [float(c) for c in (row["cuts"] or [])]
-        heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-        edges = sorted(set(cuts) | {math.nextafter(h, math.inf) for h in heavy})
-        edges = [-math.inf, *edges, math.inf]
-        df = (
-            Bucketizer(splits=edges, inputCol=value, outputCol=raw, handleInvalid="keep")
-            .transform(df)
-            .withColumn(
-                out,
-                F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.col(raw).cast("int")),
-            )
-        )
-        names.append(out)
-        heavy_buckets = [edges.index(h) for h in heavy]
-        df = df.drop(value, raw)
-        if not heavy_buckets or level + 1 == len(order):
-            break
-        scope = scope & F.col(out).isin(heavy_buckets)
-    return df, names
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    chosen = df.where(scope)
+    rows = chosen.count() if rows is None else rows
+    fraction = min(1.0, SAMPLED_PER_RANGE * parts / max(rows, 1))
+    sample = chosen.select(place.alias("o")).sample(fraction=fraction, seed=29)
+    every = F.transform(
+        F.sequence(F.lit(1), F.lit(parts - 1)),
+        lambda i: F.get("all", F.floor(i * F.size("all") / parts).cast("int")),
+    )
+    picked = sample.agg(F.sort_array(F.collect_list("o")).alias("all")).select(
+        F.to_json(F.array_distinct(F.filter(every, lambda o: o.isNotNull()))).alias("cuts")
+    )
+    # A cut may lose digits as text; as a constant it still divides all rows the same way.
+    found = json.loads(picked.first()["cuts"] or "[]")
+    cuts = F.sort_array(F.from_json(F.lit(json.dumps(found)), T.ArrayType(sample.schema["o"].dataType)))
+    steps = [1 << b for b in reversed(range(len(found).bit_length()))]
+
+    def step(low: Column, width: Column) -> Column:
+        to = low + width
+        return F.when((to <= len(found)) & (F.get(cuts, to - 1) <= place), to).otherwise(low)
+
+    number = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step) if steps else F.lit(0)
+    return df.withColumn("_b0", F.when(scope, number)), ["_b0"]
 
 
 def running(
@@ -112,7 +90,8 @@ def running(
 
     if keys:
         hot = hot_keys(df, keys, hot_rows)
-        if not hot:
+        hot_total = hot.agg(F.sum("_rows")).first()[0]
+        if not hot_total:
             frame = W.partitionBy(*keys)
             line = frame.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
             return df.select(
@@ -120,11 +99,12 @@ def running(
                 *[F.sum(f"_x_{n}").over(line).alias(n) for n in sums],
                 *[F.sum(f"_x_{s}").over(frame).alias(t) for t, s in totals.items()],
             )
-        df = _mark_hot(df, _hot_table(df, keys, hot), keys)
+        df = _mark_hot(df, hot, keys)
     else:
+        hot_total = None
         df = df.withColumn("_hot", F.lit(True))
 
-    df, buckets = range_buckets(df, order, parts, F.col("_hot"))
+    df, buckets = range_buckets(df, order, parts, F.col("_hot"), hot_total)
     group = [*keys, *buckets]
     pieces = (
         df.where("_hot")
@@ -153,16 +133,13 @@ def running(
     )
 
 
-def _hot_table(df: DataFrame, keys: Sequence[str], hot: list) -> DataFrame:
-    """The hot keys as a table of at most ``MAX_HOT_KEYS`` rows."""
-    schema = df.select(*keys).schema
-    rows = [tuple(r[k] for k in keys) for r in hot]
-    return df.sparkSession.createDataFrame(rows, schema).withColumn("_hot", F.lit(True))
-
-
-def _mark_hot(df: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    marked = df.join(F.broadcast(marks), _null_safe(df, marks, keys), "left")
-    return marked.select(df["*"], F.coalesce(marks["_hot"], F.lit(False)).alias("_hot"))
+def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_hot``; the join is split at run time, as ``hot`` is a stored table."""
+    marks = hot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(True).alias("_is_hot"))
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & df[k].eqNullSafe(marks[f"_k{i}"])
+    return df.join(marks, match, "left").select(df["*"], F.coalesce("_is_hot", F.lit(False)).alias("_hot"))
 
 
 def join_per_key(
@@ -182,14 +159,13 @@ def join_per_key(
     """
     keys = list(keys)
     hot = hot_keys(df, keys, hot_rows)
-    if not hot:
+    if hot.isEmpty():
         return df.join(stats, keys, how)
     salts = max(2, shuffle_partitions(df.sparkSession))
-    marks = _hot_table(df, keys, hot)
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = _mark_hot(df, marks, keys).withColumn("_salt", salt).drop("_hot")
-    right = _mark_hot(stats, marks, keys).withColumn("_salt", F.explode(places)).drop("_hot")
+    left = _mark_hot(df, hot, keys).withColumn("_salt", salt).drop("_hot")
+    right = _mark_hot(stats, hot, keys).withColumn("_salt", F.explode(places)).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
