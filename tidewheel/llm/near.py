@@ -49,7 +49,7 @@ THRESHOLD = 0.8
 TREES = 32
 DEPTH = 12
 RECALL = 0.995
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 BLOCK_BYTES = 4 << 20
 COLUMNS = 4096
 CHUNK = 2048
