@@ -7,7 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import events
+from tidewheel.operators import events, ingest
 from tidewheel.sources import files
 from tidewheel.sources.sinks import ChangeLog, StateTable
 from tidewheel.streaming import jobs
@@ -145,7 +145,8 @@ def test_parse_batches(spark):
     }
     df = spark.createDataFrame(list(bodies.items()), "batch_id long, body string")
     bound = spark.createDataFrame([("known", 70)], "session_id string, bound_user_id long")
-    rows = events.parse_batches(df, bound).collect()
+    parsed = ingest.parse_batches(df, bound)
+    rows = ingest.with_verdicts(df, parsed).collect()
     ok = {r["batch_id"] for r in rows if r["batch_ok"]}
     assert ok == {1, 9}
     problems = {r["batch_id"]: r["problem"] for r in rows if r["problem"]}
@@ -153,7 +154,57 @@ def test_parse_batches(spark):
                         6: "watch_duration_seconds", 7: "session_bound_to_other_user", 8: "movie_id"}
     first = next(r for r in rows if r["batch_id"] == 1 and r["kind"] == "user")
     assert first["event_time"] == datetime(2024, 1, 1) and first["event_type"] == "finish"
-    assert {r["batch_id"]: r["accepted"] for r in events.batch_report(events.parse_batches(df, bound)).collect()}[2] is False
+    assert {r["batch_id"]: r["accepted"] for r in ingest.batch_report(df, parsed).collect()}[2] is False
+
+
+BODIES = [
+    # (batch, body, accepted, problem of the body)
+    (1, "not json", True, "not_json"), (2, '{"auth_events": 5, "user_events": []}', False, "not_a_list"),
+    (3, body(), True, None), (4, None, True, None), (5, "[1]", False, "not_an_object"), (6, '"x"', False, "not_an_object"),
+    (7, '{"auth_events": [1]}', False, None), (8, '{"user_events": {}}', True, None), (9, "{", True, "not_json"),
+    (10, '{"user_events": "a"}', False, "not_a_list"), (11, '{"auth_events": null}', True, None), (12, "5", False, "not_an_object"),
+]
+
+
+def test_bodies_without_events_get_a_verdict(spark):
+    df = spark.createDataFrame([b[:2] for b in BODIES], "batch_id long, body string")
+    got = {r["batch_id"]: (r["accepted"], r["body_problem"]) for r in ingest.batch_report(df, ingest.parse_batches(df)).collect()}
+    assert got == {b[0]: b[2:] for b in BODIES}
+
+
+BINDING = {
+    1: (body([], [watch(1, "s", movie=None)]), False),  # refused: binds nothing
+    2: (body([], [watch(2, "s")]), True),
+    3: (body([login(1, "s"), login(1, "t")]), False),  # s is bound to 2, so t stays free
+    4: (body([login(5, "t")]), True),
+    5: (body([], [watch(None, "u")]), False),
+    6: (body([], [watch(6, "u"), watch(7, "u")]), False),  # two users in one batch
+    7: (body([], [watch(7, "u"), watch(2, "s")]), True),
+    8: (body([login(9, "v")], [watch(9, "t")]), False),
+    9: (body([login(10, "v")]), True),
+    10: (body([login(99, "s", kind="logout")]), True),  # a logout binds nothing
+}
+
+
+def verdicts_of(rows):
+    return {r["batch_id"]: r["accepted"] for r in rows}
+
+
+def test_only_accepted_batches_bind(spark):
+    df = spark.createDataFrame([(k, v[0]) for k, v in BINDING.items()], "batch_id long, body string")
+    report = ingest.batch_report(df, ingest.parse_batches(df)).collect()
+    assert verdicts_of(report) == {k: v[1] for k, v in BINDING.items()}
+
+
+@pytest.mark.parametrize("files_", [1, 3, 10])
+def test_verdicts_do_not_depend_on_files(spark, tmp_path, files_):
+    path, root = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(k, v[0]) for k, v in BINDING.items()]
+    for i in range(files_):
+        part = [r for r in rows if (r[0] - 1) * files_ // len(rows) == i]
+        spark.createDataFrame(part, "batch_id long, body string").coalesce(1).write.mode("append").parquet(path)
+    jobs.run_ingest(jobs.file_stream(spark, path, spark.read.parquet(path).schema, 1), root).awaitTermination()
+    assert verdicts_of(spark.read.parquet(f"{root}/reports").collect()) == {k: v[1] for k, v in BINDING.items()}
 
 
 # ---- streams -------------------------------------------------------------------------

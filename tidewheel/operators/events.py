@@ -8,15 +8,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewheel.operators.ordering import HOT_ROWS, join_per_key
 
-AUTH_FIELDS = "user_id string, session_id string, event_type string, event_time string, metadata_json string"
-USER_FIELDS = (
-    "user_id string, movie_id string, session_id string, event_time string, watch_duration_seconds string"
-)
-BATCH_SCHEMA = (
-    f"auth_events array<struct<{AUTH_FIELDS.replace(' string', ':string')}>>, "
-    f"user_events array<struct<{USER_FIELDS.replace(' string', ':string')}>>"
-)
-
 
 def finished(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type") == "finish")
@@ -190,61 +181,3 @@ def session_conflicts(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 def parse_event_time(text) -> Column:
     """Timestamp of ISO text, with or without a final Z; NULL when it cannot be read."""
     return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
-
-
-def parse_batches(batches: DataFrame, bound_sessions: DataFrame | None = None) -> DataFrame:
-    """Rows of ingest batches (batch_id, body as JSON text) with ``problem`` and ``batch_ok``.
-
-    A batch is accepted as a whole or not at all.  ``bound_sessions`` (session_id,
-    bound_user_id) are sessions known before; within the batches the first event of a
-    session binds it.
-    """
-    parsed = batches.select("batch_id", F.from_json("body", BATCH_SCHEMA).alias("b"))
-    auth = parsed.select("batch_id", F.posexplode("b.auth_events").alias("position", "e")).select(
-        "batch_id", F.lit("auth").alias("kind"), "position", "e.user_id",
-        F.lit(None).cast("string").alias("movie_id"), "e.session_id", "e.event_type", "e.event_time",
-        F.lit(None).cast("string").alias("watch_duration_seconds"),
-    )
-    user = parsed.select("batch_id", F.posexplode("b.user_events").alias("position", "e")).select(
-        "batch_id", F.lit("user").alias("kind"), "position", "e.user_id", "e.movie_id", "e.session_id",
-        F.lit("finish").alias("event_type"), "e.event_time", "e.watch_duration_seconds",
-    )
-    rows = auth.unionByName(user).select(
-        "batch_id", "kind", "position",
-        F.col("user_id").try_cast("long").alias("user_id"),
-        F.col("movie_id").try_cast("long").alias("movie_id"),
-        "session_id", "event_type",
-        parse_event_time(F.col("event_time")).alias("event_time"),
-        F.col("watch_duration_seconds").try_cast("double").alias("watch_duration_seconds"),
-    )
-    is_user = F.col("kind") == "user"
-    binds = is_user | (F.col("event_type") == "login")
-    first = rows.where(binds).groupBy("session_id").agg(
-        F.min(F.struct("batch_id", "kind", "position", "user_id"))["user_id"].alias("_first_user")
-    )
-    rows = rows.join(first, "session_id", "left")
-    bound = F.col("_first_user")
-    if bound_sessions is not None:
-        rows = rows.join(bound_sessions, "session_id", "left")
-        bound = F.coalesce("bound_user_id", "_first_user")
-    problem = (
-        F.when(F.col("user_id").isNull(), "user_id")
-        .when(F.col("session_id").isNull(), "session_id")
-        .when(~is_user & ~F.coalesce(F.col("event_type").isin("login", "logout"), F.lit(False)), "event_type")
-        .when(F.col("event_time").isNull(), "event_time")
-        .when(is_user & F.col("movie_id").isNull(), "movie_id")
-        .when(is_user & F.col("watch_duration_seconds").isNull(), "watch_duration_seconds")
-        .when(binds & (bound != F.col("user_id")), "session_bound_to_other_user")
-    )
-    rows = rows.withColumn("problem", problem).drop("_first_user", "bound_user_id")
-    verdict = rows.groupBy("batch_id").agg(F.bool_and(F.col("problem").isNull()).alias("batch_ok"))
-    return rows.join(verdict, "batch_id")
-
-
-def batch_report(rows: DataFrame) -> DataFrame:
-    """Per batch: events, bad events, and whether it was taken in."""
-    return rows.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count("problem").alias("bad_events"),
-        F.bool_and(F.col("problem").isNull()).alias("accepted"),
-    )

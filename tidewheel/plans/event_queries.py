@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import labels, vectors
 from tidewheel.operators import (
-    cleaning, events, metrics, profiles, retrieval, samples, scoring,
+    cleaning, events, ingest, metrics, profiles, retrieval, samples, scoring,
 )
 from tidewheel.plans import datasets, sqltext as s
 from tidewheel.plans.rating_queries import SAMPLES, exploded
@@ -175,7 +175,12 @@ def online_dataset(spark, folder):
 
 
 def ingest_bodies(spark, folder):
-    """Batches of 20 consecutive events as JSON bodies, some with flaws."""
+    """Batches of 20 consecutive events as JSON bodies, some with flaws.
+
+    Of every 31 batches one body is no JSON, one has a number for a list, one is empty and
+    one holds a number for an event; three more watch a session that they share, each for
+    another user.
+    """
     found = tables._events(spark, folder)
     time = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     auth = F.struct(
@@ -197,11 +202,24 @@ def ingest_bodies(spark, folder):
         F.collect_list(F.when(is_auth, auth)).alias("auth_events"),
         F.collect_list(F.when(~is_auth, user)).alias("user_events"),
     )
-    return grouped.select("batch_id", F.to_json(F.struct("auth_events", "user_events")).alias("body"))
+    odd = F.pmod("batch_id", F.lit(31))
+    shared = F.struct(
+        (F.lit(10**6) + F.col("batch_id")).cast("string").alias("user_id"), F.lit("1").alias("movie_id"),
+        F.concat(F.lit("shared-"), F.floor(F.col("batch_id") / 31)).alias("session_id"),
+        F.lit("2024-01-01T00:00:00Z").alias("event_time"), F.lit("1").alias("watch_duration_seconds"),
+    )
+    watched = F.when(odd.isin(11, 12, 13), F.array_append("user_events", shared)).otherwise(F.col("user_events"))
+    body = F.to_json(F.struct("auth_events", watched.alias("user_events")))
+    return grouped.select(
+        "batch_id",
+        F.when(odd == 7, "no json {").when(odd == 8, '{"auth_events": 5, "user_events": []}').when(odd == 9, "{}")
+        .when(odd == 10, '{"auth_events": [1], "user_events": []}').otherwise(body).alias("body"),
+    )
 
 
 def ingest_validate(spark, folder):
-    return events.batch_report(events.parse_batches(ingest_bodies(spark, folder)))
+    bodies = ingest_bodies(spark, folder)
+    return ingest.batch_report(bodies, ingest.parse_batches(bodies))
 
 
 def cosine_topk(spark, folder):
@@ -542,7 +560,23 @@ replay AS (
 INGEST = """rows_in AS (
   SELECT event_id // 20 AS batch_id, event_type IN ('signup', 'error') AS is_auth, event_id FROM events),
 judged AS (
-  SELECT *, CASE WHEN is_auth THEN event_id % 97 = 0 ELSE event_id % 89 = 0 OR event_id % 83 = 0 END AS bad FROM rows_in)"""
+  SELECT batch_id, is_auth,
+    CASE WHEN is_auth THEN event_id % 97 = 0 ELSE event_id % 89 = 0 OR event_id % 83 = 0 END AS bad
+  FROM rows_in WHERE batch_id % 31 NOT IN (7, 8, 9, 10)
+  UNION ALL SELECT DISTINCT batch_id, true, true FROM rows_in WHERE batch_id % 31 = 10),
+flaws AS (SELECT batch_id, count(*) FILTER (bad) AS bad FROM judged GROUP BY batch_id),
+sharing AS (
+  SELECT batch_id, batch_id % 31 AS odd, bad, batch_id // 31 AS turn FROM flaws WHERE batch_id % 31 IN (11, 12, 13)),
+owners AS (SELECT turn, min(odd) FILTER (bad = 0) AS owner FROM sharing GROUP BY turn),
+shared AS (
+  SELECT batch_id, false AS is_auth, coalesce(owner < odd, false) AS bad FROM sharing JOIN owners USING (turn)),
+all_rows AS (SELECT * FROM judged UNION ALL SELECT * FROM shared),
+report AS (
+  SELECT b.batch_id, count(r.batch_id) AS events, count(*) FILTER (r.bad) AS bad_events,
+    CASE b.batch_id % 31 WHEN 7 THEN 'not_json' WHEN 8 THEN 'not_a_list' END AS body_problem
+  FROM (SELECT DISTINCT batch_id FROM rows_in) b LEFT JOIN all_rows r ON b.batch_id = r.batch_id GROUP BY 1),
+verdicts AS (
+  SELECT batch_id, events, bad_events, bad_events = 0 AND batch_id % 31 <> 8 AS accepted, body_problem FROM report)"""
 
 QUERIES = {
     "constraint_report": (constraint_report, s.q(s.USER_EVENTS + ",\n" + s.AUTH_EVENTS, """
@@ -602,8 +636,7 @@ SELECT event_id, user_id, movie_id, position,
        WHEN position <= floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) THEN 'val' ELSE 'test' END AS dataset_split,
   round(least(1.0::DOUBLE, ln(1 + least(600.0::DOUBLE, greatest(0, x))) / ln(601.0::DOUBLE)), 9) AS label FROM placed""")),
     "ingest_validate": (ingest_validate, s.q(INGEST, """
-SELECT batch_id, count(*) AS events, count(*) FILTER (bad) AS bad_events, count(*) FILTER (bad) = 0 AS accepted
-FROM judged GROUP BY batch_id""")),
+SELECT * FROM verdicts""")),
     "cosine_topk": (cosine_topk, """
 SELECT a.vec_id AS user_id, b.vec_id AS movie_id,
   round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import events
 from tidewheel.plans import sqltext as s
-from tidewheel.plans.event_queries import POPULAR, SESSIONS, USERS, WINDOWS, epoch, sessions_out, users_out
+from tidewheel.plans.event_queries import INGEST, POPULAR, SESSIONS, USERS, WINDOWS, epoch, sessions_out, users_out
 from tidewheel.session import shared_folder
 from tidewheel.sources import tables
 from tidewheel.sources.sinks import StateTable
@@ -109,13 +109,21 @@ def stream_export(spark, folder):
 
 
 def stream_ingest(spark, folder):
-    """Ingest batches written as a table, taken in as a stream, counted per verdict."""
+    """Ingest batches in four files, one per micro-batch, taken in as a stream; events per verdict.
+
+    The files cut the batches in the order of their ids, also between batches that share a
+    session.
+    """
     from tidewheel.plans.event_queries import ingest_bodies
 
     root = _root(spark, "ingest")
-    ingest_bodies(spark, folder).write.parquet(f"{root}/input")
+    bodies = ingest_bodies(spark, folder)
+    cuts = bodies.agg(F.max("batch_id")).first()[0] or 0
+    for i in range(4):
+        part = bodies.where(F.floor(F.col("batch_id") * 4 / (cuts + 1)) == i)
+        part.coalesce(1).write.mode("append").parquet(f"{root}/input")
     schema = spark.read.parquet(f"{root}/input").schema
-    jobs.run_ingest(jobs.file_stream(spark, f"{root}/input", schema), root).awaitTermination()
+    jobs.run_ingest(jobs.file_stream(spark, f"{root}/input", schema, 1), root).awaitTermination()
     rows = spark.read.parquet(f"{root}/rows")
     return rows.groupBy(F.col("batch_ok").cast("boolean").alias("batch_ok"), "kind").agg(F.count(F.lit(1)).alias("events"))
 
@@ -139,11 +147,7 @@ GROUP BY user_id HAVING count(*) FILTER (movie_id IN (SELECT vec_id FROM embeddi
     "stream_export": (stream_export, s.q(s.USER_EVENTS + ",\n" + s.AUTH_EVENTS, """
 SELECT 'auth_events' AS kind, event_id, user_id, session_id FROM auth_events
 UNION ALL SELECT 'user_events', event_id, user_id, session_id FROM user_events WHERE event_type = 'finish'""")),
-    "stream_ingest": (stream_ingest, """
-WITH judged AS (
-  SELECT event_id // 20 AS batch_id, event_type IN ('signup', 'error') AS is_auth,
-    CASE WHEN event_type IN ('signup', 'error') THEN event_id % 97 = 0 ELSE event_id % 89 = 0 OR event_id % 83 = 0 END AS bad
-  FROM events),
-verdicts AS (SELECT *, NOT bool_or(bad) OVER (PARTITION BY batch_id) AS batch_ok FROM judged)
-SELECT batch_ok, CASE WHEN is_auth THEN 'auth' ELSE 'user' END AS kind, count(*) AS events FROM verdicts GROUP BY 1, 2"""),
+    "stream_ingest": (stream_ingest, s.q(INGEST, """
+SELECT accepted AS batch_ok, CASE WHEN is_auth THEN 'auth' ELSE 'user' END AS kind, count(*) AS events
+FROM all_rows JOIN verdicts USING (batch_id) GROUP BY 1, 2""")),
 }

@@ -13,7 +13,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewheel.operators import events, profiles
+from tidewheel.operators import events, ingest, profiles
+from tidewheel.session import cut_lineage
 from tidewheel.sources import files
 from tidewheel.sources.sinks import ChangeLog, StateTable, stringify, write_parquet
 from tidewheel.sources.versions import VersionedDataset
@@ -245,13 +246,27 @@ def run_export(
     return start(both, root, "append", export, interval)
 
 
-def run_ingest(batches: DataFrame, root: str, bound: Callable[[], DataFrame] | None = None,
-               interval=None) -> StreamingQuery:
-    """Take in or refuse whole ingest batches: events to two folders, refused rows to a third."""
+def run_ingest(batches: DataFrame, root: str, interval=None) -> StreamingQuery:
+    """Take in or refuse whole ingest batches: rows by verdict and kind, a report per batch.
+
+    Sessions bound by earlier micro-batches are read back from ``root/bindings``, so verdicts
+    do not depend on how files fall into micro-batches.  All folders are keyed by the
+    micro-batch; a repeated one overwrites its own and ignores what it bound before.
+    """
+    spark = batches.sparkSession
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        rows = events.parse_batches(batch, bound() if bound else None)
-        path = f"{root}/rows/batch_id={batch_id}"
-        write_parquet(rows, path, partition_by=["batch_ok", "kind"])
+        folder = f"{root}/bindings"
+        known = None
+        if files.has_parquet(spark, folder):
+            known = spark.read.parquet(folder).where(F.col("micro_batch") < batch_id).drop("micro_batch")
+        rows = ingest.parse_batches(batch, known)
+        judged = cut_lineage(ingest.with_verdicts(batch, rows))
+        new = ingest.new_bindings(judged)
+        if known is not None:
+            new = new.join(known.select("session_id"), "session_id", "left_anti")
+        write_parquet(judged, f"{root}/rows/micro_batch={batch_id}", partition_by=["batch_ok", "kind"])
+        write_parquet(ingest.batch_report(batch, rows), f"{root}/reports/micro_batch={batch_id}")
+        write_parquet(new, f"{folder}/micro_batch={batch_id}")
 
     return start(batches, root, "append", take, interval)
