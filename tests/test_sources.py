@@ -110,15 +110,29 @@ def test_registry_forms(spark, tmp_path):
     put(tmp_path / "registry" / "versions.json", json.dumps({"versions": ["v0007"], "latest": "v0007"}))
     assert data.next_version() == "v0008" and data.latest_source()[0].endswith("versions/v0007/parts")
     put(tmp_path / "registry" / "versions.json", "{broken")
-    assert data.registry() == {"versions": [], "latest": None} and data.next_version() == "v0001"
+    with pytest.raises(ValueError):
+        data.next_version()
+    put(tmp_path / "registry" / "versions.json", "[1]")
+    with pytest.raises(ValueError):
+        data.commit({"version": "v0001"})
+
+
+def test_written_manifest_without_registry_entry_counts(spark, tmp_path):
+    data = VersionedDataset(spark, str(tmp_path))
+    data.commit({"version": "v0001"})
+    files.write_json(spark, f"{data.folder('v0002')}/manifest.json", {"version": "v0002", "latest_processed_input": "x"})
+    spark.range(1).write.parquet(f"{data.folder('v0003')}/parts")  # died before its manifest
+    assert data.next_version() == "v0003" and data.registry()["latest_processed_input"] == "x"
+    data.commit({"version": data.next_version()})
+    assert [e["version"] for e in data.registry()["versions"]] == ["v0001", "v0002", "v0003"]
 
 
-def test_history_is_bounded(spark, tmp_path):
+def test_all_versions_are_kept(spark, tmp_path):
     data = VersionedDataset(spark, str(tmp_path))
     put(tmp_path / "registry" / "version.json", json.dumps({"versions": [{"version": f"v{i:04d}"} for i in range(1, 251)], "latest": "v0250"}))
     data.commit({"version": data.next_version()})
     listed = data.registry()["versions"]
-    assert len(listed) == 200 and listed[-1]["version"] == "v0251"
+    assert len(listed) == 251 and listed[-1]["version"] == "v0251"
 
 
 def split_rows(spark):

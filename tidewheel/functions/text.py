@@ -58,7 +58,12 @@ FIELD_WEIGHTS = {
 }
 
 NO_GENRES = "(no genres listed)"
-MAX_OVERVIEW = 2000
+
+
+def whole_number(text: Column) -> Column:
+    """A long from text: written as an integer it stays exact, else it is read as a double and
+    truncated; NULL where it is no number or does not fit."""
+    return F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long"))
 
 
 def _col(x) -> Column:
@@ -200,7 +205,7 @@ def release_year(date, title) -> Column:
     )
 
 
-def item_text(max_overview: int = MAX_OVERVIEW, cleaned: bool = False) -> Column:
+def item_text(max_overview: int | None = None, cleaned: bool = False) -> Column:
     """The labelled lines of an item, empty ones left out, joined by newlines.
 
     ``cleaned`` says that the fields went through cleaning before.
@@ -213,7 +218,7 @@ def item_text(max_overview: int = MAX_OVERVIEW, cleaned: bool = False) -> Column
         elif field == "adult":
             value = F.col(field) if cleaned else yes_no(field)
         elif field == "overview":
-            value = F.trim(F.substring(tidy(field), 1, max_overview))
+            value = tidy(field) if max_overview is None else F.trim(F.substring(tidy(field), 1, max_overview))
         else:
             value = tidy(field)
         shown = value != ""

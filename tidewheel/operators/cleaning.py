@@ -7,17 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel.functions import vectors
+from tidewheel.functions.text import whole_number
 
 RATING_COLUMNS = ("user_id", "movie_id", "rating", "timestamp")
 
 
 def _numbers(df: DataFrame) -> DataFrame:
-    """The four rating columns as doubles; text that is no number becomes NULL."""
+    """Ids and times as longs, the rating as a double; NULL where the text does not fit."""
     out = []
     for name in df.columns:
-        if name in RATING_COLUMNS:
+        if name == "rating":
             value = F.col(name).cast("string").try_cast("double")
             out.append(F.when(~F.isnan(value), value).alias(name))
+        elif name in RATING_COLUMNS:
+            out.append(whole_number(F.col(name).cast("string")).alias(name))
         else:
             out.append(F.col(name))
     return df.select(*out)
@@ -32,8 +35,6 @@ def clean_ratings(
 ) -> DataFrame:
     """Numeric, complete and (if asked) plausible ratings with integer ids and times."""
     df = _numbers(raw).dropna(subset=list(RATING_COLUMNS))
-    for name in ("user_id", "movie_id", "timestamp"):
-        df = df.withColumn(name, F.col(name).cast("long"))
     return df.where(_valid(low, high)) if drop_invalid else df
 
 
@@ -43,7 +44,7 @@ def clean_stats(raw: DataFrame, low: float = 0.5, high: float = 5.0) -> DataFram
     complete = F.lit(True)
     for name in RATING_COLUMNS:
         complete = complete & F.col(name).isNotNull()
-    plausible = (F.col("timestamp").cast("long") > 0) & F.col("rating").between(low, high)
+    plausible = (F.col("timestamp") > 0) & F.col("rating").between(low, high)
     return df.agg(
         F.count(F.lit(1)).alias("rows_in"),
         F.count_if(~complete).alias("dropped_null"),
@@ -53,8 +54,8 @@ def clean_stats(raw: DataFrame, low: float = 0.5, high: float = 5.0) -> DataFram
 
 
 def vector_length(df: DataFrame, vector: str) -> int:
-    """The most frequent vector length of a table."""
-    row = df.where(F.col(vector).isNotNull()).agg(F.mode(F.size(vector)).alias("n")).first()
+    """The most frequent vector length of a table, the smallest of equally frequent ones."""
+    row = df.where(F.col(vector).isNotNull()).agg(F.mode(F.size(vector), True).alias("n")).first()
     if row["n"] is None:
         raise ValueError(f"no usable vector in column {vector}")
     return int(row["n"])
@@ -185,7 +186,7 @@ def normalise_items(df: DataFrame, payload: str = "payload") -> DataFrame:
     field = lambda name: F.get_json_object(item, f"$.{name}")
     is_object = item.startswith("{")
     movie = F.when(is_object, F.coalesce(field("movie_id"), field("item_id"), field("item"))).otherwise(
-        item.try_cast("double").cast("long").cast("string")
+        whole_number(item).cast("string")
     )
     return (
         rows.withColumn("movie_id", movie)

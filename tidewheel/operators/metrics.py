@@ -170,34 +170,38 @@ def histogram_quantile(cumulative: DataFrame, q: float, keys: Sequence[str] = ()
     return picked.select(*keys, value.alias("quantile"))
 
 
+def _seconds(window: str) -> Column:
+    """Length of a window column in seconds."""
+    return F.unix_micros(F.col(f"{window}.end")) / 1e6 - F.unix_micros(F.col(f"{window}.start")) / 1e6
+
+
 def rates(
     log: DataFrame, window: str = "1 minute", slide: str | None = None, keys: Sequence[str] = ("env",)
 ) -> DataFrame:
     """Per window: requests, requests per second by mode, fallback share, mean candidates."""
-    seconds = {"1 minute": 60.0, "5 minutes": 300.0}[window]
+    seconds = _seconds("w")
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
     model, fallback = F.col("mode") == "model", F.col("mode") == "fallback"
     return (
         log.groupBy(span.alias("w"), *keys)
         .agg(
             F.count(F.lit(1)).alias("requests"),
-            (F.count(F.lit(1)) / seconds).alias("rps"),
-            (F.count_if(model) / seconds).alias("model_rps"),
-            (F.count_if(fallback) / seconds).alias("fallback_rps"),
+            F.count_if(model).alias("model_requests"),
+            F.count_if(fallback).alias("fallback_requests"),
             (F.lit(100.0) * F.try_divide(F.count_if(fallback), F.count(F.lit(1)))).alias("fallback_pct"),
             F.avg("candidates").alias("avg_candidates"),
         )
-        .select(F.col("w.start").alias("window_start"), *keys, "requests", "rps", "model_rps",
-                "fallback_rps", "fallback_pct", "avg_candidates")
+        .select(F.col("w.start").alias("window_start"), *keys, "requests", (F.col("requests") / seconds).alias("rps"),
+                (F.col("model_requests") / seconds).alias("model_rps"),
+                (F.col("fallback_requests") / seconds).alias("fallback_rps"), "fallback_pct", "avg_candidates")
     )
 
 
 def click_rates(clicks: DataFrame, window: str = "5 minutes") -> DataFrame:
-    seconds = {"1 minute": 60.0, "5 minutes": 300.0}[window]
     return (
         clicks.groupBy(F.window("ts", window).alias("w"), "rank")
-        .agg((F.count(F.lit(1)) / seconds).alias("clicks_per_second"))
-        .select(F.col("w.start").alias("window_start"), "rank", "clicks_per_second")
+        .agg(F.count(F.lit(1)).alias("clicks"))
+        .select(F.col("w.start").alias("window_start"), "rank", (F.col("clicks") / _seconds("w")).alias("clicks_per_second"))
     )
 
 
@@ -258,7 +262,7 @@ def circuit_breaker(
     """
     keys = ["env"]
     if reset:
-        log = running(log, ["env"], order, {"segment": F.col(reset).cast("long")}, None, hot_rows)
+        log = running(log, ["env"], order, {"segment": F.coalesce(F.col(reset), F.lit(False)).cast("long")}, None, hot_rows)
         keys = ["env", "segment"]
     placed = number_rows(log, keys, order, "position", None, hot_rows)
     used = F.col("fallback_used").cast("long")

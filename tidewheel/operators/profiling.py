@@ -91,7 +91,7 @@ def similarity_histogram(
     user: str = "user_embedding",
     item: str = "movie_embedding",
     label: str = "label",
-    fraction: float | None = 0.02,
+    fraction: float | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Per 0.05-wide cosine bin: rows, label range and mean, mean cosine."""
@@ -109,7 +109,7 @@ def cosine_stats(
     df: DataFrame,
     user: str = "user_embedding",
     item: str = "movie_embedding",
-    fraction: float | None = 0.02,
+    fraction: float | None = None,
     seed: int = 42,
 ) -> DataFrame:
     seen = cut_lineage(_similarity(_sample(df, fraction, seed), user, item).select("cosine_sim"))

@@ -11,7 +11,7 @@ from tidewheel.operators import cleaning, items, profiles, profiling, samples, s
 from tidewheel.plans import datasets
 from tidewheel.session import cut_lineage
 from tidewheel.sources import files, readers, sinks
-from tidewheel.sources.versions import VersionedDataset
+from tidewheel.sources.versions import MARK, VersionedDataset
 
 PROFILE_COLUMNS = ["user_id", "long_term_embedding", "short_term_embedding", "profile_version"]
 REMAINING_COLUMNS = ["user_id", "movie_id", "rating", "timestamp", "event_time", "future_event_order"]
@@ -145,10 +145,11 @@ def online_build(
     """Samples from the input versions that came after the last build.
 
     A version without rows, or older than every vector version, adds nothing but is not
-    looked at again.
+    looked at again.  The mark of what was processed is part of the version's manifest, so
+    a build that dies is either wholly there or done again under the same number.
     """
     data = VersionedDataset(spark, out)
-    mark = data.registry().get("latest_processed_input")
+    mark = data.registry().get(MARK)
     found = files.folders(spark, f"{inputs}/versions")
     timed = {}
     if found:
@@ -172,15 +173,14 @@ def online_build(
         events, cut_lineage(readers.read_vector_versions(spark, vectors)), read_items(spark, item_folder), threshold
     )
     manifest = data.write(
-        {"parts": made}, None, {"input_versions": sorted(new, key=lambda n: new[n])}, rows_per_file
+        {"parts": made}, None, {"input_versions": sorted(new, key=lambda n: new[n]), MARK: latest}, rows_per_file
     )
-    _mark_processed(data, latest)
     return manifest
 
 
 def _mark_processed(data: VersionedDataset, name: str) -> None:
     registry = data.registry()
-    registry["latest_processed_input"] = name
+    registry[MARK] = name
     files.write_json(data.spark, f"{data.root}/registry/version.json", registry)
 
 

@@ -249,7 +249,7 @@ def similarity_histogram(spark, folder):
 
 
 def similarity_histogram_sampled(spark, folder):
-    return profiling.similarity_histogram(_pairs(spark, folder))
+    return profiling.similarity_histogram(_pairs(spark, folder), fraction=0.02)
 
 
 def cosine_stats(spark, folder):

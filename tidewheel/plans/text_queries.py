@@ -118,7 +118,7 @@ def normalise_items(spark, folder):
     k = F.get_json_object("props", "$.k")
     listed = F.concat(
         F.lit('[{"movie_id": '), k, F.lit('}, {"item_id": 1'), k, F.lit('}, {"item": "x'), k, F.lit('"}, '),
-        k, F.lit(', "n/a"]'),
+        k, F.lit(', "n/a", 1e30]'),
     )
     key = F.when(F.col("event_id") % 2 == 0, "recommendations").otherwise("recommend")
     payload = F.concat(F.lit('{"'), key, F.lit('": '), listed, F.lit("}"))

@@ -44,14 +44,18 @@ def has_parquet(spark: SparkSession, path: str) -> bool:
 
 
 def read_json(spark: SparkSession, path: str, default):
-    """A small JSON file; the default where it is missing or cannot be read as JSON."""
+    """A small JSON file; the default where it is missing.  One that is no JSON raises."""
     if not exists(spark, path):
         return default
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    source = _fs(spark, path).open(_path(spark, path))
+    try:
+        text = bytes(source.readAllBytes()).decode("utf-8")
+    finally:
+        source.close()
     try:
         return json.loads(text)
-    except ValueError:
-        return default
+    except ValueError as error:
+        raise ValueError(f"{path} is no JSON") from error
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidewheel.functions.text import whole_number
+
 # Header names, trimmed and lower-cased, to column names.
 RATING_HEADERS = {
     "userid": "user_id", "user_id": "user_id",
@@ -54,7 +56,7 @@ def _typed(df: DataFrame, schema: str) -> DataFrame:
     for part in schema.split(","):
         name, kind = part.split()
         # ids may be written as 862.0
-        value = F.col(name).try_cast("double").cast("long") if kind == "long" else F.col(name)
+        value = whole_number(F.col(name)) if kind == "long" else F.col(name)
         out.append(value.alias(name))
     return df.select(*out)
 

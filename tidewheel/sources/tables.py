@@ -34,16 +34,19 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_ratings(spark: SparkSession, folder: str) -> DataFrame:
-    """Ratings as unchecked text: some are no numbers, some implausible, some lack a time."""
+    """Ratings as unchecked text: some are no numbers, some implausible, some lack a time, some
+    ids are beyond 64 bits or beyond the exact doubles."""
     lines = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     rating = F.when(F.col("l_tax") == 0, "n/a").otherwise((F.col("l_quantity") / 10).cast("string"))
     time = F.when(F.col("l_discount") == 0, F.lit(0)).otherwise(seconds("o_orderdate"))
+    texts = F.array(*[F.lit(t) for t in ("inf", "1e30", "1e3", "9007199254740993")])
+    odd = F.get(texts, F.pmod(F.col("l_orderkey"), F.lit(101)).cast("int"))
     return joined.select(
         F.col("o_custkey").cast("string").alias("user_id"),
         F.when(F.col("l_linenumber") == 7, None)
-        .otherwise(F.col("l_partkey").cast("string"))
+        .otherwise(F.coalesce(odd, F.col("l_partkey").cast("string")))
         .alias("movie_id"),
         rating.alias("rating"),
         time.cast("string").alias("timestamp"),

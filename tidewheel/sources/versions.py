@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from tidewheel.sources import files, sinks
 
 REGISTRY_NAMES = ("version.json", "versions.json")
-HISTORY = 200
+MARK = "latest_processed_input"
 
 
 class VersionedDataset:
@@ -25,12 +25,37 @@ class VersionedDataset:
         self.root = root.rstrip("/")
 
     def registry(self) -> dict:
+        """The registry file, with versions whose manifest is written but not listed yet.
+
+        A job that died between manifest and registry, or two jobs that wrote the registry at
+        once, therefore lose nothing.  A file that cannot be read stops the job.
+        """
+        registry: dict = {"versions": [], "latest": None}
         for name in REGISTRY_NAMES:
-            found = files.read_json(self.spark, f"{self.root}/registry/{name}", None)
-            if isinstance(found, dict):
-                listed = found.get("versions")
-                return {**found, "versions": listed if isinstance(listed, list) else []}
-        return {"versions": [], "latest": None}
+            path = f"{self.root}/registry/{name}"
+            found = files.read_json(self.spark, path, None)
+            if found is None:
+                continue
+            if not isinstance(found, dict) or not isinstance(found.get("versions", []), list):
+                raise ValueError(f"{path} is no registry")
+            registry = {"versions": [], **found}
+            break
+        listed = {self._name(e) for e in registry["versions"]}
+        for version in files.folders(self.spark, f"{self.root}/versions"):
+            if version in listed:
+                continue
+            manifest = files.read_json(self.spark, f"{self.folder(version)}/manifest.json", None)
+            if isinstance(manifest, dict) and manifest.get("version") == version:
+                self._enter(registry, manifest)
+        return registry
+
+    def _enter(self, registry: dict, manifest: dict) -> None:
+        """List a manifest as the latest version, with the mark of what it has processed."""
+        version = manifest["version"]
+        registry["versions"] = [e for e in registry["versions"] if self._name(e) != version] + [manifest]
+        registry["latest"] = registry["latest_version"] = version
+        if manifest.get(MARK) is not None:
+            registry[MARK] = manifest[MARK]
 
     @staticmethod
     def _name(entry) -> str | None:
@@ -79,13 +104,10 @@ class VersionedDataset:
 
     def commit(self, manifest: dict) -> None:
         """Publish a manifest: beside the version, as latest, and in the registry."""
-        version = manifest["version"]
-        files.write_json(self.spark, f"{self.folder(version)}/manifest.json", manifest)
-        files.write_json(self.spark, f"{self.root}/latest/manifest.json", manifest)
         registry = self.registry()
-        kept = [e for e in registry["versions"] if self._name(e) != version]
-        registry["versions"] = (kept + [manifest])[-HISTORY:]
-        registry["latest"] = registry["latest_version"] = version
+        files.write_json(self.spark, f"{self.folder(manifest['version'])}/manifest.json", manifest)
+        files.write_json(self.spark, f"{self.root}/latest/manifest.json", manifest)
+        self._enter(registry, manifest)
         files.write_json(self.spark, f"{self.root}/registry/{REGISTRY_NAMES[0]}", registry)
 
     def latest_source(self) -> tuple[str, str]:
