@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewheel.llm.encoders import word_encoder
 from tidewheel.llm.files import Sink, open_input
-from tidewheel.llm.tables import fresh_path, stored, text_or_empty
+from tidewheel.llm.tables import fresh_path, partitions, stored, text_or_empty
 from tidewheel.llm.words import blocks, mix
 
 SIZE = 2048
@@ -226,7 +226,8 @@ def read_shards(shards: DataFrame, width: int, size: int = SIZE, per_shard: int
                     [pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["slot", "shard", "byte_offset", "n_tokens", "read_crc32"]
                 )
 
-    return shards.select("shard", "path").repartition("shard").mapInArrow(run, READ)
+    # A shard is a short row that stands for a large file, so the number of tasks is given.
+    return shards.select("shard", "path").repartition(partitions(shards), "shard").mapInArrow(run, READ)
 
 
 def training_order(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key: int = KEY) -> DataFrame:

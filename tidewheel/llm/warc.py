@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewheel.llm.files import Sink, open_input, read_bytes
-from tidewheel.llm.tables import fresh_path, stored
+from tidewheel.llm.tables import fresh_path, partitions, stored
 
 BLOCK = 1 << 20
 FILE_BYTES = 256 << 20
 FILE_RECORDS = 50_000
+STRETCH = 16 << 20
 LEVEL = 3
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -317,8 +318,11 @@ def normalise(archives: DataFrame, folder: str, plan: DataFrame | None = None) -
             {"path": target, "offset": [p[0] for p in places], "length": [p[1] for p in places], "ordinal": range(len(places))}
         )
 
+    # A path is a short row that stands for a large file, so the number of tasks is given.
+    tasks = partitions(archives)
+    named = archives.groupBy("path").agg(F.count(F.lit(1)).alias("records")).repartition(tasks, "path")
     return stored(
-        archives.groupBy("path").agg(F.count(F.lit(1)).alias("records")).groupBy("path").cogroup(plan.groupBy("path")).applyInPandas(work, INDEXED),
+        named.groupBy("path").cogroup(plan.repartition(tasks, "path").groupBy("path")).applyInPandas(work, INDEXED),
         "index",
     )
 
@@ -365,7 +369,9 @@ def read_index(index: DataFrame, with_payload: bool = True) -> DataFrame:
                     source.close()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _types(READ))], _names(READ))
 
-    return index.select("path", "offset", "length").mapInArrow(read, READ)
+    stretch = F.floor(F.col("offset") / STRETCH)
+    dealt = index.select("path", "offset", "length").repartition(partitions(index), "path", stretch)
+    return dealt.sortWithinPartitions("path", "offset").mapInArrow(read, READ)
 
 
 def sidecar(path: str) -> list[dict]:
