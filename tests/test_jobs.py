@@ -39,6 +39,37 @@ def test_item_builds(spark, world):
     assert items.count() == 12 and cleaning.vector_length(items, "movie_embedding") == 16
 
 
+@pytest.mark.parametrize("strategy", ["by_position", "per_user"])
+def test_no_vector_goes_through_a_window(spark, tmp_path, strategy):
+    n = 500
+    df = spark.range(n).selectExpr(
+        "id % 7 AS user_id", "id AS movie_id", "id * 3 AS timestamp", "array(1.0, double(id)) AS user_embedding",
+        "array(double(id)) AS movie_embedding", "double(id % 5) + 0.5 AS label",
+    )
+    df.repartition(5).write.parquet(str(tmp_path / "rows"))
+    kept, place = jobs.split_rows(spark.read.parquet(str(tmp_path / "rows")), strategy=strategy)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window " in line]
+    assert all("embedding" not in line for line in windows) and "embedding" not in "".join(_below(plan, "Window "))
+    rows = kept.collect()
+    assert len(rows) == n and all(r["movie_embedding"] == [float(r["movie_id"])] for r in rows)
+    assert all(r["user_embedding"] == [1.0, float(r["movie_id"])] for r in rows)
+
+
+def _below(plan: str, node: str) -> list[str]:
+    """Lines of a plan that stand under a node."""
+    out, depth = [], None
+    for line in plan.splitlines():
+        indent = len(line) - len(line.lstrip(" +-:"))
+        if depth is not None and indent <= depth:
+            depth = None
+        if depth is not None:
+            out.append(line)
+        if depth is None and line.lstrip(" +-:").startswith(node):
+            depth = indent
+    return out
+
+
 def test_offline_chain(spark, world):
     manifest = jobs.profile_build(spark, world("ratings.csv"), world("items"), world("base"))
     assert manifest["users_kept"] == 6 and manifest["cleaning"]["dropped_null"] == 1

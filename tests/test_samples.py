@@ -158,27 +158,19 @@ def asof_data(seed=11):
     return events, versions
 
 
-def asof_loop(events, versions, threshold):
-    holders = defaultdict(set)
-    for user, t in versions:
-        holders[t].add(user)
-    out = {}
+def picks_by_rule(events, versions, threshold):
+    """The picks from two statements: a user's version is the newest not later than the file;
+    the cut is the newest version (of anybody) down to which the share of rows with a version
+    reaches the threshold, and picks older than the cut are void."""
+    times = {t for _, t in versions}
+    picks = {}
     for name, time in FILES.items():
-        counts = defaultdict(int)
-        for f, _, user, _ in events:
-            if f == name:
-                counts[user] += 1
-        total, matched, open_users = sum(counts.values()), 0, set(counts)
-        for t in sorted((t for t in holders if t <= time), reverse=True):
-            if not open_users:
-                break
-            for user in list(open_users & holders[t]):
-                out[(name, user)] = t
-                open_users.discard(user)
-                matched += counts[user]
-            if matched / max(1, total) >= threshold:
-                break
-    return out
+        users = [u for f, _, u, _ in events if f == name]
+        newest = {u: max(own) for u in set(users) if (own := [t for v, t in versions if v == u and t <= time])}
+        share = {t: sum(newest.get(u, -1) >= t for u in users) / max(1, len(users)) for t in times if t <= time}
+        cut = max((t for t in share if share[t] >= threshold), default=-1)
+        picks |= {(name, u): t for u, t in newest.items() if t >= cut}
+    return picks
 
 
 @pytest.mark.parametrize("threshold", [-0.5, 0.0, 0.2, 0.3, 0.5, 0.8, 1.0, 5.0])
@@ -187,7 +179,7 @@ def test_as_of_picks(spark, threshold):
     ev = spark.createDataFrame(events, "file_id string, input_time long, user_id long, movie_id long")
     vs = spark.createDataFrame(versions, "user_id long, version_time long")
     got = samples.as_of_picks(ev, vs, threshold).collect()
-    assert {(r["file_id"], r["user_id"]): r["version_time"] for r in got} == asof_loop(events, versions, threshold)
+    assert {(r["file_id"], r["user_id"]): r["version_time"] for r in got} == picks_by_rule(events, versions, threshold)
 
 
 def test_no_eligible_version(spark):

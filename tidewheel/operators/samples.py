@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewheel.operators.cleaning import require_columns
 from tidewheel.operators.ordering import join_per_key
+from tidewheel.session import cut_lineage
 
 
 def offline_samples(remaining: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -57,9 +58,10 @@ def as_of_picks(events: DataFrame, versions: DataFrame, threshold: float = 0.8)
     consulted get no pick.
 
     The newest version per (file, user) is found by carrying versions forward along
-    each user's time line, so no file-version pairs are formed.
+    each user's time line, so no file-version pairs are formed.  The narrow counts and the
+    newest versions are written once, as several steps read them.
     """
-    counts = file_user_counts(events)
+    counts = cut_lineage(file_user_counts(events))
     known = versions.where(F.col("version_time").isNotNull()).select("user_id", "version_time").distinct()
     line = (
         W.partitionBy("user_id")
@@ -78,7 +80,7 @@ def as_of_picks(events: DataFrame, versions: DataFrame, threshold: float = 0.8)
             F.lit(None).cast("long").alias("user_rows"),
         )
     )
-    newest = (
+    newest = cut_lineage(
         points.withColumn("version_time", F.last("_version", ignorenulls=True).over(line))
         .where((F.col("_side") == 1) & F.col("version_time").isNotNull())
         .select("file_id", F.col("_time").alias("input_time"), "user_id", "user_rows", "version_time")
@@ -103,9 +105,9 @@ def as_of_picks(events: DataFrame, versions: DataFrame, threshold: float = 0.8)
             .withColumn("_before", before)
             .where(F.col("_before") / F.greatest(F.col("file_rows"), F.lit(1)) < F.lit(float(threshold)))
         )
-    return newest.join(
-        open_versions.select("file_id", "version_time"), ["file_id", "version_time"], "left_semi"
-    )
+    # stored, so that the join of a large file's rows is split at run time
+    chosen = cut_lineage(open_versions.select("file_id", "version_time"))
+    return newest.join(chosen, ["file_id", "version_time"], "left_semi")
 
 
 def _newest_eligible(files: DataFrame, versions: DataFrame) -> DataFrame:

@@ -109,21 +109,7 @@ def split_build(
 ) -> dict:
     """Newest samples to labelled train, val and test folders of a new version."""
     path, how = VersionedDataset(spark, source).latest_source()
-    rows = readers.read_kind(spark, path, how)
-    cleaning.require_columns(rows, ["user_id", "movie_id", "user_embedding", "movie_embedding", "label"], "samples")
-    order = [c for c in ("timestamp", "event_id") if c in rows.columns]
-    if strategy == "per_user":
-        placed = splits.split_per_user(rows, ratios, [*order, "movie_id", "label"])
-        place = "seq_order"
-    elif strategy == "by_position":
-        placed = splits.split_by_position(rows, ratios, ["user_id", *order, "movie_id", "label"])
-        place = "position"
-    else:
-        raise ValueError(f"unknown split strategy: {strategy}")
-    label = {"offline": lambda df: splits.label_offline(df, jitter), "online": lambda df: splits.label_online(df, cap)}
-    kept = label[kind](placed).select(
-        "user_id", "movie_id", "user_embedding", "movie_embedding", "label", place, "dataset_split"
-    )
+    kept, place = split_rows(readers.read_kind(spark, path, how), kind, strategy, jitter, cap, ratios)
     data = VersionedDataset(spark, out)
     version = version or data.next_version()
     whole = f"{data.folder(version)}/dataset_split"
@@ -138,6 +124,34 @@ def split_build(
     return manifest
 
 
+def split_rows(
+    rows: DataFrame, kind: str = "offline", strategy: str = "by_position", jitter: str = "blake2b", cap: float = 600.0,
+    ratios=(0.7, 0.1, 0.2),
+) -> tuple[DataFrame, str]:
+    """Labelled and split rows of Parquet samples, and the name of their position column.
+
+    Rows are numbered and labelled by their narrow columns, with the file and row they came
+    from; both vectors are joined to the finished rows by that key.
+    """
+    cleaning.require_columns(rows, ["user_id", "movie_id", "user_embedding", "movie_embedding", "label"], "samples")
+    order = [c for c in ("timestamp", "event_id") if c in rows.columns]
+    keyed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    wide = ("user_embedding", "movie_embedding")
+    narrow = cut_lineage(keyed.drop(*wide))
+    if strategy == "per_user":
+        placed = splits.split_per_user(narrow, ratios, [*order, "movie_id", "label"])
+        place = "seq_order"
+    elif strategy == "by_position":
+        placed = splits.split_by_position(narrow, ratios, ["user_id", *order, "movie_id", "label"])
+        place = "position"
+    else:
+        raise ValueError(f"unknown split strategy: {strategy}")
+    label = {"offline": lambda df: splits.label_offline(df, jitter), "online": lambda df: splits.label_online(df, cap)}
+    labelled = label[kind](placed).select("user_id", "movie_id", "label", place, "dataset_split", "_file", "_row")
+    joined = labelled.join(keyed.select(*wide, "_file", "_row"), ["_file", "_row"])
+    return joined.select("user_id", "movie_id", *wide, "label", place, "dataset_split"), place
+
+
 def online_build(
     spark: SparkSession, inputs: str, vectors: str, item_folder: str, out: str, threshold: float = 0.8,
     rows_per_file: int = 50_000,

@@ -43,7 +43,7 @@ def _cut(spark, folder):
 
 
 def _boot(spark, folder):
-    return timeline.base_events(_cut(spark, folder))
+    return timeline.base_events(cut_lineage(_cut(spark, folder)))  # read by totals and rows
 
 
 def bootstrap_split(spark, folder):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import tempfile
 import uuid
+import warnings
+from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
@@ -50,30 +53,53 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
+    """A folder of this application's own below the cluster's shared checkpoint folder.
 
-    A local temporary folder is used only where the setting is absent and the master is
-    local, i.e. in tests.
+    It is removed when the Python process ends.  A local temporary folder is used only where
+    the setting is absent and the master is local, i.e. in tests.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    local = spark.sparkContext.master.startswith("local")
+    if not folder and not local:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _test_folder(spark.sparkContext.applicationId)
+    if folder and not local and urlsplit(folder).scheme in ("", "file"):
+        _warn_once(folder)
+    return _own_folder(spark, spark.sparkContext.applicationId, folder)
 
 
 @functools.lru_cache(maxsize=None)
-def _test_folder(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix="tidewheel-")
+def _warn_once(folder: str) -> None:
+    warnings.warn(f"spark.checkpoint.dir is {folder}: it must be a mount that all executors share", stacklevel=3)
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession, application_id: str, folder: str | None) -> str:
+    if application_id not in _FOLDERS:
+        root = folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="tidewheel-")
+        own = f"{root}/tidewheel-{application_id}-{uuid.uuid4().hex[:8]}"
+        _FOLDERS[application_id] = own
+        atexit.register(_remove, spark, own)
+    return _FOLDERS[application_id]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete what this application wrote for itself."""
+    try:
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception as error:  # the JVM may be gone; the folder is named, so it can be cleared
+        warnings.warn(f"{folder} was not removed: {error}", stacklevel=1)
 
 
 def cut_lineage(df):
     """Write ``df`` as a table in the shared folder and go on from there.
 
     Use it where a costly input is read by several jobs.  The table outlives lost
-    executors; the folder is the cluster's to clear.
+    executors and goes when the application ends.
     """
     path = f"{shared_folder(df.sparkSession)}/tidewheel-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

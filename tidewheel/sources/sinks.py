@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tidewheel.session import shuffle_partitions
 from tidewheel.sources import files
 
 
@@ -63,14 +64,20 @@ def write_splits(
 
 def write_buckets(
     df: DataFrame, path: str, buckets: int = 128, order: Sequence[str] = ("user_id", "seq_order"),
-    rows_per_file: int = 50_000, spread: int = 64,
+    rows_per_file: int = 50_000, spread: int = 64, parts: int | None = None,
 ) -> None:
-    """Split folders cut into hash buckets of users."""
+    """Split folders cut into hash buckets of users.
+
+    The users of a bucket are dealt over ``parts`` tasks by another hash; by default as many
+    as make the number of tasks follow ``spark.sql.shuffle.partitions``.
+    """
     from tidewheel.operators.cleaning import hash_bucket
 
+    parts = parts or max(1, shuffle_partitions(df.sparkSession) // buckets)
     placed = df.withColumn("bucket", hash_bucket("user_id", buckets))
     block = F.floor(F.col(order[-1]) / (rows_per_file * spread))
-    placed = placed.repartition(F.col("bucket"), block).sortWithinPartitions("dataset_split", "bucket", *order)
+    part = F.pmod(F.xxhash64(F.col("user_id").cast("string"), F.lit("part")), F.lit(parts))
+    placed = placed.repartition(F.col("bucket"), part, block).sortWithinPartitions("dataset_split", "bucket", *order)
     write_parquet(placed, path, rows_per_file, ["dataset_split", "bucket"])
 
 

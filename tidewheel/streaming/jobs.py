@@ -20,6 +20,11 @@ from tidewheel.sources.sinks import ChangeLog, StateTable, stringify, write_parq
 from tidewheel.sources.versions import VersionedDataset
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+HEAP_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     """Parquet files of a folder as a stream, oldest first."""
     return (
@@ -34,7 +39,14 @@ def start(
     handle: Callable[[DataFrame, int], None],
     interval: str | None = None,
 ) -> StreamingQuery:
-    """Run a job batch by batch; without an ``interval`` it stops when the input is used up."""
+    """Run a job batch by batch; without an ``interval`` it stops when the input is used up.
+
+    State lives in RocksDB, on the executors' disks instead of their heaps, unless the session
+    names another store.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(STATE_STORE, HEAP_STORE) == HEAP_STORE:
+        conf.set(STATE_STORE, ROCKSDB)
     writer = (
         df.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{root}/checkpoint")
