@@ -38,6 +38,7 @@ MIN_DOCS = 3
 MIN_SCORE = 2.0
 EPOCHS = 4
 BATCH = 32
+TRAIN_BLOCK = 1 << 18
 RATE = 0.08
 DECAY = 1e-4
 HOLD = 5
@@ -140,13 +141,10 @@ def train(texts: list[str] | pa.Array, labels: np.ndarray, langs: list[str | Non
         return Net(np.zeros(0, np.int32), np.zeros((1, DIM)), [], [], np.zeros(0), 0.0, base=float(labels.mean()) if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
     column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
-    parts = [buckets_of(column.slice(a, b - a)) for a, b in blocks(column)]
-    first, second, counts = (np.concatenate(p) for p in zip(*parts))
-    owner = np.repeat(np.arange(len(counts)), counts)
     held = rng.permutation(len(labels)) % HOLD == HOLD - 1
-    keys, odds = _vocabulary(first, second, owner, labels, ~held)
+    keys, odds = _vocabulary(column, labels, ~held)
     net = _fresh(keys, odds, labels[~held].mean(), rng)
-    rows_a, rows_b = net.rows(first), net.rows(second)
+    rows_a, rows_b, counts = _rows_of(net, column)
     ends = np.cumsum(counts)
     spans = list(zip(ends - counts, ends))
     squares: dict = {}
@@ -161,17 +159,34 @@ def train(texts: list[str] | pa.Array, labels: np.ndarray, langs: list[str | Non
         net.thresholds = calibrated(scores, labels[check], [langs[i] for i in check])
     else:
         net.thresholds = {None: 0.5}
+    del net._index  # each worker makes its own
     return net
 
 
-def _vocabulary(first, second, owner, labels, used) -> tuple[np.ndarray, np.ndarray]:
+def _rows_of(net: Net, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embedding rows of all words and prefixes, and the number of words per text."""
+    parts = []
+    for start, stop in blocks(column, TRAIN_BLOCK):
+        a, b, counts = buckets_of(column.slice(start, stop - start))
+        parts.append((net.rows(a), net.rows(b), counts))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _vocabulary(column: pa.Array, labels: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets seen in enough training texts whose share of toxic ones stands out, and their
     smoothed log-odds.  All other words have the zero vector."""
-    pairs = np.concatenate([np.unique(part.astype(np.int64) * len(labels) + owner) for part in (first, second)])
-    bucket, doc = pairs // len(labels), pairs % len(labels)
-    bucket, doc = bucket[used[doc]], doc[used[doc]]
-    keys, place, seen = np.unique(bucket, return_inverse=True, return_counts=True)
-    toxic = np.bincount(place, labels[doc], len(keys))
+    all_seen, all_toxic = np.zeros(2 * BUCKETS, np.int32), np.zeros(2 * BUCKETS, np.int32)
+    for start, stop in blocks(column, TRAIN_BLOCK):
+        a, b, counts = buckets_of(column.slice(start, stop - start))
+        doc = np.repeat(np.arange(start, stop), counts)
+        for part in (a, b):
+            pair = np.unique(part.astype(np.int64) * len(labels) + doc)
+            bucket, of = pair // len(labels), pair % len(labels)
+            bucket, of = bucket[used[of]], of[used[of]]
+            np.add.at(all_seen, bucket, 1)
+            np.add.at(all_toxic, bucket[labels[of] > 0], 1)
+    keys = np.flatnonzero(all_seen)
+    seen, toxic = all_seen[keys], all_toxic[keys]
     rate = labels[used].mean()
     odds = np.log((toxic + 2 * rate) / (seen - toxic + 2 * (1 - rate))) - np.log(rate / (1 - rate))
     stands_out = np.abs(toxic - rate * seen) / np.sqrt(rate * seen + 1) >= MIN_SCORE
