@@ -159,7 +159,7 @@ def train(texts: list[str] | pa.Array, labels: np.ndarray, langs: list[str | Non
         net.thresholds = calibrated(scores, labels[check], [langs[i] for i in check])
     else:
         net.thresholds = {None: 0.5}
-    del net._index  # each worker makes its own
+    net.__dict__.pop("_index", None)  # each worker makes its own
     return net
 
 
