@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewheel.plans import event_queries, rating_queries, stream_queries, text_queries
+from tidewheel.plans import check_queries, event_queries, rating_queries, stream_queries, text_queries
 
 GROUPS = (
     rating_queries.QUERIES,
     event_queries.QUERIES,
     text_queries.QUERIES,
     stream_queries.QUERIES,
+    check_queries.QUERIES,
 )
 
 

@@ -133,9 +133,8 @@ def field_vectors(spark, folder):
     pages = tables.table(spark, folder, "pages").select(
         F.col("page_id").alias("movieId"), text.clean("html").alias("overview"), F.col("url").alias("title")
     )
-    return items.field_vectors(pages, items.hashing_encoder(64), 64).select(
-        "movieId", F.size("embedding").alias("dim")
-    )
+    found = items.field_vectors(pages, items.hashing_encoder(64), 64)
+    return found.select("movieId", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round("value", 5))
 
 
 SPACE = text.SPACE + "+"
