@@ -10,12 +10,13 @@ import re
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_000_000
 
-# Characters whose lower case, normal form and class (letter, digit, other) are beyond doubt:
-# printable ASCII and the Latin-1 letters.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Characters whose lower case, normal form and class (letter, digit, sign, space) are beyond
+# doubt: printable ASCII, the Latin-1 letters and ASCII white space.
+_PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ\\n\\t\\r]*")
+_UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\n\\t\\ra-z0-9ß-öø-ÿ]+")
+_ODD = "\0"
 
 
 def file_digest(path: str) -> str:
@@ -33,12 +34,12 @@ def default_path(name: str) -> str:
 class WordEncoder:
     """Ids of a ``.json`` tokenizer that splits at white space before it merges.
 
-    Such a tokenizer treats the parts between spaces independently, so the ids of a text are
-    those of its parts in a row; each distinct part is encoded once and remembered.  A part
-    of plain characters is lower-cased and cut into runs of letters, single digits and runs
-    of signs first, as the tokenizer itself does, so that few distinct runs reach the
-    library; any other part goes to it whole, and so does a text that holds the string of
-    an added token.
+    Such a tokenizer lower-cases a text and treats its runs of letters, its digits and its
+    runs of signs independently, so the ids of a text are those of its units in a row; each
+    distinct unit is encoded once and remembered.  Units are cut here only from texts of
+    plain characters.  Other texts are cut at blanks and line breaks: a part of plain
+    characters gives units, any other part goes to the library whole, and so does a text
+    that holds the string of an added token.
     """
 
     def __init__(self, path: str):
@@ -48,20 +49,12 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.parts: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def _learn(self, parts: set[str]) -> None:
-        plain = {p: _UNITS.findall(p.lower()) for p in parts if _PLAIN.fullmatch(p)}
-        odd = [p for p in parts if p not in plain]
-        self._learn_units(list({u for us in plain.values() for u in us} - self.units.keys()))
-        self.parts.update((p, b"".join([self.units[u] for u in us])) for p, us in plain.items())
-        self.parts.update(zip(odd, self._raw(odd)))
-
     def _learn_units(self, units: list[str]) -> None:
         """Encode units in long lines, since a call costs far more than a short word."""
         for at in range(0, len(units), 5_000):
@@ -73,20 +66,29 @@ class WordEncoder:
             for unit, a, b in zip(line, (bounds[:-1] * width).tolist(), (bounds[1:] * width).tolist()):
                 self.units[unit] = raw[a:b]
 
+    def _cut(self, text: str) -> list[str]:
+        if _PLAIN.fullmatch(text):
+            return _UNITS.findall(text.lower())
+        units: list[str] = []
+        for part in text.replace("\n", " ").split(" "):
+            if _PLAIN.fullmatch(part):
+                units += _UNITS.findall(part.lower())
+            else:
+                units.append(_ODD + part)
+        return units
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
-        if len(self.parts) > CACHE_ENTRIES:
-            self.parts = {}
         if len(self.units) > CACHE_ENTRIES:
             self.units = {}
         whole = [any(a in t for a in self.added) for t in texts]
-        split = [[] if w else t.replace("\n", " ").split(" ") for t, w in zip(texts, whole)]
-        missing = set().union(*split) - self.parts.keys()
-        if missing:
-            self.parts.setdefault("", b"")
-            self._learn(missing - {""})
-        known = self.parts
-        return [self._raw([t])[0] if w else b"".join(map(known.__getitem__, ps)) for t, w, ps in zip(texts, whole, split)]
+        cut = [[] if w else self._cut(t) for t, w in zip(texts, whole)]
+        missing = set().union(*cut) - self.units.keys()
+        odd = [u for u in missing if u[0] == _ODD]
+        self._learn_units([u for u in missing if u[0] != _ODD])
+        self.units.update(zip(odd, self._raw([u[1:] for u in odd])))
+        known = self.units.__getitem__
+        return [self._raw([t])[0] if w else b"".join(map(known, units)) for t, w, units in zip(texts, whole, cut)]
 
 
 @functools.lru_cache(maxsize=4)
