@@ -123,5 +123,5 @@ def test_resume(spark, edge_docs):
     assert done.keys() == {0, 1} and all(everything[s][0] == c for s, c in done.items())
     assert sum(r[1] for r in everything.values()) == count
     third = [ids.tolist() for ids in shards.read_from(everything[1][2], 3, 128, 2)]
-    want = {r.slot: np.frombuffer(r.ids, "<u2").tolist() for r in rows.where("slot >= 23 and slot < 40").collect()}
+    want = {r.slot: np.frombuffer(shards.restored(r.ids, r.n_tokens, 2), "<u2").tolist() for r in rows.where("slot >= 23 and slot < 40").collect()}
     assert third == [want[s] for s in range(23, 40)]

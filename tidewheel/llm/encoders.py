@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 
 # Characters whose lower case, normal form and class (letter, digit, sign, space) are beyond
 # doubt: printable ASCII, the Latin-1 letters and ASCII white space.
