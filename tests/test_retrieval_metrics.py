@@ -28,7 +28,7 @@ def space(spark):
     return u, i, want
 
 
-@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 0, "tile_rows": 40, "chunk_rows": 10},
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 0, "tile_bytes": 2_000, "chunk_bytes": 500},
                                      {"max_broadcast_bytes": 0}])
 def test_top_items(space, options):
     users, items, want = space
