@@ -50,7 +50,7 @@ def brute(rows, threshold=0.8):
 
 
 def got(df):
-    return edge.rows_of(df.select("doc_id", "class_id", "class_size", "group_id", "n_class_links", "n_links"))
+    return edge.rows_of(df.select("doc_id", "text_id", "n_copies", "class_id", "n_text_links", "n_links"))
 
 
 def near_rows(count=260):

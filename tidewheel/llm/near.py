@@ -3,8 +3,8 @@
 Two documents are linked when the Jaccard similarity of their sets of five-word shingles
 reaches the threshold.  The steps:
 
-1.  Documents with equal shingle sets form a class; its smallest id stands for it.  All
-    further steps see classes, so copies are never compared with each other.
+1.  Documents with equal shingle sets are copies; the smallest id stands for them ("class"
+    inside this module).  All further steps see these, so copies are never compared.
 2.  Every class has one MinHash label of ``DEPTH`` values for each of ``TREES`` trees.
     Classes whose labels share a prefix are in one node of the tree's trie.  The prefix
     starts at full length and is shortened until a pair at the threshold meets in at least
@@ -18,7 +18,7 @@ reaches the threshold.  The steps:
     threshold: it returns one row per class, with the number of its links and the smallest
     class tied to it there, never a row per pair.  Large groups are cut into blocks, and
     each pair of blocks is a tile.
-5.  Verified ties are connected to groups of near duplicates.
+5.  Verified ties are connected to groups of near duplicates, the ``class_id`` of the result.
 
 The tiles of a group compare all its classes, so no link within a group is lost to the
 trees; two classes are missed only if they meet in no tree nor through any others.
@@ -216,9 +216,10 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
     width: int = WIDTH, trees: int = TREES, recall: float = RECALL,
 ) -> DataFrame:
-    """One row per document: id, class_id (smallest id of equal shingle sets), class_size,
-    group_id (smallest class of the connected near duplicates), n_class_links (other classes
-    at the threshold) and n_links (other documents at the threshold, copies included)."""
+    """One row per document: id, class_id (smallest id of its connected near duplicates),
+    text_id (smallest id of equal shingle sets), n_copies (documents with that set),
+    n_text_links (other shingle sets at the threshold) and n_links (other documents at the
+    threshold, copies included)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     depth = prefix_depth(threshold, recall, trees)
     while True:
@@ -235,9 +236,11 @@ def near_duplicates(
         classes.join(links, "class_id", "left")
         .join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
         .select(
-            "class", "class_id", "class_size",
-            F.coalesce("component", "class_id").alias("group_id"),
-            F.coalesce("links", F.lit(0)).alias("n_class_links"),
+            "class",
+            F.coalesce("component", "class_id").alias("class_id"),
+            F.col("class_id").alias("text_id"),
+            F.col("class_size").alias("n_copies"),
+            F.coalesce("links", F.lit(0)).alias("n_text_links"),
             (F.coalesce("copies", F.lit(0)) + F.col("class_size") - 1).alias("n_links"),
         ),
         "told",
@@ -296,5 +299,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group of near duplicates; rows
     without an id stay."""
     told = near_duplicates(docs, id_col, **options)
-    beaten = told.where(F.col(id_col) != F.col("group_id")).select(id_col).distinct()
+    beaten = told.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
     return docs.join(stored(beaten, "beaten"), id_col, "left_anti")
