@@ -11,9 +11,10 @@ from pyarrow import fs
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of ``uri`` and the path in it; a plain path is a local one."""
-    if urlsplit(uri).scheme in ("", "file"):
-        return fs.LocalFileSystem(), os.path.abspath(urlsplit(uri).path if "://" in uri or uri.startswith("file:") else uri)
-    return fs.FileSystem.from_uri(uri)
+    parts = urlsplit(uri)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), os.path.abspath(parts.path if parts.scheme else uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 class Sink:
