@@ -76,6 +76,16 @@ def test_tiles_of_large_groups(spark, monkeypatch):
     assert got(near.near_duplicates(edge.documents(spark, rows))) == brute(rows)
 
 
+def test_blocks_without_members(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_BYTES", 256)
+    draw = random.Random(5)
+    rows = []
+    for group in range(8):
+        base = [f"g{group}w{draw.randrange(500)}" for _ in range(80)]
+        rows += [(10 * group + i, " ".join([*base, *["end", "mark"][:i]]), "en", "a") for i in range(2 + group % 2)]
+    assert got(near.near_duplicates(edge.documents(spark, rows))) == brute(rows)
+
+
 def test_small_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

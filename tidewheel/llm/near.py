@@ -179,9 +179,10 @@ def _labels(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify(ids: np.ndarray, copies: np.ndarray, texts: list[str], home: np.ndarray, threshold: float, depth: int, width: int, trees: int) -> pd.DataFrame:
+def verify(ids: np.ndarray, copies: np.ndarray, texts: list[str], home: np.ndarray, across: bool, threshold: float, depth: int, width: int, trees: int) -> pd.DataFrame:
     """Links inside one tile.  ``home`` is the block of each row; in a tile of two blocks
-    only pairs across them count, as each block has a tile of its own."""
+    (``across``) only pairs across them count, as each block has a tile of its own.  A block
+    may be empty, so the rows alone do not tell how many blocks a tile has."""
     column = pa.array(texts, pa.large_string())
     runs, many = words_in(column).shingles(width)
     ends = np.cumsum(many)
@@ -194,7 +195,7 @@ def verify(ids: np.ndarray, copies: np.ndarray, texts: list[str], home: np.ndarr
     similar = shared / np.maximum(union, 1)
     linked = similar >= threshold - 1e-12
     np.fill_diagonal(linked, False)
-    if home.min() != home.max():
+    if across:
         linked &= home[:, None] != home[None, :]
     weight = np.where(linked, 1 / found_in(depth, np.minimum(similar, 1.0), trees), 0.0)
     return pd.DataFrame(
@@ -285,11 +286,14 @@ def _tiles(rows: DataFrame, classes: DataFrame, grouped: DataFrame, threshold: f
         .select("component", F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"), "home", "class_id", "class_size", "text")
     )
 
-    def work(tile: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        across = key[1] != key[2]
+        if across and tile["home"].nunique() < 2:
+            return pd.DataFrame({c.split()[0]: [] for c in TILED.split(", ")})
         tile = tile.sort_values(["class_id", "text"]).drop_duplicates("class_id")
         return verify(
             tile["class_id"].to_numpy(), tile["class_size"].to_numpy(), tile["text"].tolist(), tile["home"].to_numpy(),
-            threshold, depth, width, trees,
+            across, threshold, depth, width, trees,
         )
 
     return with_text.groupBy("component", "a", "b").applyInPandas(work, TILED)
