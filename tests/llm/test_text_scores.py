@@ -140,6 +140,35 @@ def test_followers_of_awkward_rows(spark, edge_docs, no_docs):
     assert sorted(again.columns) == sorted(edge.clashing(edge_docs).columns)
 
 
+def _overlap(a, b):
+    """Twice the product of the run counts over the squares of both, counted exactly."""
+    runs = [defaultdict(int), defaultdict(int)]
+    for text, seen in zip((a, b), runs):
+        for line in text.split("\n"):
+            words = line.split()
+            for i in range(len(words) - 2):
+                seen[tuple(words[i : i + 3])] += 1
+    first, second = runs
+    both = sum(n * n for n in first.values()) + sum(n * n for n in second.values())
+    return 2 * sum(n * second[run] for run, n in first.items()) / both
+
+
+def test_likeness_of_long_repeated_texts(spark):
+    other = " ".join(f"other{i}" for i in range(40_000))
+    rows = [(6, "again " * 45_000), (5, other), (4, "word " * 100_000), (3, other), (2, "one line of words\n" * 100_000), (1, other)]
+    found = fingerprint.compared_with_edits(edge.documents(spark, [(*r, "en", "a") for r in rows])).collect()
+    texts = _successors(rows)
+    for r in found:
+        if r.doc_id % 2 == 0:
+            text, following = texts[r.doc_id]
+            changed = fingerprint.edited(text, following)
+            assert abs(r.near_edited - _overlap(text, changed)) < 0.02 and _overlap(text, changed) > 0.85
+            assert abs(r.near_next - _overlap(text, following)) < 0.02
+    lines = ["one line of words"] * 100_000
+    whole = fingerprint.fingerprint(lines)
+    assert fingerprint.insert(fingerprint.fingerprint(lines[1:]), lines[0]) == whole
+
+
 # --- licenses ------------------------------------------------------------------------
 
 

@@ -1,14 +1,15 @@
 """Homomorphic multiset hash of a document's paragraphs.
 
 A paragraph is a line that is not empty.  It hashes to a wide vector of two parts:
-``EXACT`` lanes of 64 bits from BLAKE2b over its bytes, and ``LIKE`` lanes of 16 bits in
+``EXACT`` lanes of 64 bits from BLAKE2b over its bytes, and ``LIKE`` lanes of 32 bits in
 which every run of ``RUN`` words adds +1 or -1 to one lane.  A document's fingerprint is the
-sum of its paragraphs' vectors, modulo 2^64 and 2^16.  So it does not depend on their
+sum of its paragraphs' vectors, modulo 2^64 and 2^32.  So it does not depend on their
 order, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 Equal exact lanes mean equal multisets of paragraphs.  The like lanes are a count sketch:
 products of two fingerprints estimate how many word runs the documents share, with a
-standard error of about 1 / sqrt(LIKE).
+standard error of about 1 / sqrt(LIKE).  A text has fewer than 2^30 words, so none of its
+lanes wraps.
 
 Defined cases: a null text counts as empty; a text without paragraphs has the zero vector.
 Ids are followed in descending order, nulls last; rows with equal ids follow each other by
@@ -42,13 +43,13 @@ RESULT = (
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Exact lanes (uint64) and like lanes (int16) of several texts."""
+    """Exact lanes (uint64) and like lanes (int32) of several texts."""
     data, offsets = raw_bytes(pa.array(texts, pa.large_string()))
     exact = np.zeros((len(texts), EXACT), np.uint64)
     breaks = np.flatnonzero(data == 10) + 1
     edges = np.unique(np.concatenate([offsets, breaks]))
     if len(edges) < 2:
-        return exact, np.zeros((len(texts), LIKE), np.int16)
+        return exact, np.zeros((len(texts), LIKE), np.int32)
     owner = np.searchsorted(offsets, edges[:-1], "right") - 1
     raw = data.tobytes()
     hashed, whose = [], []
@@ -67,16 +68,16 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lane = np.repeat(owner, many) * LIKE + (runs & np.uint64(LIKE - 1)).astype(np.int64)
     sign = 1.0 - 2.0 * ((runs >> np.uint64(32)) & np.uint64(1)).astype(np.float64)
     like = np.bincount(lane, sign, len(texts) * LIKE).reshape(len(texts), LIKE)
-    return exact, like.astype(np.int64).astype(np.int16)
+    return exact, like.astype(np.int64).astype(np.int32)
 
 
 def encode(exact: np.ndarray, like: np.ndarray) -> str:
-    return base64.b64encode(exact.astype("<u8").tobytes() + like.astype("<i2").tobytes()).decode()
+    return base64.b64encode(exact.astype("<u8").tobytes() + like.astype("<i4").tobytes()).decode()
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw[: 8 * EXACT], "<u8").copy(), np.frombuffer(raw[8 * EXACT :], "<i2").copy()
+    return np.frombuffer(raw[: 8 * EXACT], "<u8").copy(), np.frombuffer(raw[8 * EXACT :], "<i4").copy()
 
 
 def fingerprint(paragraphs: Iterable[str]) -> str:
