@@ -86,6 +86,15 @@ def test_blocks_without_members(spark, monkeypatch):
     assert got(near.near_duplicates(edge.documents(spark, rows))) == brute(rows)
 
 
+def test_ids_with_two_texts(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    texts = {"A": a, "A'": [*a, "end"], "B": b, "B'": [*b, "end"], "C": [*a[:30], *b[:30]]}
+    rows = [(i, " ".join(texts[t]), "en", "a") for i, t in [(0, "B'"), (1, "B"), (1, "A"), (5, "A'"), (1, "C"), (7, "C")]]
+    assert got(near.near_duplicates(edge.documents(spark, rows))) == brute(rows)
+    left = sorted((r.doc_id, r.text) for r in near.keep_one(edge.documents(spark, rows)).collect())
+    assert left == sorted((rows[i][0], rows[i][1]) for i in (0, 2, 4))
+
+
 def test_small_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

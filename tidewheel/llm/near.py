@@ -26,8 +26,8 @@ trees; two classes are missed only if they meet in no tree nor through any other
 Defined cases: words are runs of ASCII letters, digits and non-ASCII characters, A-Z
 lower-cased.  A text of one to four words has one shingle, all its words.  Texts without
 words (also null ones) form one class, which links to no other.  Repeated rows are copies.
-Rows that share an id but not a text are in different classes and share the links of one
-of them.  A class whose ids are all null is not compared with others.  An empty table gives
+Rows that share an id but not a text are told apart by a hash of the text, so each has the
+links of its own class.  A class whose ids are all null is not compared with others.  An empty table gives
 an empty result; other columns are ignored, or carried through by ``keep_one``.
 """
 
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel.llm.tables import components, stored, text_or_empty
 from tidewheel.llm.words import blocks, mix, seeds, words_in
@@ -54,8 +54,8 @@ BLOCK_BYTES = 4 << 20
 COLUMNS = 4096
 CHUNK = 2048
 
-SIGNED = "doc_id long, class binary, n_shingles long, prefixes array<bigint>"
-TILED = "class_id long, label long, links long, copies long, pairs double, expected double"
+SIGNED = "doc_id long, mark long, class binary, n_shingles long, prefixes array<bigint>"
+TILED = "node long, label long, links long, copies long, pairs double, expected double"
 
 
 def found_in(depth: int, similarity: np.ndarray | float, trees: int = TREES):
@@ -118,7 +118,7 @@ def _signed(column: pa.Array, depth: int, width: int, trees: int) -> tuple[list,
 
 
 def signatures(docs: DataFrame, depth: int, width: int = WIDTH, trees: int = TREES) -> DataFrame:
-    """(doc_id, class, n_shingles, prefixes) per row of (doc_id, text)."""
+    """(doc_id, mark, class, n_shingles, prefixes) per row of (doc_id, text, mark)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,8 +126,8 @@ def signatures(docs: DataFrame, depth: int, width: int = WIDTH, trees: int = TRE
                 part = batch.slice(start, stop - start)
                 digests, sizes, prefixes = _signed(part.column(1), depth, width, trees)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["doc_id", "class", "n_shingles", "prefixes"],
+                    [part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(prefixes, pa.list_(pa.int64()))],
+                    ["doc_id", "mark", "class", "n_shingles", "prefixes"],
                 )
 
     return docs.mapInArrow(run, SIGNED)
@@ -179,16 +179,16 @@ def _labels(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify(ids: np.ndarray, copies: np.ndarray, texts: list[str], home: np.ndarray, across: bool, threshold: float, depth: int, width: int, trees: int) -> pd.DataFrame:
+def verify(nodes: np.ndarray, copies: np.ndarray, texts: list[str], home: np.ndarray, across: bool, threshold: float, depth: int, width: int, trees: int) -> pd.DataFrame:
     """Links inside one tile.  ``home`` is the block of each row; in a tile of two blocks
     (``across``) only pairs across them count, as each block has a tile of its own.  A block
     may be empty, so the rows alone do not tell how many blocks a tile has."""
     column = pa.array(texts, pa.large_string())
     runs, many = words_in(column).shingles(width)
     ends = np.cumsum(many)
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(nodes, kind="stable")
     sets = [np.unique(runs[ends[i] - many[i] : ends[i]]) for i in order]
-    ids, copies, home = ids[order], copies[order], home[order]
+    nodes, copies, home = nodes[order], copies[order], home[order]
     shared = intersections(sets)
     sizes = np.array([len(s) for s in sets])
     union = sizes[:, None] + sizes[None, :] - shared
@@ -200,8 +200,8 @@ def verify(ids: np.ndarray, copies: np.ndarray, texts: list[str], home: np.ndarr
     weight = np.where(linked, 1 / found_in(depth, np.minimum(similar, 1.0), trees), 0.0)
     return pd.DataFrame(
         {
-            "class_id": ids,
-            "label": ids[_labels(linked)],
+            "node": nodes,
+            "label": nodes[_labels(linked)],
             "links": linked.sum(axis=1),
             "copies": (linked * copies[None, :]).sum(axis=1),
             "pairs": linked.sum(axis=1).astype(float),
@@ -220,8 +220,21 @@ def near_duplicates(
     """One row per document: id, class_id (smallest id of its connected near duplicates),
     text_id (smallest id of equal shingle sets), n_copies (documents with that set),
     n_text_links (other shingle sets at the threshold) and n_links (other documents at the
-    threshold, copies included)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+threshold, copies included)."""
+    told = _told(docs, id_col, text_col, threshold, width, trees, recall)
+    return told.drop("mark", "best").withColumnRenamed("doc_id", id_col)
+
+
+def _marked(id_col: str, text_col: str) -> list[Column]:
+    """Id, text and a hash of the text: rows are known by id and hash, as ids may repeat."""
+    text = text_or_empty(text_col)
+    return [F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")]
+
+
+def _told(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, trees: int, recall: float) -> DataFrame:
+    """The result with the id still named doc_id, each row's ``mark``, and ``best``: id and
+    mark of the row that stands for its group."""
+    rows = docs.select(*_marked(id_col, text_col))
     depth = prefix_depth(threshold, recall, trees)
     while True:
         signed = stored(signatures(rows, depth, width, trees), "signed")
@@ -231,77 +244,91 @@ def near_duplicates(
         if depth == 1 or not found[0] or found[0] / found[1] >= recall:
             break
         depth -= 1
-    links = tiled.groupBy("class_id").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
-    groups = components(tiled.select("class_id", "label"), "class_id", "label")
+    links = tiled.groupBy("node").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
+    groups = components(tiled.select("node", "label"), "node", "label")
+    bests = groups.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("best"))
+    named = groups.join(stored(bests, "bests"), "component").select("node", "best")
     told = stored(
-        classes.join(links, "class_id", "left")
-        .join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
+        classes.join(links, "node", "left")
+        .join(named, "node", "left")
+        .withColumn("best", F.coalesce("best", "first"))
         .select(
             "class",
-            F.coalesce("component", "class_id").alias("class_id"),
-            F.col("class_id").alias("text_id"),
+            F.col("best.doc_id").alias("class_id"),
+            F.col("first.doc_id").alias("text_id"),
             F.col("class_size").alias("n_copies"),
             F.coalesce("links", F.lit(0)).alias("n_text_links"),
             (F.coalesce("copies", F.lit(0)) + F.col("class_size") - 1).alias("n_links"),
+            "best",
         ),
         "told",
     )
-    return signed.select("doc_id", "class").join(told, "class").drop("class").withColumnRenamed("doc_id", id_col)
+    return signed.select("doc_id", "mark", "class").join(told, "class").drop("class")
 
 
 def _classes(signed: DataFrame) -> DataFrame:
-    return signed.groupBy("class").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.max("n_shingles").alias("n_shingles")
+    """Classes, numbered: ``first`` is the id and mark of the row that stands for one, but ids
+    may repeat, so everything from here on goes by ``node``."""
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
+    return (
+        signed.groupBy("class")
+        .agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("class_size"), F.max("n_shingles").alias("n_shingles"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
 
 
 def _candidates(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that share a trie node, directly or through others."""
-    one = classes.where("n_shingles > 0").select(F.col("class").alias("of"), F.col("class_id").alias("id"))
-    match = (signed["class"] == one["of"]) & (signed["doc_id"] == one["id"])
+    one = classes.where("n_shingles > 0").select(F.col("class").alias("of"), "first", "node")
+    match = (signed["class"] == one["of"]) & (signed["doc_id"] == one["first.doc_id"]) & (signed["mark"] == one["first.mark"])
     leaves = stored(
         signed.join(one, match)
-        .select("id", F.posexplode("prefixes").alias("tree", "prefix")),
+        .select("node", F.posexplode("prefixes").alias("tree", "prefix")),
         "leaves",
     )
-    nodes = stored(
-        leaves.groupBy("tree", "prefix").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
-        "nodes",
+    roots = stored(
+        leaves.groupBy("tree", "prefix").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        "roots",
     )
-    ties = leaves.join(nodes, ["tree", "prefix"]).where("id <> first").select("id", "first")
-    return components(ties, "id", "first")
+    ties = leaves.join(roots, ["tree", "prefix"]).where("node <> root").select("node", "root")
+    return components(ties, "node", "root")
 
 
 def _tiles(rows: DataFrame, classes: DataFrame, grouped: DataFrame, threshold: float, depth: int, width: int, trees: int) -> DataFrame:
-    members = grouped.join(classes.select(F.col("class_id").alias("node"), "class_size", "n_shingles"), "node")
+    members = grouped.join(classes.select("node", "first.doc_id", "first.mark", "class_size", "n_shingles"), "node")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     cuts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
     placed = stored(members.join(stored(sizes.select("component", cuts.alias("cuts")), "sizes"), "component"), "members")
-    home = F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")
+    home = F.pmod(F.xxhash64("doc_id", "mark"), F.col("cuts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     with_text = (
-        rows.join(placed.withColumnRenamed("node", "doc_id"), "doc_id")
-        .select("component", F.col("doc_id").alias("class_id"), "class_size", "text", home.alias("home"), "cuts")
+        rows.join(placed, ["doc_id", "mark"])
+        .select("component", "node", "class_size", "text", home.alias("home"), "cuts")
         .select("*", other.alias("other"))
-        .select("component", F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"), "home", "class_id", "class_size", "text")
+        .select("component", F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"), "home", "node", "class_size", "text")
     )
 
     def work(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
         across = key[1] != key[2]
         if across and tile["home"].nunique() < 2:
             return pd.DataFrame({c.split()[0]: [] for c in TILED.split(", ")})
-        tile = tile.sort_values(["class_id", "text"]).drop_duplicates("class_id")
+        tile = tile.drop_duplicates("node")
         return verify(
-            tile["class_id"].to_numpy(), tile["class_size"].to_numpy(), tile["text"].tolist(), tile["home"].to_numpy(),
+            tile["node"].to_numpy(), tile["class_size"].to_numpy(), tile["text"].tolist(), tile["home"].to_numpy(),
             across, threshold, depth, width, trees,
         )
 
     return with_text.groupBy("component", "a", "b").applyInPandas(work, TILED)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group of near duplicates; rows
-    without an id stay."""
-    told = near_duplicates(docs, id_col, **options)
-    beaten = told.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    return docs.join(stored(beaten, "beaten"), id_col, "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+             width: int = WIDTH, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near duplicates: those with its
+    smallest id, and of different texts under that id the one with the smallest hash.  Rows
+    without an id stay."""
+    told = _told(docs, id_col, text_col, threshold, width, trees, recall)
+    here = F.struct("doc_id", "mark")
+    beaten = told.where(F.col("doc_id").isNotNull() & (here != F.col("best"))).select("doc_id", "mark").distinct()
+    gone = stored(beaten.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")), "beaten")
+    own_id, _, own_mark = _marked(id_col, text_col)
+    return docs.join(gone, (own_id == gone["gone_id"]) & (own_mark == gone["gone_mark"]), "left_anti")
