@@ -95,6 +95,11 @@ def test_ids_with_two_texts(spark):
     assert left == sorted((rows[i][0], rows[i][1]) for i in (0, 2, 4))
 
 
+def test_texts_without_words(spark):
+    rows = [(i, t, "en", "a") for i, t in enumerate(["***", "----", "...", " ***\n", "", None, " \t"])]
+    assert sorted(r.doc_id for r in near.keep_one(edge.documents(spark, rows)).collect()) == [0, 1, 2, 4]
+
+
 def test_small_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

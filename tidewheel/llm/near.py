@@ -25,7 +25,8 @@ trees; two classes are missed only if they meet in no tree nor through any other
 
 Defined cases: words are runs of ASCII letters, digits and non-ASCII characters, A-Z
 lower-cased.  A text of one to four words has one shingle, all its words.  Texts without
-words (also null ones) form one class, which links to no other.  Repeated rows are copies.
+words are copies if they are equal but for white space at the ends (null counts as empty);
+they link to no others.  Repeated rows are copies.
 Rows that share an id but not a text are told apart by a hash of the text, so each has the
 links of its own class.  A class whose ids are all null is not compared with others.  An empty table gives
 an empty result; other columns are ignored, or carried through by ``keep_one``.
@@ -106,6 +107,9 @@ def _signed(column: pa.Array, depth: int, width: int, trees: int) -> tuple[list,
     ends = np.cumsum(many)
     sets = [np.unique(runs[e - m : e]) for e, m in zip(ends, many)]
     digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+    for i in np.flatnonzero(many == 0):
+        bare = (column[int(i)].as_py() or "").strip(" \t\n\v\f\r").encode()
+        digests[i] = hashlib.blake2b(bare, digest_size=16, person=b"no words").digest()
     sizes = np.array([len(s) for s in sets], np.int64)
     prefixes: list = [[] for _ in sets]
     full = np.flatnonzero(sizes)
