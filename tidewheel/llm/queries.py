@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewheel.llm import exact, fingerprint, licenses, mixing, near, packing, shards, tokens, toxicity, warc
+from tidewheel.llm import exact, fingerprint, licenses, mending_queries, mixing, near, packing, shards, tokens, toxicity, warc
 from tidewheel.llm.encoders import default_path
 from tidewheel.llm.tables import table
 
@@ -159,6 +159,7 @@ QUERIES = {
     "op8_multiset_hash": (op8_multiset_hash, None),
     "op9_license_scan": (op9_license_scan, OP9_SQL),
     "op10_toxicity_cnn": (op10_toxicity_cnn, None),
+    **mending_queries.QUERIES,
 }
 
 
