@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import conversations, spelling
+from tidewheel.llm import conversations, secret_scan, spelling
 from tidewheel.llm.tables import table
 
 LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
@@ -64,6 +64,13 @@ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN c ON c.word = f.word AN
 """
 
 
+# --- op12 ----------------------------------------------------------------------------
+
+
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(table(spark, folder, "documents"))
+
+
 # --- op13 ----------------------------------------------------------------------------
 
 
@@ -153,5 +160,6 @@ FROM (SELECT DISTINCT conv_id, c FROM a) i LEFT JOIN s ON s.c = i.c LEFT JOIN b
 
 QUERIES = {
     "op11_spelling_variants": (op11_spelling_variants, OP11_SQL),
+    "op12_secret_scan": (op12_secret_scan, None),
     "op13_conversation_repair": (op13_conversation_repair, OP13_SQL),
 }
