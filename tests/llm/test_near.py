@@ -117,17 +117,80 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert near.keep_one(no_docs).collect() == []
 
 
-def test_recall_and_depth():
-    depth = near.prefix_depth(0.8, 0.995)
-    assert near.found_in(depth, 0.8) >= 0.995 > near.found_in(depth + 1, 0.8)
+def some_pair(rng, similarity, size=400):
+    common = int(2 * size * similarity / (1 + similarity))
+    parts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (common, size - common, size - common)]
+    return [np.unique(np.concatenate([parts[0], x])) for x in parts[1:]]
+
+
+def test_labels_meet_and_sketches_tell_similarity():
     rng = np.random.default_rng(1)
-    met = 0
+    met, told = 0, []
     for _ in range(60):
-        common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (160, 20, 20))
-        pair = [np.unique(np.concatenate([common, x])) for x in (a, b)]  # similarity 0.8
-        labels = near.label_prefixes(np.concatenate(pair), np.array([0, len(pair[0])]), depth)
-        met += bool((labels[0] == labels[1]).any())
-    assert met >= 58
+        pair = some_pair(rng, 0.8)
+        labels = near.label_bytes(np.concatenate(pair), np.array([0, len(pair[0])]))
+        told.append(near.likeness((labels[0] == labels[1]).mean()))
+        trees = (labels[0] == labels[1]).reshape(near.TREES, near.DEPTH)
+        met += bool(trees[:, : near.SHORTEST].all(axis=1).any())
+    assert met == 60 and abs(np.mean(told) - 0.8) < 0.01
+    assert sum(x >= near.least_likeness(0.8) for x in told) == 60
+    assert near.least_likeness(0.8) > 0.7 and near.found_in(near.SHORTEST, 0.8) > 0.9998
+
+
+def test_prefix_is_shortened_until_it_finds_the_links(spark):
+    """Pairs at 0.8 to 0.84 of long texts: whole labels find some, the shortened ones all."""
+    draw = random.Random(11)
+    rows = []
+    for i in range(150):
+        words_ = [f"p{i}w{draw.randrange(10**6)}" for _ in range(400)]
+        other = list(words_)
+        for at in range(8):
+            other[at * 45 + 7] = "other"
+        rows += [(2 * i, " ".join(words_), "en", "a"), (2 * i + 1, " ".join(other), "en", "a")]
+    found = got(near.near_duplicates(edge.documents(spark, rows)))
+    want = brute(rows)
+    links = sum(r[4] for r in want)
+    assert links == 300 and sum(r[4] for r in found) >= 0.995 * links
+
+
+def test_texts_of_one_template_are_not_compared(spark):
+    """Two thirds of each text are shared by all: many trie nodes, no link, no group."""
+    draw = random.Random(13)
+    shared = [f"s{i}" for i in range(400)]
+    rows = [(i, " ".join([*shared, *[f"r{draw.randrange(10**7)}" for _ in range(200)]]), "en", "a") for i in range(300)]
+    rows += [(900 + i, rows[i][1] + " end", "en", "a") for i in range(9)]
+    docs = edge.documents(spark, rows)
+    signed = tables.stored(near.signatures(docs.select(*near._marked("doc_id", "text"))))
+    classes = tables.stored(near._classes(signed))
+    grouped = near._candidates(classes, 0.8, near.TREES, near.RECALL)
+    assert sorted(r["count"] for r in grouped.groupBy("component").count().collect()) == [2] * 9
+    assert got(near.near_duplicates(docs)) == brute(rows)
+
+
+def test_tiles_within_a_crowded_trie_node(spark, monkeypatch):
+    """Pairs of near copies inside one template, none of them like the smallest of its node."""
+    monkeypatch.setattr(near, "SKETCH_ROWS", 8)
+    draw = random.Random(17)
+    shared = [f"s{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        own = [f"r{draw.randrange(10**7)}" for _ in range(100)]
+        rows += [(2 * i, " ".join([*shared, *own]), "en", "a"), (2 * i + 1, " ".join([*shared, *own, "end"]), "en", "a")]
+    assert got(near.near_duplicates(edge.documents(spark, rows))) == brute(rows)
+
+
+def test_bitmap_of_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows, keys = spark.range(20_000), tables.stored(spark.range(0, 20_000, 37))
+    for limit in (tables.MAX_BITS, 1 << 15):
+        monkeypatch.setattr(tables, "MAX_BITS", limit)
+        bits = tables.key_bits(keys, F.xxhash64("id"))
+        held = {r.id for r in tables.may_hold(rows, F.xxhash64("id"), bits).collect()}
+        rest = {r.id for r in tables.may_hold(rows, F.xxhash64("id"), bits, hold=False).collect()}
+        assert held >= set(range(0, 20_000, 37)) and not held & rest and len(held) + len(rest) == 20_000 and len(held) < 1200
+    empty = tables.key_bits(tables.stored(spark.range(0)), F.xxhash64("id"))
+    assert tables.may_hold(rows, F.xxhash64("id"), empty).count() == 0
 
 
 def test_intersections():

@@ -5,20 +5,26 @@ reaches the threshold.  The steps:
 
 1.  Documents with equal shingle sets are copies; the smallest id stands for them ("class"
     inside this module).  All further steps see these, so copies are never compared.
-2.  Every class has one MinHash label of ``DEPTH`` values for each of ``TREES`` trees.
-    Classes whose labels share a prefix are in one node of the tree's trie.  The prefix
-    starts at full length and is shortened until a pair at the threshold meets in at least
-    one tree with the target probability.  After verification the recall is estimated from
-    the similarities found (each link stands for 1 / its chance of being found); while the
-    estimate is below the target the prefix is shortened again.
-3.  In each node every class is tied to the node's smallest class: one row per class and
-    tree, however large the node.  Connected ties bound where links can be.
-4.  The members of a connected group meet in tiles of bounded size.  A tile intersects all
+2.  Every class has a label of ``DEPTH`` MinHash values, one byte each, for each of ``TREES``
+    trees.  Classes whose labels begin alike are in one node of the tree's trie.  Matching
+    begins with whole labels; the matched prefix is then shortened byte by byte.  At each
+    depth a class is tied to the smallest class of each of its nodes: one row per class and
+    tree, however large the node.
+3.  All labels of a class together are a sketch of its set: the share of equal bytes tells the
+    similarity of two classes up to a known error.  A tie counts only if the sketches reach
+    the threshold less ``SLACK`` standard errors, so texts that merely share a template are
+    not tied.  The prefix is shortened until that brings next to no class a first tie: of the
+    classes whose best tie is close to the threshold, where prefixes find least, at most
+    1 - ``RECALL`` are new.  What shorter prefixes would add is less than that again.
+4.  Classes that share a node with others, but not their sketch with the node's smallest, are
+    compared by sketch with all classes of the node, in tiles.
+5.  The members of a connected group meet in tiles of bounded size.  A tile intersects all
     its shingle sets by a sparse product in numpy and keeps the pairs that reach the
     threshold: it returns one row per class, with the number of its links and the smallest
     class tied to it there, never a row per pair.  Large groups are cut into blocks, and
-    each pair of blocks is a tile.
-5.  Verified ties are connected to groups of near duplicates, the ``class_id`` of the result.
+    each pair of blocks is a tile.  Only the texts of members travel: a bitmap of bounded size
+    tells nearly all others apart during the scan.
+6.  Verified ties are connected to groups of near duplicates, the ``class_id`` of the result.
 
 The tiles of a group compare all its classes, so no link within a group is lost to the
 trees; two classes are missed only if they meet in no tree nor through any others.
@@ -42,21 +48,27 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewheel.llm.tables import components, stored, text_or_empty
+from tidewheel.llm.tables import components, key_bits, may_hold, stored, text_or_empty
 from tidewheel.llm.words import blocks, mix, seeds, words_in
 
 WIDTH = 5
 THRESHOLD = 0.8
 TREES = 32
-DEPTH = 12
+DEPTH = 10
+SHORTEST = 6
 RECALL = 0.995
+SLACK = 4.0
+CLOSE = 0.1
 BLOCK_ROWS = 256
 BLOCK_BYTES = 4 << 20
 COLUMNS = 4096
-CHUNK = 2048
+CHUNK = 512
 
-SIGNED = "doc_id long, mark long, class binary, n_shingles long, prefixes array<bigint>"
-TILED = "node long, label long, links long, copies long, pairs double, expected double"
+SKETCH_ROWS = 512
+
+SIGNED = "doc_id long, mark long, class binary, n_shingles long, label binary"
+TILED = "node long, label long, links long, copies long"
+LIKE = "node long, root long, likeness double"
 
 
 def found_in(depth: int, similarity: np.ndarray | float, trees: int = TREES):
@@ -64,13 +76,6 @@ def found_in(depth: int, similarity: np.ndarray | float, trees: int = TREES):
     return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the prefix until a pair at the threshold is found with chance ``recall``."""
-    while depth > 1 and found_in(depth, threshold, trees) < recall:
-        depth -= 1
-    return depth
-
-
 # --- signatures ----------------------------------------------------------------------
 
 
@@ -78,31 +83,26 @@ def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
     return (seeds(count, 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds(count, 22) >> np.uint64(32)).astype(np.uint32)
 
 
-def label_prefixes(shingles: np.ndarray, bounds: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """Per text and tree a hash of the first ``depth`` MinHash values.
+def label_bytes(shingles: np.ndarray, bounds: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """Per text one byte of each of ``trees`` * ``DEPTH`` MinHash values.
 
     ``bounds`` are the starts of the texts' shingles; no text is empty here.
     """
     factor, offset = _factors(trees * DEPTH)
-    used = (np.arange(trees)[:, None] * DEPTH + np.arange(depth)).ravel()
     small = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full((len(bounds), len(used)), np.iinfo(np.uint32).max, np.uint32)
+    least = np.full((len(bounds), len(factor)), np.iinfo(np.uint32).max, np.uint32)
     owner = np.searchsorted(bounds, np.arange(len(small)), "right") - 1
     for at in range(0, len(small), CHUNK):
         part = small[at : at + CHUNK]
         own = owner[at : at + CHUNK]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        values = part[:, None] * factor[used] + offset[used]
+        values = part[:, None] * factor + offset
         least[own[first]] = np.minimum(least[own[first]], np.minimum.reduceat(values, first, axis=0))
-    labels = least.reshape(len(bounds), trees, depth)
-    out = np.zeros((len(bounds), trees), np.uint64)
-    for level in range(depth):
-        out = mix(out + labels[:, :, level] + np.uint64(level + 1))
-    return out.view(np.int64)
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
 
 
-def _signed(column: pa.Array, depth: int, width: int, trees: int) -> tuple[list, np.ndarray, list]:
-    """Class digest, number of shingles and tree prefixes of each text."""
+def _signed(column: pa.Array, width: int, trees: int) -> tuple[list, np.ndarray, list]:
+    """Class digest, number of shingles and label of each text."""
     runs, many = words_in(column).shingles(width)
     ends = np.cumsum(many)
     sets = [np.unique(runs[e - m : e]) for e, m in zip(ends, many)]
@@ -111,32 +111,63 @@ def _signed(column: pa.Array, depth: int, width: int, trees: int) -> tuple[list,
         bare = (column[int(i)].as_py() or "").strip(" \t\n\v\f\r").encode()
         digests[i] = hashlib.blake2b(bare, digest_size=16, person=b"no words").digest()
     sizes = np.array([len(s) for s in sets], np.int64)
-    prefixes: list = [[] for _ in sets]
+    labels: list = [b""] * len(sets)
     full = np.flatnonzero(sizes)
     if len(full):
         bounds = np.cumsum(sizes[full]) - sizes[full]
-        rows = label_prefixes(np.concatenate([sets[i] for i in full]), bounds, depth, trees)
+        rows = label_bytes(np.concatenate([sets[i] for i in full]), bounds, trees)
         for i, row in zip(full, rows):
-            prefixes[i] = row
-    return digests, sizes, prefixes
+            labels[i] = row.tobytes()
+    return digests, sizes, labels
 
 
-def signatures(docs: DataFrame, depth: int, width: int = WIDTH, trees: int = TREES) -> DataFrame:
-    """(doc_id, mark, class, n_shingles, prefixes) per row of (doc_id, text, mark)."""
+def signatures(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> DataFrame:
+    """(doc_id, mark, class, n_shingles, label) per row of (doc_id, text, mark)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in blocks(batch.column(1)):
                 part = batch.slice(start, stop - start)
-                digests, sizes, prefixes = _signed(part.column(1), depth, width, trees)
+                digests, sizes, labels = _signed(part.column(1), width, trees)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["doc_id", "mark", "class", "n_shingles", "prefixes"],
+                    [part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(labels, pa.binary())],
+                    ["doc_id", "mark", "class", "n_shingles", "label"],
                 )
 
     return docs.mapInArrow(run, SIGNED)
 
 
+# --- sketches ------------------------------------------------------------------------
+
+
+def likeness(equal: np.ndarray) -> np.ndarray:
+    """Similarity told by a share of equal label bytes; unequal values share a byte by chance."""
+    return (equal - 1 / 256) / (1 - 1 / 256)
+
+
+def least_likeness(threshold: float, trees: int = TREES) -> float:
+    """The likeness that pairs at the threshold reach but for ``SLACK`` standard errors."""
+    return threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / (trees * DEPTH)))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def compared(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, root, likeness) of (node, root) rows."""
+    one = labels.select("node", F.col("label").alias("own"))
+    other = labels.select(F.col("node").alias("root"), F.col("label").alias("its"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                equal = (_matrix(batch.column(2)) == _matrix(batch.column(3))).mean(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness(equal))], ["node", "root", "likeness"])
+
+    return pairs.join(one, "node").join(other, "root").select("node", "root", "own", "its").mapInArrow(run, LIKE)
+
+
 # --- verification --------------------------------------------------------------------
 
 
@@ -183,7 +214,7 @@ def _labels(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify(nodes: np.ndarray, copies: np.ndarray, texts: list[str], home: np.ndarray, across: bool, threshold: float, depth: int, width: int, trees: int) -> pd.DataFrame:
+def verify(nodes: np.ndarray, copies: np.ndarray, texts: list[str], home: np.ndarray, across: bool, threshold: float, width: int) -> pd.DataFrame:
     """Links inside one tile.  ``home`` is the block of each row; in a tile of two blocks
     (``across``) only pairs across them count, as each block has a tile of its own.  A block
     may be empty, so the rows alone do not tell how many blocks a tile has."""
@@ -201,15 +232,12 @@ def verify(nodes: np.ndarray, copies: np.ndarray, texts: list[str], home: np.nda
     np.fill_diagonal(linked, False)
     if across:
         linked &= home[:, None] != home[None, :]
-    weight = np.where(linked, 1 / found_in(depth, np.minimum(similar, 1.0), trees), 0.0)
     return pd.DataFrame(
         {
             "node": nodes,
             "label": nodes[_labels(linked)],
             "links": linked.sum(axis=1),
             "copies": (linked * copies[None, :]).sum(axis=1),
-            "pairs": linked.sum(axis=1).astype(float),
-            "expected": weight.sum(axis=1),
         }
     )
 
@@ -239,15 +267,10 @@ def _told(docs: DataFrame, id_col: str, text_col: str, threshold: float, width:
     """The result with the id still named doc_id, each row's ``mark``, and ``best``: id and
     mark of the row that stands for its group."""
     rows = docs.select(*_marked(id_col, text_col))
-    depth = prefix_depth(threshold, recall, trees)
-    while True:
-        signed = stored(signatures(rows, depth, width, trees), "signed")
-        classes = stored(_classes(signed), "classes")
-        tiled = stored(_tiles(rows, classes, _candidates(signed, classes), threshold, depth, width, trees), "tiles")
-        found = tiled.agg(F.sum("pairs"), F.sum("expected")).first()
-        if depth == 1 or not found[0] or found[0] / found[1] >= recall:
-            break
-        depth -= 1
+    signed = stored(signatures(rows, width, trees), "signed")
+    classes = stored(_classes(signed), "classes")
+    grouped = _candidates(classes, threshold, trees, recall)
+    tiled = stored(_tiles(rows, classes, grouped, threshold, width), "tiles")
     links = tiled.groupBy("node").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
     groups = components(tiled.select("node", "label"), "node", "label")
     bests = groups.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("best"))
@@ -276,37 +299,107 @@ def _classes(signed: DataFrame) -> DataFrame:
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
     return (
         signed.groupBy("class")
-        .agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("class_size"), F.max("n_shingles").alias("n_shingles"))
+        .agg(
+            F.min(row).alias("first"), F.count(F.lit(1)).alias("class_size"),
+            F.max("n_shingles").alias("n_shingles"), F.any_value("label").alias("label"),
+        )
         .withColumn("node", F.monotonically_increasing_id())
-    )
+    )
+
+
+def _prefix(depth: int) -> Column:
+    return F.substring("leaf", 1, depth).alias("prefix")
+
+
+def _crowded(classes: DataFrame, trees: int) -> DataFrame:
+    """(node, tree, leaf) of the leaves that share their ``SHORTEST`` prefix with another."""
+    leaf = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("label"), t * DEPTH + 1, F.lit(DEPTH)))
+    leaves = classes.where("n_shingles > 0 and first is not null").select("node", F.posexplode(leaf).alias("tree", "leaf"))
+    place = F.xxhash64("tree", F.substring("leaf", 1, SHORTEST))
+    many = stored(leaves.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place"), "crowded")
+    return stored(may_hold(leaves, place, key_bits(many, F.col("place"))), "leaves")
+
+
+def _candidates(classes: DataFrame, threshold: float, trees: int, recall: float) -> DataFrame:
+    """(node, component) of the classes tied by prefix and sketch, directly or through others."""
+    leaves = _crowded(classes, trees)
+    met = stored(leaves.select("node").distinct(), "met")
+    labels = stored(may_hold(classes.select("node", "label"), F.xxhash64("node"), key_bits(met, F.xxhash64("node"))), "labels")
+    least = least_likeness(threshold, trees)
+    ties, tied = None, 0
+    for depth in range(DEPTH, SHORTEST - 1, -1):
+        found = _members(leaves, depth).where("node <> root").select("node", "root").distinct()
+        if ties is not None:
+            found = found.join(ties.select("node", "root"), ["node", "root"], "left_anti")
+        new = stored(compared(found, labels), "ties")
+        ties = new if ties is None else ties.union(new)
+        best = ties.groupBy("node").agg(F.max("likeness").alias("likeness"))
+        before, tied = tied, best.where(F.col("likeness").between(least, threshold + CLOSE)).count()
+        if depth < DEPTH and tied - before <= (1 - recall) * tied:
+            break
+    good = ties.where(F.col("likeness") >= least).select("node", "root")
+    return components(good.union(_within(leaves, labels, ties, depth, least)), "node", "root")
 
 
-def _candidates(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, component) of the classes that share a trie node, directly or through others."""
-    one = classes.where("n_shingles > 0").select(F.col("class").alias("of"), "first", "node")
-    match = (signed["class"] == one["of"]) & (signed["doc_id"] == one["first.doc_id"]) & (signed["mark"] == one["first.mark"])
-    leaves = stored(
-        signed.join(one, match)
-        .select("node", F.posexplode("prefixes").alias("tree", "prefix")),
-        "leaves",
+def _members(leaves: DataFrame, depth: int) -> DataFrame:
+    """(tree, prefix, node, root, n) of the trie nodes of one depth that hold several classes:
+    ``root`` is the smallest of the ``n`` classes."""
+    at = leaves.select("tree", _prefix(depth), "node")
+    nodes = at.groupBy("tree", "prefix").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return at.join(stored(nodes, "nodes"), ["tree", "prefix"])
+
+
+def _within(leaves: DataFrame, labels: DataFrame, ties: DataFrame, depth: int, least: float) -> DataFrame:
+    """Further (node, root) ties inside trie nodes, of the classes unlike the node's smallest.
+
+    These meet all classes of the node in tiles of two blocks, of which one at least holds only
+    such classes.  Trie nodes with the same classes, from several trees, are compared once.
+    """
+    odd = ties.where(F.col("likeness") < least).select("node", "root", F.lit(True).alias("odd"))
+    members = stored(
+        _members(leaves, depth).where("n > 2").join(odd, ["node", "root"], "left").select("tree", "prefix", "node", F.coalesce("odd", F.lit(False)).alias("odd")),
+        "within",
     )
-    roots = stored(
-        leaves.groupBy("tree", "prefix").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
-        "roots",
+    sets = members.groupBy("tree", "prefix").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("n_odd"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    )
+    once = sets.where("n_odd > 0").groupBy("n", "n_odd", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("at"))
+    blocks_of = lambda c: F.ceil(c / SKETCH_ROWS).cast("int")
+    chosen = stored(once.select("at.*", blocks_of(F.col("n_odd")).alias("odds"), blocks_of(F.col("n") - F.col("n_odd")).alias("others")), "chosen")
+    home = F.when(F.col("odd"), F.pmod(F.xxhash64("node"), F.col("odds"))).otherwise(F.col("odds") + F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    partners = F.when(F.col("odd"), F.sequence(F.lit(0), F.col("odds") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("odds") - 1))
+    tiles = (
+        members.join(chosen, ["tree", "prefix"])
+        .join(labels, "node")
+        .select("tree", "prefix", "node", "label", home.alias("home"), F.explode(partners).alias("other"))
+        .select("tree", "prefix", F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"), "home", "node", "label")
     )
-    ties = leaves.join(roots, ["tree", "prefix"]).where("node <> root").select("node", "root")
-    return components(ties, "node", "root")
+
+    def work(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        nodes = tile["node"].to_numpy()
+        sketch = np.frombuffer(b"".join(tile["label"]), np.uint8).reshape(len(nodes), -1)
+        asked = np.flatnonzero(tile["home"].to_numpy() == key[2])
+        linked = np.zeros((len(nodes), len(nodes)), bool)
+        for at in range(0, len(asked), 64):
+            some = asked[at : at + 64]
+            linked[some] = likeness((sketch[some, None] == sketch[None]).mean(axis=2)) >= least
+        label = nodes[_labels(linked | linked.T)]
+        return pd.DataFrame({"node": nodes, "root": label})[nodes != label]
+
+    return tiles.groupBy("tree", "prefix", "a", "b").applyInPandas(work, "node long, root long")
 
 
-def _tiles(rows: DataFrame, classes: DataFrame, grouped: DataFrame, threshold: float, depth: int, width: int, trees: int) -> DataFrame:
+def _tiles(rows: DataFrame, classes: DataFrame, grouped: DataFrame, threshold: float, width: int) -> DataFrame:
     members = grouped.join(classes.select("node", "first.doc_id", "first.mark", "class_size", "n_shingles"), "node")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     cuts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
     placed = stored(members.join(stored(sizes.select("component", cuts.alias("cuts")), "sizes"), "component"), "members")
-    home = F.pmod(F.xxhash64("doc_id", "mark"), F.col("cuts")).cast("int")
+    row = F.xxhash64("doc_id", "mark")
+    home = F.pmod(row, F.col("cuts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     with_text = (
-        rows.join(placed, ["doc_id", "mark"])
+        may_hold(rows, row, key_bits(placed, row))
+        .join(placed, ["doc_id", "mark"])
         .select("component", "node", "class_size", "text", home.alias("home"), "cuts")
         .select("*", other.alias("other"))
         .select("component", F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"), "home", "node", "class_size", "text")
@@ -319,7 +412,7 @@ def _tiles(rows: DataFrame, classes: DataFrame, grouped: DataFrame, threshold: f
         tile = tile.drop_duplicates("node")
         return verify(
             tile["node"].to_numpy(), tile["class_size"].to_numpy(), tile["text"].tolist(), tile["home"].to_numpy(),
-            across, threshold, depth, width, trees,
+            across, threshold, width,
         )
 
     return with_text.groupBy("component", "a", "b").applyInPandas(work, TILED)
@@ -335,4 +428,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     beaten = told.where(F.col("doc_id").isNotNull() & (here != F.col("best"))).select("doc_id", "mark").distinct()
     gone = stored(beaten.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")), "beaten")
     own_id, _, own_mark = _marked(id_col, text_col)
-    return docs.join(gone, (own_id == gone["gone_id"]) & (own_mark == gone["gone_mark"]), "left_anti")
+    bits = key_bits(gone, F.xxhash64("gone_id", "gone_mark"))
+    own = F.xxhash64(own_id, own_mark)
+    doubted = may_hold(docs, own, bits)
+    match = (own_id == gone["gone_id"]) & (own_mark == gone["gone_mark"])
+    return may_hold(docs, own, bits, hold=False).union(doubted.join(gone, match, "left_anti"))

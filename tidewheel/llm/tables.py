@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -52,6 +53,41 @@ def count_not_above(splitters: Column, count: int, key: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step) if steps else F.lit(0)
 
 
+BITS_PER_KEY = 16
+MAX_BITS = 1 << 28
+
+
+class KeyBits(NamedTuple):
+    """A bitmap of hashed keys: ``table`` has a row per 4 KB of it, of ``slots`` bits in all."""
+
+    table: DataFrame
+    slots: int
+
+
+def key_bits(keys: DataFrame, place: Column) -> KeyBits:
+    """The bitmap of the 64-bit hashes ``place`` of the stored table ``keys``.
+
+    It has ``BITS_PER_KEY`` bits or more for each key but never over ``MAX_BITS`` (32 MB), which
+    bounds what is broadcast; with more keys it only tells fewer other rows apart.
+    """
+    count, slots = keys.count(), 1 << 15
+    while slots < min(BITS_PER_KEY * count, MAX_BITS):
+        slots *= 2
+    at = F.pmod(place, F.lit(slots)) + 1
+    found = keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    return KeyBits(stored(found.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "bits"), slots)
+
+
+def may_hold(rows: DataFrame, place: Column, bits: KeyBits, hold: bool = True) -> DataFrame:
+    """The rows whose hash has its bit set: all with such a key and a few others; or the rest."""
+    at = F.pmod(place, F.lit(bits.slots)) + 1
+    bit = F.bitmap_bit_position(at).cast("int")
+    byte = F.substring(bits.table["bits"], (bit / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit % 8) == 1
+    match = (F.bitmap_bucket_number(at) == bits.table["bucket"]) & is_set
+    return rows.join(F.broadcast(bits.table), match, "left_semi" if hold else "left_anti")
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): the smallest node of each connected component, by star contraction.
 
