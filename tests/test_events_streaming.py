@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import events, ingest
 from tidewheel.sources import files
-from tidewheel.sources.sinks import ChangeLog, StateTable
+from tidewheel.sources.sinks import merge_days
 from tidewheel.streaming import jobs
 
 BASE = datetime(2024, 3, 1, 22, 0, 0)
@@ -237,10 +237,7 @@ def test_stream_windows_equal_batch(spark, log, source, tmp_path, minutes):
     jobs.run_window_stats(reading(spark, source), root, minutes=minutes).awaitTermination()
     batch = events.window_stats(events.finished(log), minutes)
     assert window_rows(jobs.read_window_stats(spark, root, minutes)) == window_rows(batch)
-    log_dir = ChangeLog(spark, f"{root}/state", ["window_start"])
-    assert len(files.folders(spark, f"{root}/state/log")) == 4
-    log_dir.compact()
-    assert window_rows(jobs.read_window_stats(spark, root, minutes)) == window_rows(batch)
+    assert files.folders(spark, f"{root}/stats") == ["day=2024-03-01", "day=2024-03-02"]
 
 
 def test_stream_goes_on_after_restart(spark, log, tmp_path):
@@ -266,12 +263,54 @@ def test_lateness_bound_drops_late_events(spark, tmp_path):
 def test_additive_stats_equal_batch(spark, log, source, tmp_path):
     root = str(tmp_path / "a")
     jobs.run_additive_stats(reading(spark, source), root).awaitTermination()
-    table = StateTable(spark, f"{root}/stats")
-    assert window_rows(table.read()) == window_rows(events.window_stats(events.finished(log)))
-    before = window_rows(table.read())
-    again = events.window_stats(events.finished(log))
-    table.add_counts(again, ["window_start"], ["total_count", "abnormal_count"], ["window_end"], batch_id=0)
-    assert window_rows(table.read()) == before  # a batch seen before changes nothing
+    assert window_rows(jobs.read_window_stats(spark, root)) == window_rows(events.window_stats(events.finished(log)))
+    before = window_rows(jobs.read_window_stats(spark, root))
+    again = events.window_stats(events.finished(log)).drop("window_end").withColumn("day", F.to_date("window_start"))
+    merge_days(again, f"{root}/stats", ["window_start"], "day", 0, ["total_count", "abnormal_count"])
+    assert window_rows(jobs.read_window_stats(spark, root)) == before  # a batch seen before changes nothing
+
+
+def one_by_one(spark, tmp_path, parts, run):
+    """Each list of rows as one file and one run of the query; its progress after each."""
+    path, seen = str(tmp_path / "events"), []
+    for rows in parts:
+        spark.createDataFrame(rows, COLUMNS).coalesce(1).write.mode("append").parquet(path)
+        query = run(reading(spark, path))
+        query.awaitTermination()
+        seen.append(query.lastProgress)
+    return seen
+
+
+def test_closed_sessions_leave_the_state(spark, tmp_path):
+    """Two sessions are closed, one stays open; a day past the retention only that one is kept.
+    A login after that opens a new row."""
+    t = lambda hours: BASE + timedelta(hours=hours)
+    e = lambda i, s, kind, hours, user=1: (i, user, 1, s, kind, t(hours), 5.0)
+    parts = [
+        [e(1, "a", "login", 0), e(2, "a", "finish", 1), e(3, "a", "logout", 2), e(4, "b", "login", 0), e(5, "b", "logout", 1), e(6, "c", "finish", 1)],
+        [e(7, "b", "login", 3)],  # within the retention: the same row again, open
+        [e(8, "c", "finish", 60)],  # the watermark passes the end of a
+        [e(9, "a", "login", 61, 7), e(10, "b", "logout", 61)],
+    ]
+    root = str(tmp_path / "s")
+    run = lambda stream: jobs.run_sessions(stream, root, retention=timedelta(hours=24), lateness="1 hour")
+    seen = one_by_one(spark, tmp_path, parts, run)
+    assert len(seen) == len(parts)
+    rows = jobs.read_sessions(spark, root).orderBy("session_id", "session_start_time").collect()
+    got = [(r["session_id"], r["user_id"], r["session_start_time"], r["status"], r["event_count"]) for r in rows]
+    assert got == [("a", 1, t(0), "closed", 1), ("a", 7, t(61), "active", 0), ("b", 1, t(0), "closed", 0), ("c", 1, t(1), "active", 2)]
+
+
+def test_state_size_falls_after_the_retention(spark, tmp_path):
+    t = lambda hours: BASE + timedelta(hours=hours)
+    many = [(2 * i + k, i, 1, f"s{i}", kind, t(k), 1.0) for i in range(50) for k, kind in enumerate(["login", "logout"])]
+    parts = [many, [(1000, 1, 1, "late", "login", t(100), 1.0)], [(1001, 1, 1, "late", "finish", t(101), 1.0)]]
+    root = str(tmp_path / "s")
+    run = lambda stream: jobs.run_sessions(stream, root, retention=timedelta(hours=24), lateness="1 hour")
+    seen = one_by_one(spark, tmp_path, parts, run)
+    sizes = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in seen]
+    assert sizes[0] >= 50 and sizes[-1] < 10
+    assert jobs.read_sessions(spark, root).where("status = 'closed'").count() == 50
 
 
 def test_stream_sessions_and_users_equal_batch(spark, log, source, tmp_path):
@@ -287,26 +326,67 @@ def test_stream_sessions_and_users_equal_batch(spark, log, source, tmp_path):
     assert got == want
 
 
+def top(df):
+    return [(r["movie_id"], r["rank_position"]) for r in df.orderBy("rank_position").collect()]
+
+
 def test_stream_popular(spark, log, source, tmp_path):
     root = str(tmp_path / "p")
     jobs.run_popular(reading(spark, source), root, 5).awaitTermination()
-    got = StateTable(spark, f"{root}/popular").read().orderBy("rank_position").collect()
-    want = events.popular_items(log, 5).orderBy("rank_position").collect()
-    assert [(r["movie_id"], r["rank_position"]) for r in got] == [(r["movie_id"], r["rank_position"]) for r in want]
+    assert top(jobs.read_popular(spark, root)) == top(events.popular_items(log, 5))
+    assert all(spark.read.parquet(f"{root}/popular/{n}").count() <= 5 for n in files.folders(spark, f"{root}/popular"))
 
 
-def test_embedding_refresh(spark, log, source, tmp_path):
+def test_popular_writes_changed_items_only(spark, tmp_path):
+    """Also where totals fall below an item outside the top, which are then ranked anew."""
+    root, done = str(tmp_path / "p"), []
+    e = lambda i, item, seconds: (i, 1, item, "s", "finish", BASE, float(seconds))
+    parts = [
+        [e(i, i, 100 - i) for i in range(20)],
+        [e(20, 19, 50), e(21, 3, 1)],  # 19 rises to the top
+        [e(22, 0, -90), e(23, 1, -90), e(24, 2, -90), e(25, 3, -90)],  # unchanged ones move up
+        [e(26, 30, 1)],
+    ]
+    for n, rows in enumerate(parts):
+        one_by_one(spark, tmp_path, [rows], lambda stream: jobs.run_popular(stream, root, 3))
+        done += rows
+        assert top(jobs.read_popular(spark, root)) == top(events.popular_items(spark.createDataFrame(done, COLUMNS), 3)), n
+        changed = spark.read.parquet(f"{root}/totals/{files.folders(spark, f'{root}/totals')[-1]}").count()
+        assert changed == len({r[2] for r in rows}) or changed == 0
+
+
+ITEMS = [(m, [float(m), 1.0]) for m in range(0, 20, 2)]
+
+
+def test_embedding_refresh(spark, log, tmp_path):
     root = str(tmp_path / "r")
-    items = spark.createDataFrame([(m, [float(m), 1.0]) for m in range(0, 20, 2)], "movie_id long, movie_embedding array<float>")
-    jobs.run_embedding_refresh(reading(spark, source), root, lambda: log, items).awaitTermination()
+    items = spark.createDataFrame(ITEMS, "movie_id long, movie_embedding array<float>")
+    rows = stream_rows()
+    parts = [rows[:100], rows[100:160], rows[160:]]
+    seen = one_by_one(spark, tmp_path, parts, lambda stream: jobs.run_embedding_refresh(stream, root, items, limit=15, hours=2))
+    assert [p["numInputRows"] for p in seen] == [100, 60, 80]  # a batch reads its own events only
+    known, last, want = [], {}, {}
+    for part in parts:
+        known += part
+        newest = max(r[5] for r in part)
+        version = f"{newest:%Y-%m-%d-%H-%M}"
+        for user in {r[1] for r in part}:
+            mine = sorted((r for r in known if r[1] == user), key=lambda r: (r[5], r[0]), reverse=True)[:15]
+            mine = [r for r in mine if r[5] >= newest - timedelta(hours=2)]
+            weights = [(max(r[6], 30.0), r[2]) for r in mine if r[2] % 2 == 0]
+            if weights:
+                value = sum(w * m for w, m in weights) / sum(w for w, _ in weights)
+                want[(version, user)] = (last.get(user), len(mine), max(r[0] for r in mine), round(value, 4))
+            last[user] = version
+    found = spark.read.parquet(f"{root}/versions/*/batch_id=*").collect()
+    got = {(r["version"], r["user_id"]): (r["previous_version"], r["source_event_count"], r["source_event_max_id"],
+                                          round(json.loads(r["embedding"])[0], 4)) for r in found}
+    assert got == want
     snapshots = spark.read.parquet(f"{root}/snapshots").collect()
-    assert {r["user_id"] for r in snapshots} == {r[1] for r in stream_rows()}
-    assert any(r["previous_version"] for r in snapshots)
+    assert {(r["embedding_version"], r["user_id"]) for r in snapshots} == set(want)
     latest = files.read_json(spark, f"{root}/latest.json", {})
     manifest = files.read_json(spark, f"{root}/versions/{latest['version']}/manifest.json", {})
     assert manifest["version"] == latest["version"] and manifest["source_event_max_id"] <= 239
-    vec = spark.read.parquet(f"{root}/versions/{latest['version']}").first()["embedding"]
-    assert len(json.loads(vec)) == 2
 
 
 def test_watch_profile_loop(spark, log):

@@ -185,39 +185,44 @@ def test_training_export(spark, tmp_path):
         sinks.training_export(df.drop("label"), str(tmp_path / "y"), 2)
 
 
-def test_state_table(spark, tmp_path):
-    table = sinks.StateTable(spark, str(tmp_path / "t"))
-    rows = lambda *r: spark.createDataFrame(list(r), "k long, v long")
-    table.insert_absent(rows((1, 10), (2, 20)), ["k"])
-    table.insert_absent(rows((2, 99), (3, 30)), ["k"])
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 10), (2, 20), (3, 30)]
-    table.upsert(rows((2, 21)), ["k"])
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 10), (2, 21), (3, 30)]
-    old = table.path()
-    table.replace(rows((9, 9)))
-    assert [tuple(r) for r in table.read().collect()] == [(9, 9)] and table.path() != old
-    assert files.folders(spark, str(tmp_path / "t")) == ["step-000000002", "step-000000003", "step-000000004"]
-
-
-def test_change_log(spark, tmp_path):
-    log = sinks.ChangeLog(spark, str(tmp_path / "c"), ["k"])
-    with pytest.raises(FileNotFoundError):
-        log.read()
+def test_merge_days(spark, tmp_path):
+    from datetime import date
+
+    path = str(tmp_path / "t")
+    d = [date(2024, 1, i) for i in range(1, 5)]
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, day date, n long, note string")
+    state = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("k", "day", "n", "note").collect())
+    names = lambda day: sorted(f.name for f in (tmp_path / "t" / f"day={day}").glob("*.parquet"))
+    sinks.merge_days(rows((1, d[0], 1, "a"), (2, d[0], 5, "a"), (3, d[1], 7, "a")), path, ["k"], "day", 0, ["n"])
+    untouched = names(d[1])
+    sinks.merge_days(rows((1, d[0], 10, "b"), (4, d[2], 2, "b")), path, ["k"], "day", 1, ["n"])
+    want = [(1, d[0], 11, "b"), (2, d[0], 5, "a"), (3, d[1], 7, "a"), (4, d[2], 2, "b")]
+    assert state() == want and names(d[1]) == untouched
+    sinks.merge_days(rows((1, d[0], 10, "b"), (4, d[2], 2, "b")), path, ["k"], "day", 1, ["n"])  # the same batch again
+    assert state() == want
+    # a batch that was committed for one of its two days only is finished by its repeat
+    sinks.merge_days(rows((1, d[0], 100, "c")), path, ["k"], "day", 2, ["n"])
+    sinks.merge_days(rows((1, d[0], 100, "c"), (3, d[1], 1, "c"), (9, d[3], 9, "c")), path, ["k"], "day", 2, ["n"])
+    assert state() == [(1, d[0], 111, "c"), (2, d[0], 5, "a"), (3, d[1], 8, "c"), (4, d[2], 2, "b"), (9, d[3], 9, "c")]
+    sinks.merge_days(rows((2, d[0], 50, "d")), path, ["k"], "day", 3)  # without sums rows are replaced
+    assert (2, d[0], 50, "d") in state()
+    sinks.merge_days(rows(), path, ["k"], "day", 4, ["n"])
+    assert len(state()) == 5
+
+
+def test_batch_folders(spark, tmp_path):
+    path = str(tmp_path / "c")
+    assert sinks.last_batch_before(spark, path) is None
     rows = lambda *r: spark.createDataFrame(list(r), "k long, v long")
-    state = lambda: sorted(tuple(r) for r in log.read().collect())
-    log.write(rows((1, 1), (2, 1)), 0)
-    log.write(rows((2, 2)), 1)
-    log.write(rows((2, 2)), 1)  # the same batch again
+    state = lambda: sorted(tuple(r) for r in sinks.newest_rows(spark, path, ["k"]).collect())
+    sinks.write_batch(rows((1, 1), (2, 1)), path, 0)
+    sinks.write_batch(rows((2, 2)), path, 1)
+    sinks.write_batch(rows((2, 2)), path, 1)  # the same batch again
     assert state() == [(1, 1), (2, 2)]
-    log.compact()
-    assert state() == [(1, 1), (2, 2)]
-    log.write(rows((1, 3), (3, 3)), 2)
-    assert state() == [(1, 3), (2, 2), (3, 3)]
-    log.compact()
-    assert state() == [(1, 3), (2, 2), (3, 3)]
-    assert files.folders(spark, str(tmp_path / "c" / "log")) == ["batch_id=2"]
-    log.compact()
+    sinks.write_batch(rows((1, 3), (3, 3)), path, 10)
     assert state() == [(1, 3), (2, 2), (3, 3)]
+    assert sinks.last_batch_before(spark, path).endswith("batch_id=10")
+    assert sinks.last_batch_before(spark, path, 10).endswith("batch_id=1")
 
 
 def test_offline_dataset_by_position(spark, folder):

@@ -8,26 +8,38 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import events
 from tidewheel.plans import sqltext as s
+from tidewheel.plans.rating_queries import exploded
 from tidewheel.plans.event_queries import INGEST, POPULAR, SESSIONS, USERS, WINDOWS, epoch, sessions_out, users_out
 from tidewheel.session import shared_folder
 from tidewheel.sources import tables
-from tidewheel.sources.sinks import StateTable
 from tidewheel.streaming import jobs
 
 
+PARTS = 3
+
+
 def _root(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _stream(spark, folder):
-    schema = tables.table(spark, folder, "events").schema
-    # as a pattern, since the source takes a single file only that way
-    return jobs.file_stream(spark, f"{folder}/event[s].parquet", schema)
-
+def _in_parts(spark, folder, root, parts: int = PARTS):
+    """The events as a stream of ``parts`` micro-batches, cut at equal spans of time.
 
-def _activity(spark, folder):
+    Each part is written as the same number of files, so that a batch takes exactly one part.
+    """
+    raw = tables.table(spark, folder, "events")
+    time = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = raw.agg(F.min(time).alias("lo"), F.max(time).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    width = (span["hi"] or 0) - (span["lo"] or 0) + 1
+    each = 1 + span["n"] // 1_000_000
+    for i in range(parts):
+        part = raw.where(F.floor((time - (span["lo"] or 0)) * parts / width) == i)
+        part.repartition(each).write.mode("append").parquet(f"{root}/input")
+    return jobs.file_stream(spark, f"{root}/input", raw.schema, each)
+
+
+def _activity(raw):
     # one source, not a union of two: the events table is read once per batch
-    raw = _stream(spark, folder)
     time = F.col("ts").cast("timestamp")
     kind = (
         F.when(F.col("event_type") == "signup", "login")
@@ -53,53 +65,54 @@ def _stats_out(df):
 
 def stream_window_stats(spark, folder):
     root = _root(spark, "window-stats")
-    stream = tables.shape_user_events(_stream(spark, folder))
-    jobs.run_window_stats(stream, root).awaitTermination()
+    jobs.run_window_stats(tables.shape_user_events(_in_parts(spark, folder, root)), root).awaitTermination()
     return _stats_out(jobs.read_window_stats(spark, root))
 
 
 def stream_additive_stats(spark, folder):
     root = _root(spark, "additive-stats")
-    stream = tables.shape_user_events(_stream(spark, folder))
-    jobs.run_additive_stats(stream, root).awaitTermination()
-    return _stats_out(StateTable(spark, f"{root}/stats").read())
+    jobs.run_additive_stats(tables.shape_user_events(_in_parts(spark, folder, root)), root).awaitTermination()
+    return _stats_out(jobs.read_window_stats(spark, root))
 
 
 def stream_sessions(spark, folder):
     root = _root(spark, "sessions")
-    jobs.run_sessions(_activity(spark, folder), root).awaitTermination()
+    jobs.run_sessions(_activity(_in_parts(spark, folder, root)), root).awaitTermination()
     return sessions_out(jobs.read_sessions(spark, root))
 
 
 def stream_user_state(spark, folder):
     root = _root(spark, "users")
-    jobs.run_users(_activity(spark, folder), root).awaitTermination()
+    jobs.run_users(_activity(_in_parts(spark, folder, root)), root).awaitTermination()
     return users_out(jobs.read_users(spark, root))
 
 
 def stream_popular(spark, folder):
     root = _root(spark, "popular")
-    jobs.run_popular(tables.shape_user_events(_stream(spark, folder)), root).awaitTermination()
-    return StateTable(spark, f"{root}/popular").read().select(
+    jobs.run_popular(tables.shape_user_events(_in_parts(spark, folder, root)), root).awaitTermination()
+    return jobs.read_popular(spark, root).select(
         "movie_id", F.round("score", 4).alias("score"), "watch_count", "rank_position"
     )
 
 
 def stream_embedding_refresh(spark, folder):
+    """Every vector that one of three micro-batches refreshed, with its lineage."""
     root = _root(spark, "refresh")
-    jobs.run_embedding_refresh(
-        tables.shape_user_events(_stream(spark, folder)), root,
-        lambda: tables.user_events(spark, folder), tables.items(spark, folder),
-    ).awaitTermination()
-    return spark.read.parquet(f"{root}/snapshots").select(
-        "user_id", "source_event_count", "source_event_max_id"
+    stream = tables.shape_user_events(_in_parts(spark, folder, root))
+    jobs.run_embedding_refresh(stream, root, tables.items(spark, folder)).awaitTermination()
+    rows = spark.read.parquet(f"{root}/versions/*/batch_id=*").select(
+        F.concat_ws("/", "version", "user_id").alias("refreshed"), "version", "previous_version", "user_id",
+        "source_event_count", "source_event_max_id", F.from_json("embedding", "array<double>").alias("embedding"),
     )
+    values = exploded(rows, "refreshed", "embedding").where("pos % 16 = 0")
+    return values.join(rows.drop("embedding"), "refreshed").drop("refreshed")
 
 
 def stream_export(spark, folder):
     root = _root(spark, "export")
-    auth = tables.shape_auth_events(_stream(spark, folder))
-    user = events.finished(tables.shape_user_events(_stream(spark, folder)))
+    raw = _in_parts(spark, folder, root)
+    auth = tables.shape_auth_events(raw)
+    user = events.finished(tables.shape_user_events(raw))
     columns = {"auth_events": auth.columns, "user_events": user.columns}
     jobs.run_export(jobs.tagged(auth, user), root, columns).awaitTermination()
     read = lambda kind: spark.read.parquet(f"{root}/versions/*/{kind}").select(
@@ -128,11 +141,22 @@ def stream_ingest(spark, folder):
     return rows.groupBy(F.col("batch_ok").cast("boolean").alias("batch_ok"), "kind").agg(F.count(F.lit(1)).alias("events"))
 
 
-WATCH_SOURCES = s.USER_EVENTS + """,
-recent AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_time DESC, event_id DESC) AS recency
-  FROM user_events WHERE event_time >= (SELECT max(event_time) FROM user_events) - INTERVAL 720 HOUR
-  QUALIFY recency <= 200)"""
+# Per part its newest event, and per user of the part the events to then, looking back from it.
+REFRESHES = s.USER_EVENTS + f""",
+span AS (SELECT min(epoch_us(event_time)) AS lo, max(epoch_us(event_time)) - min(epoch_us(event_time)) + 1 AS width FROM user_events),
+cut AS (SELECT *, ((epoch_us(event_time) - lo) * {PARTS} // width)::INTEGER AS part FROM user_events, span),
+parts AS (SELECT part, max(event_time) AS newest, strftime(max(event_time), '%Y-%m-%d-%H-%M') AS version FROM cut GROUP BY part),
+asked AS (
+  SELECT *, lag(version) OVER (PARTITION BY user_id ORDER BY part) AS previous_version
+  FROM (SELECT DISTINCT user_id, part FROM cut) JOIN parts USING (part)),
+known AS (
+  SELECT a.part, a.version, a.previous_version, c.*,
+         row_number() OVER (PARTITION BY a.part, a.user_id ORDER BY c.event_time DESC, c.event_id DESC) AS recency
+  FROM asked a JOIN cut c ON c.user_id = a.user_id AND c.part <= a.part AND c.event_time >= a.newest - INTERVAL 720 HOUR
+  QUALIFY recency <= 200),
+sources AS (
+  SELECT part, user_id, count(*) AS source_event_count, max(event_id) AS source_event_max_id FROM known GROUP BY ALL),
+""" + s.VECTORS
 
 QUERIES = {
     "stream_window_stats": (stream_window_stats, "WITH " + WINDOWS.format(m=5, where="WHERE event_type = 'finish'")),
@@ -141,9 +165,10 @@ QUERIES = {
     "stream_user_state": (stream_user_state, "WITH " + USERS),
     "stream_popular": (stream_popular, s.q(s.USER_EVENTS + ",\n" + POPULAR, """
 SELECT movie_id, round(score, 4) AS score, watch_count, rank_position FROM popular""")),
-    "stream_embedding_refresh": (stream_embedding_refresh, s.q(WATCH_SOURCES, """
-SELECT user_id, count(*) AS source_event_count, max(event_id) AS source_event_max_id FROM recent
-GROUP BY user_id HAVING count(*) FILTER (movie_id IN (SELECT vec_id FROM embeddings)) > 0""")),
+    "stream_embedding_refresh": (stream_embedding_refresh, s.q(REFRESHES, """
+SELECT version, previous_version, user_id, source_event_count, source_event_max_id, pos::BIGINT AS pos,
+  round(round(sum(greatest(watch_duration_seconds, 30) * v) / sum(greatest(watch_duration_seconds, 30)), 12)::FLOAT::DOUBLE + 1.23e-6::DOUBLE, 5) AS value
+FROM known JOIN item_values USING (movie_id) JOIN sources USING (part, user_id) WHERE pos % 16 = 0 GROUP BY ALL""")),
     "stream_export": (stream_export, s.q(s.USER_EVENTS + ",\n" + s.AUTH_EVENTS, """
 SELECT 'auth_events' AS kind, event_id, user_id, session_id FROM auth_events
 UNION ALL SELECT 'user_events', event_id, user_id, session_id FROM user_events WHERE event_type = 'finish'""")),

@@ -1,4 +1,4 @@
-"""Writers: Parquet, JSON lines, splits, table formats, shards, state tables."""
+"""Writers: Parquet, JSON lines, splits, table formats, shards, micro-batches, days."""
 
 from __future__ import annotations
 
@@ -112,125 +112,54 @@ def training_export(
     dealt.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-class StateTable:
-    """A table replaced as a whole: each write fills a new folder, then moves a pointer.
+def write_batch(df: DataFrame, path: str, batch_id: int) -> str:
+    """Rows of one micro-batch in a folder of its own; a repeated batch overwrites it."""
+    folder = f"{path}/batch_id={batch_id}"
+    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return folder
 
-    Readers follow the pointer, so they see the old or the new rows, never half of both.
-    The last ``keep`` folders stay for readers that are still at it; older ones go.
-    """
 
-    def __init__(self, spark, root: str, keep: int = 3):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.keep = keep
-
-    def _pointer(self) -> dict:
-        return files.read_json(self.spark, f"{self.root}/current.json", {})
-
-    def path(self) -> str | None:
-        name = self._pointer().get("folder")
-        return f"{self.root}/{name}" if name else None
-
-    def exists(self) -> bool:
-        return self.path() is not None
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path())
-
-    def last_batch(self) -> int:
-        return self._pointer().get("batch_id", -1)
-
-    def replace(self, df: DataFrame, batch_id: int | None = None) -> None:
-        """Swap in new rows; a batch id makes repeats of a batch fall on the same folder."""
-        step = self._pointer().get("step", 0) + 1
-        folder = f"step-{step:09d}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        files.write_json(
-            self.spark,
-            f"{self.root}/current.json",
-            {"folder": folder, "step": step, "batch_id": self.last_batch() if batch_id is None else batch_id},
-        )
-        for name in files.folders(self.spark, self.root):
-            if name.startswith("step-") and int(name[5:]) <= step - self.keep:
-                files.drop_folder(self.spark, f"{self.root}/{name}")
-
-    def add_counts(self, df: DataFrame, keys: Sequence[str], counts: Sequence[str], latest: Sequence[str] = (),
-                   batch_id: int | None = None) -> None:
-        """Upsert that adds counts: new keys are inserted, known keys get the sums.
-
-        ``latest`` columns take the newer value.  A batch that was already merged is skipped.
-        """
-        if batch_id is not None and batch_id <= self.last_batch():
-            return
-        fresh = df.withColumn("_age", F.lit(1))
-        if self.exists():
-            fresh = self.read().withColumn("_age", F.lit(0)).unionByName(fresh)
-        merged = fresh.groupBy(*keys).agg(
-            *[F.sum(c).alias(c) for c in counts],
-            *[F.max_by(c, "_age").alias(c) for c in latest],
-        )
-        self.replace(merged, batch_id)
-
-    def insert_absent(self, df: DataFrame, keys: Sequence[str]) -> None:
-        """Add rows whose key is new; known keys keep what they have."""
-        rows = df.dropDuplicates(list(keys))
-        if self.exists():
-            old = self.read()
-            rows = old.unionByName(rows.join(old, list(keys), "left_anti"))
-        self.replace(rows)
-
-    def upsert(self, df: DataFrame, keys: Sequence[str]) -> None:
-        """Rows of ``df`` replace rows with the same key."""
-        if self.exists():
-            df = self.read().join(df, list(keys), "left_anti").unionByName(df)
-        self.replace(df)
-
-
-class ChangeLog:
-    """Rows changed by each micro-batch, one folder per batch; the newest row of a key counts.
-
-    A repeated batch overwrites its own folder.  ``compact`` folds what is there into a
-    snapshot, after which only later folders are read.
-    """
+def newest_rows(spark, path: str, keys: Sequence[str]) -> DataFrame:
+    """Of all rows of ``write_batch`` folders, those of each key's last batch."""
+    rows = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row"))
+    return newest.select(*keys, "_row.*")
+
+
+def last_batch_before(spark, path: str, batch_id: int | None = None) -> str | None:
+    """The folder of the greatest batch, or of the greatest one before ``batch_id``."""
+    numbers = [int(n.split("=")[1]) for n in files.folders(spark, path) if n.startswith("batch_id=")]
+    numbers = [n for n in numbers if batch_id is None or n < batch_id]
+    return f"{path}/batch_id={max(numbers)}" if numbers else None
+
 
-    def __init__(self, spark, root: str, keys: Sequence[str]):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.keys = list(keys)
-        self.base = StateTable(spark, f"{self.root}/base")
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        path = f"{self.root}/log/batch_id={batch_id}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-
-    def read(self, with_batch: bool = False) -> DataFrame:
-        done = self.base.last_batch()
-        later = [
-            f"{self.root}/log/{name}"
-            for name in files.folders(self.spark, f"{self.root}/log")
-            if int(name.split("=")[1]) > done
-        ]
-        rows = None
-        if later:
-            rows = self.spark.read.option("basePath", f"{self.root}/log").parquet(*later)
-            rows = rows.withColumn("batch_id", F.col("batch_id").cast("long"))
-        if self.base.exists():
-            old = self.base.read().withColumn("batch_id", F.lit(done).cast("long"))
-            rows = old if rows is None else old.unionByName(rows)
-        if rows is None:
-            raise FileNotFoundError(f"no batch was written below {self.root}")
-        rest = [c for c in rows.columns if c not in (*self.keys, "batch_id")]
-        newest = rows.groupBy(*self.keys).agg(
-            F.max_by(F.struct(*rest), "batch_id").alias("_row"), F.max("batch_id").alias("batch_id")
-        )
-        return newest.select(*self.keys, "_row.*", *(["batch_id"] if with_batch else []))
-
-    def compact(self) -> None:
-        """Fold the folders into the snapshot; folders of an earlier snapshot are removed."""
-        before = self.base.last_batch()
-        numbers = {n: int(n.split("=")[1]) for n in files.folders(self.spark, f"{self.root}/log")}
-        if max(numbers.values(), default=before) > before:
-            self.base.replace(self.read(), max(numbers.values()))
-        for name, number in numbers.items():
-            if number <= before:
-                files.drop_folder(self.spark, f"{self.root}/log/{name}")
+def merge_days(
+    df: DataFrame, path: str, keys: Sequence[str], day: str, batch_id: int, sums: Sequence[str] = ()
+) -> None:
+    """Upsert the rows of a micro-batch into a table partitioned by ``day``, a date.
+
+    ``sums`` are added to what a key has; its other columns take the newer value.  Only the
+    days of the batch are read, and only they are overwritten (Spark's dynamic partition
+    overwrite).  Each row names the last batch that it holds, so a batch that is merged again,
+    even after a commit that broke off between two days, changes nothing.
+    """
+    spark = df.sparkSession
+    days = [r[day] for r in df.select(day).distinct().collect()]
+    if not days:
+        return
+    rest = [c for c in df.columns if c not in (*keys, day)]
+    rows = df.select(*keys, day, *rest, F.lit(batch_id).cast("long").alias("batch_id"), F.lit(True).alias("_new"))
+    if files.has_parquet(spark, path):
+        old = spark.read.schema(rows.drop("_new").schema).parquet(path).where(F.col(day).isin(days))
+        rows = old.withColumn("_new", F.lit(False)).unionByName(rows)
+    fresh, stale = F.col("_new"), ~F.col("_new")
+    done = F.coalesce(F.max(F.when(stale, F.col("batch_id"))) >= batch_id, F.lit(False))
+    total = {c: F.coalesce(F.sum(F.when(stale, F.col(c))), F.lit(0)) + F.when(done, 0).otherwise(F.coalesce(F.sum(F.when(fresh, F.col(c))), F.lit(0))) for c in sums}
+    last = F.struct("batch_id", "_new")
+    merged = rows.groupBy(*keys, day).agg(
+        *[total[c].cast(rows.schema[c].dataType).alias(c) if c in sums else F.max_by(c, last).alias(c) for c in rest],
+        F.max("batch_id").alias("batch_id"),
+    )
+    placed = merged.repartition(day)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(day).parquet(path)

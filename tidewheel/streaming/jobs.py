@@ -8,7 +8,7 @@ overwrites what it wrote the first time.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,8 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewheel.operators import events, ingest, profiles
 from tidewheel.session import cut_lineage
 from tidewheel.sources import files
-from tidewheel.sources.sinks import ChangeLog, StateTable, stringify, write_parquet
+from tidewheel.sources.sinks import last_batch_before, merge_days, newest_rows, stringify, write_batch, write_parquet
 from tidewheel.sources.versions import VersionedDataset
+from tidewheel.streaming.state import RecentWatches, SESSION_STATE, Sessions, as_aggregates
 
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -56,12 +57,6 @@ def start(
     return writer.trigger(**trigger).start()
 
 
-def to_change_log(df: DataFrame, root: str, keys: list[str], interval: str | None = None) -> StreamingQuery:
-    """Keep the newest state row of each key in a change log."""
-    log = ChangeLog(df.sparkSession, f"{root}/state", keys)
-    return start(df, root, "update", log.write, interval)
-
-
 def window_stats(
     stream: DataFrame, minutes: int = 5, short_seconds: float = 10.0, lateness: str | None = None
 ) -> DataFrame:
@@ -86,9 +81,17 @@ def window_stats(
     )
 
 
-def session_aggregates(stream: DataFrame) -> DataFrame:
-    """Order-free session aggregates of an ``events.activity`` stream, in update mode."""
-    return stream.groupBy("session_id").agg(*events.session_aggregates())
+def session_rows(stream: DataFrame, retention: timedelta = timedelta(days=7), lateness: str = "1 day") -> DataFrame:
+    """State of the sessions that an ``events.activity`` stream changes, in update mode.
+
+    A session leaves the store once the watermark is ``retention`` past the logout that closed
+    it; a login or watch before that takes it up again.  A later event opens a new row, told
+    apart by ``opened_by``, the smallest event id of the batch that opened it.  Sessions that
+    were never closed stay.  Events later than ``lateness`` are dropped.
+    """
+    timed = stream.where("event_time is not null").withWatermark("event_time", lateness).withColumn("at", F.unix_micros("event_time"))
+    keyed = timed.groupBy("session_id")
+    return keyed.transformWithStateInPandas(Sessions(retention), f"session_id string, {SESSION_STATE}", "Update", "EventTime")
 
 
 def user_aggregates(stream: DataFrame) -> DataFrame:
@@ -96,69 +99,98 @@ def user_aggregates(stream: DataFrame) -> DataFrame:
 
 
 def run_window_stats(stream, root: str, interval=None, **options) -> StreamingQuery:
-    return to_change_log(window_stats(stream, **options), root, ["window_start"], interval)
+    """Totals of the windows that each batch changes, kept by day."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        _keep_windows(batch, root, batch_id)
+
+    return start(window_stats(stream, **options), root, "update", merge, interval)
+
+
+def _keep_windows(rows: DataFrame, root: str, batch_id: int, sums=()) -> None:
+    dated = cut_lineage(rows.withColumn("day", F.to_date("window_start")))
+    merge_days(dated, f"{root}/stats", ["window_start"], "day", batch_id, sums)
 
 
-def run_sessions(activity, root: str, interval=None) -> StreamingQuery:
-    return to_change_log(session_aggregates(activity), root, ["session_id"], interval)
+def run_sessions(activity, root: str, interval=None, **options) -> StreamingQuery:
+    return start(session_rows(activity, **options), root, "update", lambda df, n: write_batch(df, f"{root}/sessions", n), interval)
 
 
 def run_users(activity, root: str, interval=None) -> StreamingQuery:
-    return to_change_log(user_aggregates(activity), root, ["user_id"], interval)
+    return start(user_aggregates(activity), root, "update", lambda df, n: write_batch(df, f"{root}/users", n), interval)
 
 
 def read_window_stats(spark, root: str, minutes: int = 5) -> DataFrame:
     length = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
-    return ChangeLog(spark, f"{root}/state", ["window_start"]).read().withColumn(
-        "window_end", F.col("window_start") + length
-    )
+    rows = spark.read.parquet(f"{root}/stats")
+    return rows.select("window_start", (F.col("window_start") + length).alias("window_end"), "total_count", "abnormal_count")
 
 
 def read_sessions(spark, root: str) -> DataFrame:
-    return events.session_state(ChangeLog(spark, f"{root}/state", ["session_id"]).read())
+    """The sessions; one that was opened anew after it had left the store has several rows."""
+    return events.session_state(as_aggregates(newest_rows(spark, f"{root}/sessions", ["session_id", "opened_by"])))
 
 
 def read_users(spark, root: str) -> DataFrame:
-    return events.user_state(ChangeLog(spark, f"{root}/state", ["user_id"]).read())
+    return events.user_state(newest_rows(spark, f"{root}/users", ["user_id"]))
 
 
 def run_additive_stats(stream: DataFrame, root: str, minutes: int = 5, short_seconds: float = 10.0,
                        interval=None) -> StreamingQuery:
-    """Window counters without state: each batch's counts are added to the stored ones."""
-    table = StateTable(stream.sparkSession, f"{root}/stats")
+    """Window counters without state: each batch's counts are added to those of its days."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        counted = events.window_stats(events.finished(batch), minutes, short_seconds)
-        table.add_counts(
-            counted, ["window_start"], ["total_count", "abnormal_count"], ["window_end"], batch_id
-        )
+        counted = events.window_stats(events.finished(batch), minutes, short_seconds).drop("window_end")
+        _keep_windows(counted, root, batch_id, ["total_count", "abnormal_count"])
 
     return start(stream, root, "append", merge, interval)
 
 
 def run_popular(stream: DataFrame, root: str, limit: int = 50, interval=None) -> StreamingQuery:
-    """Item totals over the whole history; each batch replaces the popular table."""
+    """The top items over the whole history, from the totals that each batch changes.
+
+    Beside the top, a bound is kept: no item outside it was better when it was last compared.
+    The new top is found among the old one and the changed items.  It is right if its last
+    item is not below the bound, which holds unless totals fall (watches of negative length);
+    then all totals written so far are ranked anew.  Per batch at most the changed items and
+    ``limit`` + 1 rows are written.
+    """
     totals = stream.groupBy("movie_id").agg(
-        F.sum("watch_duration_seconds").alias("watch_duration_seconds"),
-        F.count(F.lit(1)).alias("watches"),
+        F.sum("watch_duration_seconds").alias("score"), F.count(F.lit(1)).alias("watch_count")
     )
-    table = StateTable(stream.sparkSession, f"{root}/popular")
+    worth = F.struct(F.col("score").alias("score"), F.col("watch_count").alias("watch_count"), (-F.col("movie_id")).alias("less_id"))
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        top = events.rank_items(
-            batch.select("movie_id", F.col("watch_duration_seconds").alias("score"),
-                         F.col("watches").alias("watch_count")),
-            limit,
-        )
-        table.replace(top, batch_id)
-
-    return start(totals, root, "complete", replace, interval)
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        changed = spark.read.parquet(write_batch(batch.where("movie_id is not null"), f"{root}/totals", batch_id))
+        last = last_batch_before(spark, f"{root}/popular", batch_id)
+        found, bound = changed, None
+        if last is not None:
+            old = spark.read.parquet(last)
+            bound = old.agg(F.max("bound").alias("bound")).first()["bound"]
+            found = old.select(*changed.columns).join(changed, "movie_id", "left_anti").unionByName(changed)
+        top = events.rank_items(found, limit + 1).select("*", worth.alias("worth")).orderBy("rank_position").collect()
+        kept = top[:limit]
+        if bound is not None and (len(kept) < limit or tuple(kept[-1]["worth"]) < tuple(bound)):
+            known = newest_rows(spark, f"{root}/totals", ["movie_id"])
+            top = events.rank_items(known, limit + 1).select("*", worth.alias("worth")).orderBy("rank_position").collect()
+            bound = None
+        outside = [tuple(r["worth"]) for r in top[limit:]] + ([tuple(bound)] if bound is not None else [])
+        best = max(outside, default=None)
+        rows = [(r["movie_id"], r["score"], r["watch_count"], r["rank_position"], best) for r in top[:limit]]
+        schema = "movie_id long, score double, watch_count long, rank_position int, bound struct<score:double,watch_count:long,less_id:long>"
+        write_batch(spark.createDataFrame(rows, schema).coalesce(1), f"{root}/popular", batch_id)
+
+    return start(totals, root, "update", refresh, interval)
+
+
+def read_popular(spark, root: str) -> DataFrame:
+    return spark.read.parquet(last_batch_before(spark, f"{root}/popular")).drop("bound")
 
 
 def run_embedding_refresh(
     stream: DataFrame,
     root: str,
-    history: Callable[[], DataFrame],
     items: DataFrame,
     limit: int = 200,
     hours: int = 720,
@@ -167,31 +199,26 @@ def run_embedding_refresh(
 ) -> StreamingQuery:
     """New vectors for the users of each batch, from their recent history.
 
-    ``history`` gives the stored events, read afresh per batch.  Per batch one version
-    folder is written (the vectors as JSON text), one set of snapshot rows with their
+    The history, at most ``limit`` events, and the batch of the user's last vector are the
+    user's state, so a batch reads its own events and its users' state only.  Per batch one
+    version folder is written (the vectors as JSON text), one set of snapshot rows with their
     lineage, and a manifest; the look-back ends at the batch's newest event.
     """
     spark = stream.sparkSession
+    timed = stream.where("event_time is not null").withColumn("at", F.unix_micros("event_time"))
+    recent = timed.groupBy("user_id").transformWithStateInPandas(RecentWatches(limit), RecentWatches.OUT, "Update", "None")
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max("event_time").alias("t")).first()["t"]
+        history = cut_lineage(batch.withColumn("event_time", F.timestamp_micros("at")))
+        newest = history.agg(F.timestamp_micros(F.max("newest")).alias("t")).first()["t"]
         if newest is None:
             return
-        users = batch.select("user_id").distinct()
-        made = profiles.watch_profile(
-            history(), items, F.lit(newest), users, limit, hours, min_watch
-        )
         version = f"{newest:%Y-%m-%d-%H-%M}"
-        old = [
-            f"{root}/snapshots/{n}"
-            for n in files.folders(spark, f"{root}/snapshots")
-            if int(n.split("=")[1]) < batch_id
-        ]
-        if old:
-            before = profiles.previous_versions(spark.read.parquet(*old))
-            made = made.join(before, "user_id", "left")
-        else:
-            made = made.withColumn("previous_version", F.lit(None).cast("string"))
+        write_batch(spark.createDataFrame([(version,)], "version string"), f"{root}/names", batch_id)
+        names = spark.read.parquet(f"{root}/names").select(F.col("batch_id").cast("long").alias("previous_batch"), F.col("version").alias("previous_version"))
+        before = history.groupBy("user_id").agg(F.max("previous_batch").alias("previous_batch")).join(names, "previous_batch", "left")
+        made = profiles.watch_profile(history, items, F.lit(newest), None, limit, hours, min_watch)
+        made = made.join(before.drop("previous_batch"), "user_id", "left")
         made = made.withColumn("embedding_version", F.lit(version)).withColumn("updated_at", F.lit(newest))
         path = f"{root}/versions/{version}/batch_id={batch_id}"
         write_parquet(
@@ -215,7 +242,7 @@ def run_embedding_refresh(
         )
         files.write_json(spark, f"{root}/latest.json", {"version": version, "batch_id": batch_id})
 
-    return start(stream, root, "append", refresh, interval)
+    return start(recent, root, "update", refresh, interval)
 
 
 def tagged(auth: DataFrame, user: DataFrame) -> DataFrame:
