@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -39,6 +40,18 @@ def test_encoder_equals_library():
     assert [np.frombuffer(r, encoder.dtype).tolist() for r in encoder.ids(odd)] == [token_ids(t)[:-1].tolist() for t in odd]
 
 
+def test_encoder_equals_library_on_awkward_texts(monkeypatch):
+    """100 000 random texts, with a cache that overflows again and again."""
+    monkeypatch.setattr(encoders, "CACHE_ENTRIES", 500)
+    draw = random.Random(1)
+    bits = [*"abcXYZ012 \n\t'.,-!éÉßÿÀ×÷ü日🙂ΑΣſKİ ́\r_", "'s", "'ll", "don't", "the ", "naïve ", "<|endoftext|>", "</w>", "Ωhm", "ÄÖÜ"]
+    encoder = encoders.WordEncoder(PATH)
+    for _ in range(100):
+        texts = ["".join(draw.choices(bits, k=draw.randint(0, 14))) for _ in range(1000)]
+        found = encoder.library.encode_batch_fast(texts, add_special_tokens=False)
+        assert encoder.ids(texts) == [np.array(e.ids, encoder.dtype).tobytes() for e in found]
+
+
 def check_pieces(rows, texts):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:

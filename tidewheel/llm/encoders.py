@@ -6,6 +6,8 @@ import functools
 import hashlib
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,8 @@ class WordEncoder:
 
     Such a tokenizer lower-cases a text and treats its runs of letters, its digits and its
     runs of signs independently, so the ids of a text are those of its units in a row; each
-    distinct unit is encoded once and remembered.  Units are cut here only from texts of
+    distinct unit is encoded once and remembered: by the library's merge model alone, which
+    takes a unit with its bytes written as the file's byte alphabet has them.  Units are cut here only from texts of
     plain characters.  Other texts are cut at blanks and line breaks: a part of plain
     characters gives units, any other part goes to the library whole, and so does a text
     that holds the string of an added token.
@@ -45,26 +48,29 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.model = self.library.model
+        bytewise = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.written = {c: bytewise(chr(c))[0][0] for c in range(0xC0, 0x100) if _PLAIN.fullmatch(chr(c))}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def _learn_units(self, units: list[str]) -> None:
-        """Encode units in long lines, since a call costs far more than a short word."""
-        for at in range(0, len(units), 5_000):
-            line = units[at : at + 5_000]
-            found = self.library.encode(" ".join(line), add_special_tokens=False)
-            ids, words = np.array(found.ids, self.dtype), np.array(found.word_ids)
-            bounds = np.searchsorted(words, np.arange(len(line) + 1))
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            for unit, a, b in zip(line, (bounds[:-1] * width).tolist(), (bounds[1:] * width).tolist()):
-                self.units[unit] = raw[a:b]
+        tokenize, kind = self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        for unit in units:
+            written = unit if unit.isascii() else unit.translate(self.written)
+            ids = array(kind, [t.id for t in tokenize(written)])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            self.units[unit] = ids.tobytes()
 
     def _cut(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
@@ -79,11 +85,14 @@ class WordEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
-        if len(self.units) > CACHE_ENTRIES:
-            self.units = {}
+        if len(self.units) > CACHE_ENTRIES // 2:
+            self.older, self.units = self.units, {}
         whole = [any(a in t for a in self.added) for t in texts]
         cut = [[] if w else self._cut(t) for t, w in zip(texts, whole)]
         missing = set().union(*cut) - self.units.keys()
+        again = missing & self.older.keys()
+        self.units.update((u, self.older[u]) for u in again)
+        missing -= again
         odd = [u for u in missing if u[0] == _ODD]
         self._learn_units([u for u in missing if u[0] != _ODD])
         self.units.update(zip(odd, self._raw([u[1:] for u in odd])))
