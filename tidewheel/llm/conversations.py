@@ -307,6 +307,8 @@ def audited(faults: DataFrame, segment: int = SEGMENT) -> DataFrame:
     flags = F.when(F.col("fault").isin("blank", "duplicate"), MUST_GO).when(F.col("fault") == "truncated", TRUNCATED).otherwise(0)
     pieces = (
         faults.select("conv", "pos", (letter_class + flags).cast("int").alias("symbol"), F.floor((F.col("pos") - 1) / segment).alias("piece"))
+        # A few bytes of input stand for much work, so the number of tasks is given here.
+        .repartition(partitions(faults), "conv", "piece")
         .groupBy("conv", "piece")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "symbol"))).alias("rows"))
         .select("conv", "piece", F.col("rows.symbol").alias("symbols"))
