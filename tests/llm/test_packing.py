@@ -125,16 +125,71 @@ def test_training_order(spark, edge_docs, no_docs):
     assert shards.training_order(no_docs, PATH).collect() == []
 
 
-def test_resume(spark, edge_docs):
+def pieces_of(folder, rows):
+    """The ids of each document, put together from the records that its pieces lie in."""
+    found = defaultdict(dict)
+    for r in rows:
+        ids = next(shards.read_from(f"{folder}/shards/shard-{r.shard:09d}.bin", r.byte_offset // shards.stride(64, 2), 64, 2))
+        assert len(ids) == r.n_tokens and zlib.crc32(ids.astype("<u4").tobytes()) == r.ids_crc32
+        at = 0
+        for doc, start, length in zip(r.doc_ids, r.starts, r.lengths):
+            found[doc][start] = ids[at : at + length].tolist()
+            at += length
+    return {doc: [x for start in sorted(parts) for x in parts[start]] for doc, parts in found.items()}
+
+
+@pytest.mark.parametrize("awkward", [True, False])
+def test_ids_and_slots(spark, folder, edge_docs, awkward):
+    from tidewheel.llm.tables import fresh_path
+
+    docs = edge_docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if awkward else spark.read.parquet(f"{folder}/documents.parquet")
+    out = fresh_path(spark, "order-test")
+    rows = shards.training_order(docs, PATH, out, 5, 64, 30).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert pieces_of(out, rows) == {doc: token_ids(text).tolist() for doc, text in texts.items()}
+    kept = spark.read.parquet(f"{out}/sequences").collect()
+    number = {(r.part, r.nth): i for i, r in enumerate(sorted(kept, key=lambda r: (r.part, r.nth)))}
+    slots = shards.permuted(np.arange(len(kept)), len(kept), 5)
+    want = {int(slots[number[r.part, r.nth]]): (list(r.doc_ids), list(r.starts)) for r in kept}
+    assert {r.slot: (list(r.doc_ids), list(r.starts)) for r in rows} == want
+    assert all(r.shard == r.slot // 30 and r.byte_offset == r.slot % 30 * shards.stride(64, 2) for r in rows)
+
+
+def test_folder_of_another_order(spark, folder, edge_docs):
+    from tidewheel.llm.tables import fresh_path
+
+    out = fresh_path(spark, "order-test")
+    docs = edge_docs.where("length(text) < 1000")
+    first = edge.rows_of(shards.training_order(docs, PATH, out, 5, 64, 30))
+    again = docs.repartition(5)  # other tasks, the same documents
+    assert edge.rows_of(shards.training_order(again, PATH, out, 5, 64, 30)) == first
+    for other in ((docs.limit(3), 5, 64, 30), (docs.union(docs.limit(1)), 5, 64, 30), (docs, 6, 64, 30), (docs, 5, 32, 30), (docs, 5, 64, 31)):
+        with pytest.raises(ValueError, match="use a new folder"):
+            shards.training_order(other[0], PATH, out, *other[1:])
+    assert edge.rows_of(shards.training_order(docs, PATH, out, 5, 64, 30)) == first
+
+
+def test_run_broken_off_in_the_middle(spark, edge_docs):
+    """One sequence cannot be read, so the job dies in its third shard; the next run goes on."""
+    import os
+
+    from pyspark.sql import functions as F
     from tidewheel.llm.tables import fresh_path
 
-    folder = fresh_path(spark, "shards-test")
-    rows, count = shards.slotted(shards.sequences(edge_docs, PATH, size=128))
-    first = shards.write_shards(rows.where("slot < 40"), folder, 128, 20)  # two shards, then broken off
-    done = {r.shard: r.crc32 for r in first.collect()}
-    everything = {r.shard: (r.crc32, r.records, r.path) for r in shards.write_shards(rows, folder, 128, 20).collect()}
-    assert done.keys() == {0, 1} and all(everything[s][0] == c for s, c in done.items())
-    assert sum(r[1] for r in everything.values()) == count
-    third = [ids.tolist() for ids in shards.read_from(everything[1][2], 3, 128, 2)]
+    out = fresh_path(spark, "order-test")
+    rows, count = shards.slotted(shards.sequences(edge_docs, PATH, out, 128))
+    broken = rows.withColumn("ids", F.when(F.col("slot") == 50, F.lit(b"broken")).otherwise(F.col("ids")))
+    with pytest.raises(Exception):
+        shards.write_shards(broken, out, count, 2, 128, 20, tasks=1)
+    place = out.removeprefix("file://")
+    before = {n: os.stat(f"{place}/shards/{n}").st_mtime_ns for n in sorted(os.listdir(f"{place}/shards")) if n.endswith(".bin") and not n.startswith(".")}
+    assert list(before) == ["shard-000000000.bin", "shard-000000001.bin"]
+    written = {r.shard: (r.records, r.path) for r in shards.write_shards(rows, out, count, 2, 128, 20).collect()}
+    assert sum(n for n, _ in written.values()) == count and sorted(written) == list(range(-(-count // 20)))
+    assert all(os.stat(f"{place}/shards/{n}").st_mtime_ns == t for n, t in before.items())
+    third = [ids.tolist() for ids in shards.read_from(written[1][1], 3, 128, 2)]
     want = {r.slot: np.frombuffer(shards.restored(r.ids, r.n_tokens, 2), "<u2").tolist() for r in rows.where("slot >= 23 and slot < 40").collect()}
     assert third == [want[s] for s in range(23, 40)]
+    read = shards.read_shards(spark.createDataFrame([(k, v[1]) for k, v in written.items()], "shard long, path string"), 2, 128, 20)
+    wrote = {r.slot: r.ids_crc32 for r in rows.collect()}
+    assert {r.slot: r.read_crc32 for r in read.collect()} == wrote

@@ -6,13 +6,19 @@ numbers (walking on while the image lies beyond the last number) gives every seq
 slot in the training order.  Nothing but the key and the count decides the order, so it can
 be computed for any number on any machine, forwards and backwards.
 
-Slots are dealt in consecutive ranges of ``PER_SHARD``; a task writes each of its ranges as
-one file of records of equal length: the number of ids, then the ids, padded.  Record ``s``
-lies at byte ``(s mod PER_SHARD) * stride`` of shard ``s div PER_SHARD``, so a reader that
-stopped at a slot goes on there with one seek and then reads on.  The manifest names the
-shards that are complete; a run that was broken off writes only those that it lacks.
-
-Ids are written to the shared folder once and shuffled once, compressed per sequence.  Defined cases: a null or
+Slots are range-partitioned in consecutive ranges of ``PER_SHARD``; a task writes each of its
+ranges as one file of records of equal length: the number of ids, then the ids, padded.  Record
+``s`` lies at byte ``(s mod PER_SHARD) * stride`` of shard ``s div PER_SHARD``, so a reader that
+stopped at a slot goes on there with one seek and then reads on.
+
+A folder holds one order for good: what it was made from (``order.json``: key, sizes, tokenizer
+and an order-free digest of the documents), the numbered sequences, and the shards.  A run on
+a folder made from anything else raises.  A run that was broken off is taken up where it
+stopped: the sequences are kept once they are complete, so their numbers stay whatever the
+next scan's tasks are, and a shard has its name only from the moment it is complete, so each
+one that has been finished stays, also if the job that wrote it failed later.
+
+Ids are written to the folder once and shuffled once, compressed per sequence.  Defined cases: a null or
 empty text gives the end token alone.  Repeated rows and null ids are written like others.
 An empty table gives no shard and no row; other columns are ignored.
 """
@@ -20,17 +26,18 @@ An empty table gives no shard and no row; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidewheel.llm.encoders import word_encoder
+from tidewheel.llm.encoders import file_digest, word_encoder
 from tidewheel.llm.files import Sink, open_input
 from tidewheel.llm.tables import fresh_path, partitions, stored, text_or_empty
 from tidewheel.llm.words import blocks, mix
+from tidewheel.sources import files
 
 SIZE = 2048
 END = 2
@@ -44,7 +51,7 @@ SEQUENCES = (
     "part int, nth long, n_tokens int, width int, ids_crc32 long, "
     "doc_ids array<bigint>, starts array<bigint>, lengths array<bigint>, ids binary"
 )
-MANIFEST = "shard long, path string, records long, crc32 long"
+WRITTEN = "shard long, path string, records long"
 READ = "slot long, shard long, byte_offset long, n_tokens int, read_crc32 long"
 
 
@@ -93,9 +100,12 @@ def restored(data: bytes, n_tokens: int, width: int) -> bytes:
 # --- sequences -----------------------------------------------------------------------
 
 
-def sequences(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sequences of ``size`` ids per task (the last one shorter), stored, with their places
-    in the documents."""
+def sequences(docs: DataFrame, tokenizer_path: str, folder: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Sequences of ``size`` ids per task (the last one shorter) with their places in the
+    documents, kept in ``folder``; those of a complete earlier run are taken as they are."""
+    spark, kept = docs.sparkSession, f"{folder}/sequences"
+    if files.exists(spark, f"{kept}/_SUCCESS"):
+        return spark.read.schema(SEQUENCES).parquet(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = word_encoder(tokenizer_path), TaskContext.get().partitionId()
@@ -135,7 +145,8 @@ def sequences(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: st
             yield batch_of([closed()])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return stored(rows.mapInArrow(run, SEQUENCES), "sequences")
+    rows.mapInArrow(run, SEQUENCES).write.mode("overwrite").option("compression", "zstd").parquet(kept)
+    return spark.read.schema(SEQUENCES).parquet(kept)
 
 
 def slotted(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
@@ -165,52 +176,54 @@ def stride(size: int, width: int) -> int:
     return HEAD + size * width
 
 
-def manifest(spark, folder: str) -> DataFrame:
-    """The complete shards of a folder; the later of two entries for a shard counts as equal."""
-    spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{folder}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").dropDuplicates(["shard"])
+def written_shards(spark, folder: str, size: int, width: int, per_shard: int = PER_SHARD) -> DataFrame:
+    """(shard, path, records) of the complete shards of a folder, from its listing."""
+    if not files.exists(spark, f"{folder}/shards"):
+        return spark.createDataFrame([], WRITTEN)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(f"{folder}/shards")
+    number = F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long")
+    return found.select(number.alias("shard"), "path", (F.col("length") / stride(size, width)).cast("long").alias("records"))
 
 
-def write_shards(rows: DataFrame, folder: str, size: int = SIZE, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write the slotted sequences whose shard the manifest lacks, and return the manifest."""
+def write_shards(rows: DataFrame, folder: str, count: int, width: int, size: int = SIZE, per_shard: int = PER_SHARD,
+                 tasks: int | None = None) -> DataFrame:
+    """Write those of the ``count`` slotted sequences whose shard is not there yet; all shards."""
     spark = rows.sparkSession
-    done = stored(manifest(spark, folder).select(F.col("shard").alias("done")), "done")
+    if count == 0:
+        return spark.createDataFrame([], WRITTEN)
+    whole = -(-count // per_shard)
+    done = stored(written_shards(spark, folder, size, width, per_shard).select(F.col("shard").alias("done")), "done")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink, shard, records, crc = None, None, 0, 0
+        sink, shard, records = None, None, 0
 
         def finished() -> pa.RecordBatch:
             sink.close()
-            return pa.RecordBatch.from_pydict(
-                {"shard": pa.array([shard], pa.int64()), "path": [path], "records": pa.array([records], pa.int64()), "crc32": pa.array([crc], pa.int64())}
-            )
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "records": pa.array([records], pa.int64())})
 
-        path = ""
         for batch in batches:
-            for to, n, width, ids in zip(*(batch.column(c) for c in range(4))):
+            for to, n, ids in zip(*(batch.column(c) for c in range(3))):
                 if to.as_py() != shard:
                     if sink is not None:
                         yield finished()
-                    shard, records, crc = to.as_py(), 0, 0
-                    path = f"{folder}/shard-{shard:09d}.bin"
-                    sink = Sink(path)
-                record = n.as_py().to_bytes(HEAD, "little") + restored(ids.as_py(), n.as_py(), width.as_py())
-                record = record.ljust(stride(size, width.as_py()), b"\0")
-                sink.write(record)
-                records, crc = records + 1, zlib.crc32(record, crc)
+                    shard, records = to.as_py(), 0
+                    sink = Sink(f"{folder}/shards/shard-{shard:09d}.bin")
+                record = n.as_py().to_bytes(HEAD, "little") + restored(ids.as_py(), n.as_py(), width)
+                sink.write(record.ljust(stride(size, width), b"\0"))
+                records += 1
         if sink is not None:
             yield finished()
 
     shard = F.floor(F.col("slot") / per_shard).cast("long")
     dealt = (
-        rows.select(shard.alias("shard"), "slot", "n_tokens", "width", "ids")
+        rows.select(shard.alias("shard"), "slot", "n_tokens", "ids")
         .join(done, F.col("shard") == F.col("done"), "left_anti")
-        .repartition("shard")
+        .repartitionByRange(min(tasks or partitions(rows), whole), "shard")
         .sortWithinPartitions("shard", "slot")
-        .select("shard", "n_tokens", "width", "ids")
+        .select("shard", "n_tokens", "ids")
     )
-    dealt.mapInArrow(run, MANIFEST).write.mode("append").parquet(f"{folder}/manifest")
-    return manifest(spark, folder)
+    stored(dealt.mapInArrow(run, "shard long, records long"), "made")
+    return stored(written_shards(spark, folder, size, width, per_shard), "written")
 
 
 def read_from(path: str, first: int, size: int, width: int) -> Iterator[np.ndarray]:
@@ -240,18 +253,42 @@ def read_shards(shards: DataFrame, width: int, size: int = SIZE, per_shard: int
     return shards.select("shard", "path").repartition(partitions(shards), "shard").mapInArrow(run, READ)
 
 
-def training_order(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key: int = KEY) -> DataFrame:
+def order_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Number and order-free digest of the documents, by id and text."""
+    row = [F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col), F.lit(salt)).cast("decimal(38,0)") for salt in (1, 2)]
+    found = docs.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(r), F.lit(0)).cast("string").alias(f"s{i}") for i, r in enumerate(row)]).first()
+    return {"documents": found["n"], "digest": f"{found['s0']}:{found['s1']}"}
+
+
+def claimed(spark, folder: str, order: Mapping) -> None:
+    """Make the folder one of this order, or check that it is; raises if it holds another."""
+    path = f"{folder}/order.json"
+    found = files.read_json(spark, path, None)
+    if found is None:
+        files.write_json(spark, path, dict(order))
+    elif found != dict(order):
+        differ = sorted(k for k in {*found, *order} if found.get(k) != order.get(k))
+        raise ValueError(f"{folder} holds an order made from other {', '.join(differ)}; use a new folder")
+
+
+def training_order(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key: int = KEY,
+                   size: int = SIZE, per_shard: int = PER_SHARD) -> DataFrame:
     """Write all documents as shards in training order and read them back.
 
     One row per sequence: slot, shard, byte_offset, n_tokens, ids_crc32 (of the ids read back,
     as little-endian unsigned 32-bit integers), intact (equal to the sum taken before the
     shuffle), and the documents it consists of with their first id and number of ids.
-    """
+    """
     spark = docs.sparkSession
-    folder = folder or fresh_path(spark, "shards")
-    rows, count = slotted(sequences(docs, tokenizer_path), key)
-    shards = write_shards(rows, folder)
-    read = stored(read_shards(shards, word_encoder(tokenizer_path).dtype.itemsize), "read")
+    if folder is None:
+        folder = fresh_path(spark, "shards")
+    else:
+        order = {"key": key, "size": size, "per_shard": per_shard, "tokenizer": file_digest(tokenizer_path)}
+        claimed(spark, folder, {**order, **order_digest(docs)})
+    width = word_encoder(tokenizer_path).dtype.itemsize
+    rows, count = slotted(sequences(docs, tokenizer_path, folder, size), key)
+    shards = write_shards(rows, folder, count, width, size, per_shard)
+    read = stored(read_shards(shards, width, size, per_shard), "read")
     return (
         rows.select("slot", F.col("ids_crc32").alias("wrote_crc32"), "doc_ids", "starts", "lengths")
         .join(read, "slot")
