@@ -7,7 +7,7 @@ reaches the threshold.  The steps:
     inside this module).  All further steps see these, so copies are never compared.
 2.  Every class has a label of ``DEPTH`` MinHash values, one byte each, for each of ``TREES``
     trees.  Classes whose labels begin alike are in one node of the tree's trie.  Matching
-    begins with whole labels; the matched prefix is then shortened byte by byte.  At each
+    begins with whole labels; the matched prefix is then shortened by ``STEP`` bytes at a time.  At each
     depth a class is tied to the smallest class of each of its nodes: one row per class and
     tree, however large the node.
 3.  All labels of a class together are a sketch of its set: the share of equal bytes tells the
@@ -56,6 +56,7 @@ THRESHOLD = 0.8
 TREES = 32
 DEPTH = 10
 SHORTEST = 6
+STEP = 2
 RECALL = 0.995
 SLACK = 4.0
 CLOSE = 0.1
@@ -327,7 +328,7 @@ def _candidates(classes: DataFrame, threshold: float, trees: int, recall: float)
     labels = stored(may_hold(classes.select("node", "label"), F.xxhash64("node"), key_bits(met, F.xxhash64("node"))), "labels")
     least = least_likeness(threshold, trees)
     ties, tied = None, 0
-    for depth in range(DEPTH, SHORTEST - 1, -1):
+    for depth in range(DEPTH, SHORTEST - 1, -STEP):
         found = _members(leaves, depth).where("node <> root").select("node", "root").distinct()
         if ties is not None:
             found = found.join(ties.select("node", "root"), ["node", "root"], "left_anti")
@@ -338,7 +339,8 @@ def _candidates(classes: DataFrame, threshold: float, trees: int, recall: float)
         if depth < DEPTH and tied - before <= (1 - recall) * tied:
             break
     good = ties.where(F.col("likeness") >= least).select("node", "root")
-    return components(good.union(_within(leaves, labels, ties, depth, least)), "node", "root")
+    more = _within(leaves, labels, ties, depth, least)
+    return components(good if more is None else good.union(more), "node", "root")
 
 
 def _members(leaves: DataFrame, depth: int) -> DataFrame:
@@ -346,15 +348,19 @@ def _members(leaves: DataFrame, depth: int) -> DataFrame:
     ``root`` is the smallest of the ``n`` classes."""
     at = leaves.select("tree", _prefix(depth), "node")
     nodes = at.groupBy("tree", "prefix").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return at.join(stored(nodes, "nodes"), ["tree", "prefix"])
+    # A class has one leaf a tree, so no node holds more than a share 1 / trees of the rows.
+    return at.join(nodes, ["tree", "prefix"])
 
 
-def _within(leaves: DataFrame, labels: DataFrame, ties: DataFrame, depth: int, least: float) -> DataFrame:
+def _within(leaves: DataFrame, labels: DataFrame, ties: DataFrame, depth: int, least: float) -> DataFrame | None:
     """Further (node, root) ties inside trie nodes, of the classes unlike the node's smallest.
 
     These meet all classes of the node in tiles of two blocks, of which one at least holds only
     such classes.  Trie nodes with the same classes, from several trees, are compared once.
+    None if there are no such classes.
     """
+    if ties.where(F.col("likeness") < least).isEmpty():
+        return None
     odd = ties.where(F.col("likeness") < least).select("node", "root", F.lit(True).alias("odd"))
     members = stored(
         _members(leaves, depth).where("n > 2").join(odd, ["node", "root"], "left").select("tree", "prefix", "node", F.coalesce("odd", F.lit(False)).alias("odd")),
@@ -366,6 +372,8 @@ def _within(leaves: DataFrame, labels: DataFrame, ties: DataFrame, depth: int, l
     once = sets.where("n_odd > 0").groupBy("n", "n_odd", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("at"))
     blocks_of = lambda c: F.ceil(c / SKETCH_ROWS).cast("int")
     chosen = stored(once.select("at.*", blocks_of(F.col("n_odd")).alias("odds"), blocks_of(F.col("n") - F.col("n_odd")).alias("others")), "chosen")
+    if chosen.isEmpty():
+        return None
     home = F.when(F.col("odd"), F.pmod(F.xxhash64("node"), F.col("odds"))).otherwise(F.col("odds") + F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
     partners = F.when(F.col("odd"), F.sequence(F.lit(0), F.col("odds") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("odds") - 1))
     tiles = (
