@@ -207,6 +207,43 @@ def test_verdicts_do_not_depend_on_files(spark, tmp_path, files_):
     assert verdicts_of(spark.read.parquet(f"{root}/reports").collect()) == {k: v[1] for k, v in BINDING.items()}
 
 
+def settled_one_by_one(rows):
+    """Batches in the order of their ids: refused if a session has another user by then."""
+    owner, refused = {}, set()
+    for batch in sorted({r[1] for r in rows}):
+        mine, clash = dict(owner), False
+        for session, _, user in sorted(r for r in rows if r[1] == batch):
+            clash |= mine.setdefault(session, user) != user
+        if clash:
+            refused.add(batch)
+        else:
+            owner = mine
+    return refused
+
+
+def settled(spark, rows, bound=()):
+    df = spark.createDataFrame(rows, "session_id string, batch_id long, user_id long")
+    known = spark.createDataFrame(list(bound), "session_id string, bound_user_id long")
+    found, rounds = ingest.settle(df, known)
+    return {r["batch_id"] for r in found.distinct().collect()}, rounds
+
+
+def test_chain_of_conflicts_needs_few_rounds(spark):
+    """Batch i shares one session with the one before and one with the one after, all users differ."""
+    rows = [(f"s{i + k}", i, i) for i in range(200) for k in (0, 1)]
+    refused, rounds = settled(spark, rows)
+    assert refused == settled_one_by_one(rows) == set(range(1, 200, 2))
+    assert rounds <= 12
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_conflicts_equal_one_after_another(spark, seed):
+    draw = random.Random(seed)
+    rows = [(f"s{draw.randrange(25)}", batch, draw.randrange(3)) for batch in range(60) for _ in range(draw.randint(1, 3))]
+    rows += [("hot", batch, batch % 2) for batch in range(0, 60, 3)]
+    assert settled(spark, rows)[0] == settled_one_by_one(rows)
+
+
 # ---- streams -------------------------------------------------------------------------
 
 

@@ -237,3 +237,66 @@ def test_release_gate(spark):
     assert got["staging"]["decision"] == "promote"
     assert got["canary"]["p95_ms"] > 500 and got["canary"]["decision"] == "roll_back"
     assert got["prod"]["passed"] is None
+
+
+def test_cosine_block_equals_the_expression(spark):
+    from tidewheel.functions import vectors
+
+    rows = [([1.0, 2.0], [2.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([], []), (None, [1.0]), ([1.0], None), ([1.0, None], [1.0, 2.0]),
+            ([1.0], [1.0, 2.0]), ([float("nan"), 1.0], [1.0, 1.0]), ([-3.0, 4.0, 0.5], [1.0, -1.0, 2.0]), ([1e-200], [1e-200])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>").repartition(2)
+    got = df.select(vectors.cosine_block("a", "b").alias("got"), vectors.cosine("a", "b", "null").alias("want")).collect()
+    for r in got:
+        assert (r["got"] is None) == (r["want"] is None)
+        assert r["got"] is None or r["got"] == pytest.approx(r["want"], rel=1e-12, nan_ok=True)
+    single = df.select(F.col("a").cast("array<float>"), "b").where("false")
+    assert single.select(vectors.cosine_block("a", "b")).collect() == []
+
+
+def clustered(spark, n, dim=8, seed=3):
+    import random
+
+    draw = random.Random(seed)
+    centres = [[draw.gauss(0, 1) for _ in range(dim)] for _ in range(12)]
+    return [(i, [c + draw.gauss(0, 0.4) for c in centres[i % 12]]) for i in range(n)]
+
+
+def test_index_finds_what_exact_search_finds(spark, monkeypatch):
+    from tidewheel.operators import index
+
+    items = spark.createDataFrame(clustered(spark, 900) + [(9001, None), (9002, [0.0] * 8), (9003, [1.0])], "movie_id long, movie_embedding array<double>")
+    users = spark.createDataFrame(clustered(spark, 400, seed=9) + [(9004, None)], "user_id long, user_embedding array<double>")
+    found = index.build(items)
+    assert found.items.count() == 900 and len(found.centroids) == 30
+    probes, recall = index.measured_probes(users.where("user_embedding is not null"), items, found, 10, 0.95, every=10)
+    assert recall >= 0.95 and probes <= 16
+    every = lambda df: {(r["user_id"], r["movie_id"], round(r["score"], 9), r["rank"]) for r in df.collect()}
+    real = items.where("movie_id < 9000")
+    exact = every(retrieval.top_items(users, real, 10))
+    assert every(index.search(users.where("user_embedding is not null"), found, 10, 30)) == exact  # all cells: exact
+    some = every(index.search(users.where("user_embedding is not null"), found, 10, probes, tile_rows=7, chunk_rows=11))  # crowded cells are cut
+    assert some == every(index.search(users.where("user_embedding is not null"), found, 10, probes))
+    assert len({x[:2] for x in some} & {x[:2] for x in exact}) >= 0.9 * len(exact)
+    none = index.build(items.where("false"))
+    assert index.search(users, none, 10).collect() == []
+    one = index.build(real.limit(1))
+    assert index.search(users.where("user_id = 1"), one, 10).count() == 1
+
+
+def test_fit_and_judge(spark, tmp_path):
+    import random
+
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.regression import LinearRegression
+
+    draw = random.Random(5)
+    rows = []
+    for i in range(600):
+        x, noise = draw.random(), draw.random()
+        part = "train" if i % 3 == 0 else "val" if i % 3 == 1 else "test"
+        rows.append((i % 40, i, 0.5 * x + 0.1 + 0.01 * noise, part, x, noise))
+    df = spark.createDataFrame(rows, "user_id long, movie_id long, label double, dataset_split string, good double, bad double")
+    plain = lambda: LinearRegression(solver="normal", featuresCol="features", labelCol="label")
+    (row,) = scoring.fit_and_judge(df, {"bad": (["bad"], plain()), "good": (["good"], plain())}, str(tmp_path / "m")).collect()
+    assert row["chosen"] == "good" and row["mse"] < 1e-4 and row["samples"] == 200 and row["ndcg"] > 0.99 and row["users"] == 40
+    assert PipelineModel.load(str(tmp_path / "m" / "good")).stages[-1].coefficients[0] == pytest.approx(0.5, abs=0.01)

@@ -127,6 +127,50 @@ def test_written_manifest_without_registry_entry_counts(spark, tmp_path):
     assert [e["version"] for e in data.registry()["versions"]] == ["v0001", "v0002", "v0003"]
 
 
+def test_an_older_manifest_never_becomes_latest(spark, tmp_path):
+    """The registry lists v0003; a manifest of v0002 that nobody listed must not take its place."""
+    data = VersionedDataset(spark, str(tmp_path))
+    listed = [{"version": "v0001"}, {"version": "v0003", "latest_processed_input": "new"}]
+    put(tmp_path / "registry" / "version.json", json.dumps(
+        {"versions": listed, "latest": "v0003", "latest_version": "v0003", "latest_processed_input": "new"}))
+    put(tmp_path / "versions" / "v0002" / "manifest.json", json.dumps({"version": "v0002", "latest_processed_input": "old"}))
+    found = data.registry()
+    assert (found["latest"], found["latest_processed_input"]) == ("v0003", "new")
+    assert {e["version"] for e in found["versions"]} == {"v0001", "v0002", "v0003"}
+    assert data.latest_source()[0].endswith("versions/v0003/parts")
+    data.commit({"version": "v0002", "latest_processed_input": "older"})  # a slow writer
+    found = data.registry()
+    assert (found["latest"], found["latest_processed_input"]) == ("v0003", "new")
+    put(tmp_path / "versions" / "v0010" / "manifest.json", json.dumps({"version": "v0010", "latest_processed_input": "newest"}))
+    put(tmp_path / "versions" / "v0009" / "manifest.json", json.dumps({"version": "v0009", "latest_processed_input": "newer"}))
+    found = data.registry()
+    assert (found["latest"], found["latest_processed_input"]) == ("v0010", "newest")
+
+
+def test_two_writers_never_share_a_number(spark, tmp_path):
+    a, b = (VersionedDataset(spark, str(tmp_path)) for _ in range(2))
+    first, second = a.claim_version(), b.claim_version()
+    assert (first, second) == ("v0001", "v0002")
+    assert not files.create_new(spark, f"{a.folder(first)}/_claimed")
+    b.commit({"version": second, "latest_processed_input": "b"})  # the later number is ready first
+    a.commit({"version": first, "latest_processed_input": "a"})
+    found = a.registry()
+    assert found["latest"] == second and found["latest_processed_input"] == "b"
+    assert {e["version"] for e in found["versions"]} == {first, second}
+    assert files.read_json(spark, f"{tmp_path}/latest/manifest.json", {})["version"] == second
+
+
+def test_build_that_died_leaves_its_number(spark, tmp_path):
+    data = VersionedDataset(spark, str(tmp_path))
+    rows = spark.range(3)
+    data.write({"parts": rows})
+    dead = data.claim_version()
+    rows.write.parquet(f"{data.folder(dead)}/parts")  # no manifest
+    assert data.registry()["latest"] == "v0001" and data.latest_source()[0].endswith("v0001/parts")
+    assert data.write({"parts": rows})["version"] == "v0003"
+    assert data.registry()["latest"] == "v0003"
+
+
 def test_all_versions_are_kept(spark, tmp_path):
     data = VersionedDataset(spark, str(tmp_path))
     put(tmp_path / "registry" / "version.json", json.dumps({"versions": [{"version": f"v{i:04d}"} for i in range(1, 251)], "latest": "v0250"}))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def _col(x) -> Column:
@@ -54,6 +56,44 @@ def cosine(a, b, zero: str = "null") -> Column:
     raise ValueError(f"unknown zero rule: {zero}")
 
 
+def cosine_block(a, b) -> Column:
+    """Cosine of two list columns under the rule ``null``, by blocks of rows.
+
+    The lists of an Arrow batch are one buffer each; products and squares are summed per row
+    over whole buffers.  NULL where a list or one of its items is NULL, where the lengths
+    differ, or where a norm is 0.
+    """
+    return _cosines(_col(a), _col(b))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All items in DOUBLE, the length of each list, and whether list and items are not null."""
+    bounds = np.asarray(column.offsets)
+    items = column.values.slice(bounds[0], bounds[-1] - bounds[0])
+    lengths = np.diff(bounds)
+    good = np.asarray(column.is_valid())
+    if items.null_count:
+        missing = np.concatenate([[0], np.cumsum(np.asarray(items.is_null()))])
+        ends = np.cumsum(lengths)
+        good = good & (missing[ends] == missing[ends - lengths])
+    return np.asarray(items.cast(pa.float64()).fill_null(0.0)), lengths, good
+
+
+@F.arrow_udf(T.DoubleType())
+def _cosines(a: pa.Array, b: pa.Array) -> pa.Array:
+    (x, m, fine), (y, n, same) = _flat(a), _flat(b)
+    used = fine & same & (m == n) & (m > 0)
+    x, y, lengths = x[np.repeat(used, m)], y[np.repeat(used, n)], m[used]
+    out = np.zeros(len(used))
+    if len(lengths):
+        starts = np.cumsum(lengths) - lengths
+        dots, xx, yy = (np.add.reduceat(v, starts) for v in (x * y, x * x, y * y))
+        size = np.sqrt(xx) * np.sqrt(yy)
+        used[used] = size != 0
+        out[used] = dots[size != 0] / size[size != 0]
+    return pa.array(out, mask=~used)
+
+
 def unit(v, floor: float = 1e-12) -> Column:
     """Vector divided by its length, the length being at least ``floor``."""
     length = F.greatest(norm(v), F.lit(floor))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel.operators.events import parse_event_time
+from tidewheel.operators.ordering import number_rows
 from tidewheel.session import cut_lineage
 
 AUTH_FIELDS = "user_id string, session_id string, event_type string, event_time string"
@@ -75,33 +76,77 @@ def _binds() -> Column:
     return (F.col("kind") == "user") | (F.col("event_type") == "login")
 
 
-def _refused(binding: DataFrame, bound: DataFrame) -> DataFrame:
-    """Batches (batch_id) of ``binding`` that use a session of another user.
+def settle(binding: DataFrame, bound: DataFrame) -> tuple[DataFrame, int]:
+    """Batches (batch_id) of ``binding`` that use a session of another user, and the rounds taken.
 
-    ``binding`` holds the binding events of contested sessions only, in batches without
-    other faults.  In each round the first live event of a session is its binder; a batch is
-    settled when all its binders are: known before, its own, or in a batch that is taken in.
-    The earliest open batch always is, so every round settles some, and a round more is
-    needed only for each further link of a chain of conflicts.
+    ``binding`` holds the binding events of contested sessions only, in batches without other
+    faults.  A batch that uses a session with two users, or one bound before to another user,
+    is refused.  Of the others one is refused if and only if an earlier one that is taken in
+    uses a session of it with another user.  Per round:
+
+    1.  A batch without earlier open batches against it is taken in.
+    2.  A batch with exactly one against it has that one's opposite verdict: a link.  Links are
+        followed by doubling, so a chain of any length is settled in a number of steps that
+        grows with its logarithm.
+    3.  What conflicts with a batch taken in is refused.
+
+    Further rounds are needed only where batches wait for several others at once.
     """
-    place = F.struct("batch_id", "kind", "position")
-    rows = binding.join(bound, "session_id", "left")
-    verdicts = rows.select("batch_id").distinct().withColumn("ok", F.lit(None).cast("boolean"))
-    while not verdicts.where("ok is null").isEmpty():
-        live = rows.join(verdicts, "batch_id").where("ok is null or ok")
-        first = live.groupBy("session_id").agg(F.min(F.struct(place.alias("at"), "user_id", "ok", "batch_id")).alias("first"))
-        open_rows = live.where("ok is null").join(first, "session_id")
-        known = F.col("bound_user_id").isNotNull()
-        settled = known | (F.col("first.batch_id") == F.col("batch_id")) | F.coalesce("first.ok", F.lit(False))
-        owner = F.coalesce("bound_user_id", "first.user_id")
-        judged = open_rows.groupBy("batch_id").agg(
-            F.bool_or(settled & (owner != F.col("user_id"))).alias("clash"), F.bool_and(settled).alias("all_settled")
-        )
-        new = F.when(F.col("clash"), F.lit(False)).when(F.col("all_settled"), F.lit(True))
-        verdicts = cut_lineage(
-            verdicts.join(judged, "batch_id", "left").select("batch_id", F.coalesce("ok", new).alias("ok"))
+    keys = ["session_id", "batch_id"]
+    each = binding.groupBy(*keys).agg(F.min("user_id").alias("user_id"), F.max("user_id").alias("_other"))
+    bad = (F.col("_other") != F.col("user_id")) | F.coalesce(F.col("bound_user_id") != F.col("user_id"), F.lit(False))
+    each = cut_lineage(each.join(bound, "session_id", "left").select(*keys, "user_id", bad.alias("bad"), F.col("bound_user_id").isNotNull().alias("known")))
+    refused = [cut_lineage(each.where("bad").select("batch_id").distinct())]
+    rows = cut_lineage(each.where("not known").join(refused[0], "batch_id", "left_anti").select(*keys, "user_id"))
+    rounds = 0
+    while not rows.isEmpty():
+        rounds += 1
+        waits = cut_lineage(_waits(rows))
+        free = waits.where("lowest is null").select("batch_id", F.lit(True).alias("ok"))
+        links = waits.where("lowest is not null and single").select("batch_id", F.col("lowest").alias("root"), F.lit(True).alias("flip"))
+        while True:
+            rounds += 1
+            via = links.select(F.col("batch_id").alias("via"), F.col("root").alias("beyond"), F.col("flip").alias("more"))
+            step = cut_lineage(
+                links.join(via, F.col("root") == F.col("via"), "left").select(
+                    "batch_id", F.coalesce("beyond", "root").alias("root"),
+                    (F.col("flip") != F.coalesce("more", F.lit(False))).alias("flip"), F.col("beyond").isNotNull().alias("moved"),
+                )
+            )
+            links = step.drop("moved")
+            if step.where("moved").isEmpty():
+                break
+        rooted = links.join(free.select(F.col("batch_id").alias("root")), "root").select("batch_id", (~F.col("flip")).alias("ok"))
+        new = cut_lineage(free.union(rooted))
+        owners = cut_lineage(rows.join(new.where("ok"), "batch_id").groupBy("session_id").agg(F.min("user_id").alias("owner")))
+        left = rows.join(new, "batch_id", "left_anti")
+        clash = cut_lineage(left.join(owners, "session_id").where("user_id <> owner").select("batch_id").distinct())
+        refused += [new.where("not ok").select("batch_id"), clash]
+        rows = cut_lineage(left.join(clash, "batch_id", "left_anti"))
+    found = refused[0]
+    for more in refused[1:]:
+        found = found.union(more)
+    return found, rounds
+
+
+def _waits(rows: DataFrame) -> DataFrame:
+    """Per batch of (session_id, batch_id, user_id): the lowest earlier batch that shares a
+    session with another user, and whether that is the only one."""
+    first = cut_lineage(rows.groupBy("session_id").agg(F.min(F.struct("batch_id", "user_id")).alias("first")))
+    mine = F.col("user_id") == F.col("first.user_id")
+    other = cut_lineage(rows.join(first, "session_id").where(~mine).groupBy("session_id").agg(F.min("batch_id").alias("other")))
+    counted = number_rows(rows, ["session_id"], ["batch_id"], "_all")
+    counted = cut_lineage(number_rows(cut_lineage(counted), ["session_id", "user_id"], ["batch_id"], "_own"))
+    lowest = F.when(~mine, F.col("first.batch_id")).when(F.col("other") < F.col("batch_id"), F.col("other"))
+    return (
+        counted.join(first, "session_id").join(other, "session_id", "left")
+        .select("batch_id", lowest.alias("lowest"), (F.col("_all") - F.col("_own")).alias("against"))
+        .groupBy("batch_id")
+        .agg(
+            F.min("lowest").alias("lowest"),
+            ((F.max("against") <= 1) & (F.min("lowest") == F.max("lowest"))).alias("single"),
         )
-    return verdicts.where("not ok").select("batch_id")
+    )
 
 
 def parse_batches(batches: DataFrame, bound_sessions: DataFrame | None = None) -> DataFrame:
@@ -128,7 +173,7 @@ def parse_batches(batches: DataFrame, bound_sessions: DataFrame | None = None) -
         return events
     at = F.struct("batch_id", "kind", "position")
     first = F.min(F.struct(at.alias("at"), "user_id"))
-    taken = binding.join(_refused(binding, bound), "batch_id", "left_anti")
+    taken = binding.join(settle(binding, bound)[0], "batch_id", "left_anti")
     owners = (
         binding.select("session_id").distinct()
         .join(taken.groupBy("session_id").agg(first.alias("binder")), "session_id", "left")

@@ -81,7 +81,7 @@ def _sample(df: DataFrame, fraction: float | None, seed: int) -> DataFrame:
 
 
 def _similarity(df: DataFrame, user: str, item: str) -> DataFrame:
-    return df.withColumn("cosine_sim", vectors.cosine(user, item, "null")).where(
+    return df.withColumn("cosine_sim", vectors.cosine_block(user, item)).where(
         F.col("cosine_sim").isNotNull()
     )
 

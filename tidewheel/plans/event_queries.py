@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewheel.functions import labels, vectors
 from tidewheel.operators import (
-    cleaning, events, ingest, metrics, profiles, retrieval, samples, scoring,
+    cleaning, events, index, ingest, metrics, profiles, retrieval, samples, scoring,
 )
 from tidewheel.plans import datasets, sqltext as s
-from tidewheel.plans.rating_queries import SAMPLES, exploded
-from tidewheel.session import cut_lineage
+from tidewheel.plans.rating_queries import LABEL, PER_USER, SAMPLES, SPLIT_CASE, exploded
+from tidewheel.session import cut_lineage, shared_folder
 from tidewheel.sources import tables
 
 
@@ -243,6 +245,64 @@ def user_candidates(spark, folder):
     return _retrieved(spark, folder).select("user_id", "movie_id", F.round("score", 5).alias("score"), "rank")
 
 
+def indexed_candidates(spark, folder):
+    """How many users an inverted-file index serves, and whether it finds 95 % of the true 10
+    nearest items of the users whose id is divisible by 100, against all items."""
+    items = tables.items(spark, folder)
+    _, fused = datasets.offline_inputs(tables.ratings(spark, folder), items)
+    fused, items = cut_lineage(fused), cut_lineage(items)
+    found = index.build(items)
+    probes, recall = index.measured_probes(fused, items, found, 10, 0.95)
+    served = index.search(fused, found, 10, probes)
+    return served.agg(
+        F.count_distinct("user_id").alias("users"),
+        F.count_distinct(F.when(F.col("user_id") % 100 == 0, F.col("user_id"))).alias("asked"),
+        F.lit(recall >= 0.95).alias("enough"),
+    )
+
+
+def request_answers(spark, folder):
+    """The whole request path: retrieved candidates as requests, scored by dot product, ranked.
+
+    The best candidate of every seventh user has lost its vector, so those requests fall back.
+    """
+    items = tables.items(spark, folder)
+    _, fused = datasets.offline_inputs(tables.ratings(spark, folder), items)
+    fused = cut_lineage(fused)
+    vector = F.when((F.col("user_id") % 7 != 0) | (F.col("rank") > 1), F.col("movie_embedding"))
+    candidates = (
+        cut_lineage(retrieval.top_items(fused, items, 10)).join(items, "movie_id")
+        .groupBy("user_id")
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "movie_id", vector.alias("movie_embedding")))).alias("candidates"))
+    )
+    requests = cut_lineage(
+        candidates.join(fused, "user_id").select(
+            F.col("user_id").alias("request_id"), F.lit(5).alias("request_k"), "user_embedding", "candidates"
+        )
+    )
+    score = lambda pairs: pairs.withColumn("score", vectors.dot("user_embedding", "movie_embedding"))
+    found = scoring.answer_requests(requests, score, scoring.CURATED_IDS[:6])
+    return found.select("request_id", "movie_id", "rank", F.round("score", 5).alias("score"), "reason")
+
+
+def judged_model(spark, folder):
+    """A regression on one pair feature, chosen on validation and judged on test rows."""
+    from pyspark.ml.regression import LinearRegression
+
+    found = datasets.offline_dataset(tables.ratings(spark, folder), tables.items(spark, folder), jitter="md5", strategy="per_user")
+    rows = cut_lineage(
+        found.select(
+            "user_id", "movie_id", "label", "dataset_split",
+            F.coalesce(vectors.cosine_block("user_embedding", "movie_embedding"), F.lit(0.0)).alias("cosine"),
+            vectors.dot("user_embedding", "movie_embedding").alias("dot"),
+        )
+    )
+    plain = lambda: LinearRegression(solver="normal", featuresCol="features", labelCol="label")
+    judged = scoring.fit_and_judge(rows, {"cosine": (["cosine"], plain()), "dot": (["dot"], plain())}, f"{shared_folder(spark)}/models-{uuid.uuid4().hex}")
+    rounded = ("val_mse", "mse", "hit_rate", "ndcg")
+    return judged.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in judged.columns])
+
+
 def fallback_candidates(spark, folder):
     found = retrieval.with_popular_fallback(
         _users(spark, folder), cut_lineage(_retrieved(spark, folder)), _popular(spark, folder)
@@ -490,8 +550,7 @@ pairs AS (
     md5_number_lower(user_id::VARCHAR || ':' || movie_id::VARCHAR)::DOUBLE / 18446744073709551615.0::DOUBLE AS pred_score
   FROM ratings)"""
 
-RANKING = PREDICTIONS + """,
-placed AS (
+PLACED = """placed AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pred_score DESC, movie_id, label DESC) AS rp,
     row_number() OVER (PARTITION BY user_id ORDER BY label DESC, movie_id) AS ri,
     count(*) OVER (PARTITION BY user_id) AS n FROM pairs),
@@ -501,7 +560,33 @@ hits AS (
 per_user AS (
   SELECT user_id, any_value(n) AS n, coalesce(sum(label / log2(rp + 1)) FILTER (rp <= 10), 0) AS dcg,
     coalesce(sum(label / log2(ri + 1)) FILTER (ri <= 10), 0) AS idcg
-  FROM placed WHERE n >= 2 GROUP BY user_id)
+  FROM placed WHERE n >= 2 GROUP BY user_id)"""
+
+LABELLED = SAMPLES + ",\nlabelled AS (SELECT user_id, movie_id, \"timestamp\", dot, coalesce(cosine, 0) AS cosine, label AS rating FROM samples),\n" + PER_USER.format(
+    case=SPLIT_CASE, cols='user_id, movie_id, "timestamp", dot, cosine, rating', order='"timestamp", movie_id, rating', table="labelled")
+
+JUDGED = LABELLED + f""",
+rows AS (SELECT user_id, movie_id, dataset_split, {LABEL} AS label, cosine, dot FROM per_user),
+fits AS (
+  SELECT name, arg, regr_slope(label, x) AS a, regr_intercept(label, x) AS b
+  FROM (SELECT 'cosine' AS name, 1 AS arg, label, cosine AS x FROM rows WHERE dataset_split = 'train'
+        UNION ALL SELECT 'dot', 2, label, dot FROM rows WHERE dataset_split = 'train') GROUP BY name, arg),
+told AS (
+  SELECT name, arg, user_id, movie_id, dataset_split, label,
+         round(a * (CASE name WHEN 'cosine' THEN cosine ELSE dot END) + b, 9) AS pred_score FROM rows, fits),
+vals AS (
+  SELECT name, arg, avg((pred_score - label) * (pred_score - label)) AS val_mse FROM told WHERE dataset_split = 'val' GROUP BY name, arg),
+best AS (SELECT name, val_mse FROM vals ORDER BY val_mse, arg LIMIT 1),
+pairs AS (SELECT user_id, movie_id, label, pred_score FROM told JOIN best USING (name) WHERE dataset_split = 'test'),
+""" + PLACED.replace("per_user AS", "per_user_rank AS") + """,
+ranked AS (
+  SELECT coalesce(avg(CASE WHEN user_id IN (SELECT user_id FROM hits) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0) AS hit_rate,
+         coalesce(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 0) AS ndcg, count(*) AS users FROM per_user_rank)"""
+JUDGED_ROW = """SELECT name AS chosen, round(val_mse, 6) AS val_mse, round(mse, 6) AS mse, samples, round(hit_rate, 6) AS hit_rate,
+  round(ndcg, 6) AS ndcg, users
+FROM best, (SELECT avg((pred_score - label) * (pred_score - label)) AS mse, count(*) AS samples FROM pairs), ranked"""
+
+RANKING = PREDICTIONS + ",\n" + PLACED + """
 SELECT round(coalesce(avg(CASE WHEN user_id IN (SELECT user_id FROM hits) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0), 8) AS hit_rate,
   round(coalesce(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 0), 8) AS ndcg, count(*) AS users,
   count(*) FILTER (n > 10) AS users_above_k FROM per_user"""
@@ -647,6 +732,19 @@ SELECT a.vec_id AS user_id, b.vec_id AS movie_id,
 FROM embeddings a, embeddings b QUALIFY rank <= 10"""),
     "user_candidates": (user_candidates, s.q(RETRIEVED, """
 SELECT user_id, movie_id, round(score, 5) AS score, rank FROM retrieved""")),
+    "indexed_candidates": (indexed_candidates, s.q(s.FUSED, """
+SELECT count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (user_id % 100 = 0) AS asked, true AS enough FROM fused""")),
+    "request_answers": (request_answers, s.q(RETRIEVED, f"""
+SELECT user_id AS request_id, movie_id::VARCHAR AS movie_id,
+  row_number() OVER (PARTITION BY user_id ORDER BY dot DESC, movie_id)::INTEGER AS rank, round(dot, 5) AS score, 'ranked_by_model' AS reason
+FROM (SELECT r.user_id, r.movie_id, r.score * (u + 1e-12) * (m + 1e-12) AS dot
+      FROM retrieved r JOIN norms USING (user_id) JOIN item_norms ON item_norms.movie_id = r.movie_id WHERE r.user_id % 7 <> 0)
+QUALIFY rank <= 5
+UNION ALL
+SELECT user_id, id::VARCHAR, place::INTEGER, 0.0::DOUBLE, 'fallback_inference_error'
+FROM (SELECT DISTINCT user_id FROM retrieved WHERE user_id % 7 = 0),
+     (SELECT unnest({scoring.CURATED_IDS[:5]}) AS id, unnest(range(1, 6)) AS place)""")),
+    "judged_model": (judged_model, s.q(JUDGED, JUDGED_ROW)),
     "fallback_candidates": (fallback_candidates, s.q(RETRIEVED + ",\n" + POPULAR_FOR, """
 SELECT user_id, movie_id, round(score, 4) AS score, rank, 'embedding' AS category FROM retrieved
 UNION ALL

@@ -92,7 +92,7 @@ def offline_build(
     vectors = read_items(spark, item_folder)
     preflight(stored, remaining, vectors, weights)
     data = VersionedDataset(spark, out)
-    version = data.next_version()
+    version = data.claim_version()
     fused = f"{data.folder(version)}/fused_users"
     sinks.write_parquet(profiles.fused_users(stored, *weights), fused)
     found = samples.offline_samples(remaining, spark.read.parquet(fused), vectors)
@@ -111,7 +111,7 @@ def split_build(
     path, how = VersionedDataset(spark, source).latest_source()
     kept, place = split_rows(readers.read_kind(spark, path, how), kind, strategy, jitter, cap, ratios)
     data = VersionedDataset(spark, out)
-    version = version or data.next_version()
+    version = version or data.claim_version()
     whole = f"{data.folder(version)}/dataset_split"
     sinks.write_splits(kept, whole, ("user_id", place))
     written = spark.read.parquet(whole)
@@ -160,7 +160,7 @@ def online_build(
 
     A version without rows, or older than every vector version, adds nothing but is not
     looked at again.  The mark of what was processed is part of the version's manifest, so
-    a build that dies is either wholly there or done again under the same number.
+    a build that dies is either wholly there or done again, under the next number.
     """
     data = VersionedDataset(spark, out)
     mark = data.registry().get(MARK)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -43,6 +44,20 @@ def has_parquet(spark: SparkSession, path: str) -> bool:
     return False
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if it is there already.  As safe between two writers as the
+    file system's create without overwrite (one step on HDFS)."""
+    where = _fs(spark, path)
+    where.mkdirs(_path(spark, path).getParent())
+    try:
+        where.create(_path(spark, path), False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in str(error.java_exception.getClass().getName()) or exists(spark, path):
+            return False
+        raise
+    return True
+
+
 def read_json(spark: SparkSession, path: str, default):
     """A small JSON file; the default where it is missing.  One that is no JSON raises."""
     if not exists(spark, path):

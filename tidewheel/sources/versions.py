@@ -17,7 +17,10 @@ class VersionedDataset:
     """Numbered versions of one or more named tables below a root folder.
 
     ``write`` fills ``versions/<v>/<part>`` first and the registry last, so a job that
-    dies leaves nothing that readers would find.
+    dies leaves nothing that readers would find.  Which version is the latest, and with it the
+    mark of what was processed, follows from the order of the versions and not from the order
+    in which their manifests arrive: numbers count as numbers, other names as text, and a
+    registry that names a later version than an unlisted manifest keeps it.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -30,6 +33,18 @@ class VersionedDataset:
         A job that died between manifest and registry, or two jobs that wrote the registry at
         once, therefore lose nothing.  A file that cannot be read stops the job.
         """
+        registry = self._file()
+        listed = {self._name(e) for e in registry["versions"]}
+        for version in sorted(files.folders(self.spark, f"{self.root}/versions"), key=self._place):
+            if version in listed:
+                continue
+            manifest = files.read_json(self.spark, f"{self.folder(version)}/manifest.json", None)
+            if isinstance(manifest, dict) and manifest.get("version") == version:
+                self._enter(registry, manifest)
+        return registry
+
+    def _file(self) -> dict:
+        """The registry file as it is."""
         registry: dict = {"versions": [], "latest": None}
         for name in REGISTRY_NAMES:
             path = f"{self.root}/registry/{name}"
@@ -40,22 +55,27 @@ class VersionedDataset:
                 raise ValueError(f"{path} is no registry")
             registry = {"versions": [], **found}
             break
-        listed = {self._name(e) for e in registry["versions"]}
-        for version in files.folders(self.spark, f"{self.root}/versions"):
-            if version in listed:
-                continue
-            manifest = files.read_json(self.spark, f"{self.folder(version)}/manifest.json", None)
-            if isinstance(manifest, dict) and manifest.get("version") == version:
-                self._enter(registry, manifest)
         return registry
 
-    def _enter(self, registry: dict, manifest: dict) -> None:
-        """List a manifest as the latest version, with the mark of what it has processed."""
+    def _enter(self, registry: dict, manifest: dict, again: bool = False) -> bool:
+        """List a manifest; as the latest version, with its mark, unless a later one is known.
+        A listed version that is written ``again`` on purpose becomes the latest all the same."""
         version = manifest["version"]
-        registry["versions"] = [e for e in registry["versions"] if self._name(e) != version] + [manifest]
+        others = [e for e in registry["versions"] if self._name(e) != version]
+        registry["versions"] = others + [manifest]
+        latest = self._name(registry.get("latest_version") or registry.get("latest"))
+        older = latest is not None and self._place(latest) > self._place(version)
+        if older and not again:
+            return False
         registry["latest"] = registry["latest_version"] = version
-        if manifest.get(MARK) is not None:
+        if manifest.get(MARK) is not None and not older:
             registry[MARK] = manifest[MARK]
+        return True
+
+    @staticmethod
+    def _place(version: str) -> tuple:
+        number = re.fullmatch(r"v(\d+)", str(version))
+        return (0, int(number.group(1)), "") if number else (1, 0, str(version))
 
     @staticmethod
     def _name(entry) -> str | None:
@@ -70,6 +90,16 @@ class VersionedDataset:
         numbers = [int(m.group(1)) for n in names if n and (m := re.fullmatch(r"v(\d+)", str(n)))]
         return f"v{max(numbers, default=0) + 1:04d}"
 
+    def claim_version(self) -> str:
+        """The next number, made this writer's own by a file that only one writer can create.
+
+        A number that another job claimed is passed over, whether that job is at work or died.
+        """
+        number = int(self.next_version()[1:])
+        while not files.create_new(self.spark, f"{self.folder(f'v{number:04d}')}/_claimed"):
+            number += 1
+        return f"v{number:04d}"
+
     def folder(self, version: str) -> str:
         return f"{self.root}/versions/{version}"
 
@@ -86,7 +116,7 @@ class VersionedDataset:
         Writing the same version again replaces it.  Row counts are observed while the
         rows are written.
         """
-        version = version or self.next_version()
+        version = version or self.claim_version()
         parts, counts = {}, {}
         for name, df in tables.items():
             path = f"{self.folder(version)}/{name}"
@@ -103,11 +133,16 @@ class VersionedDataset:
         return manifest
 
     def commit(self, manifest: dict) -> None:
-        """Publish a manifest: beside the version, as latest, and in the registry."""
-        registry = self.registry()
+        """Publish a manifest: beside the version, in the registry, and as latest if it is.
+
+        A writer that reads the registry while another writes it lists both in the end, since
+        manifests that are not listed are found in the version folders.
+        """
+        again = manifest["version"] in {self._name(e) for e in self._file()["versions"]}
         files.write_json(self.spark, f"{self.folder(manifest['version'])}/manifest.json", manifest)
-        files.write_json(self.spark, f"{self.root}/latest/manifest.json", manifest)
-        self._enter(registry, manifest)
+        registry = self.registry()
+        if self._enter(registry, manifest, again):
+            files.write_json(self.spark, f"{self.root}/latest/manifest.json", manifest)
         files.write_json(self.spark, f"{self.root}/registry/{REGISTRY_NAMES[0]}", registry)
 
     def latest_source(self) -> tuple[str, str]:
