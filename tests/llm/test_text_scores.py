@@ -57,6 +57,16 @@ def test_unequal_chances(spark):
     assert abs(sum(r.taken for r in mixed if r.source == "b") - mixed[0].target) <= 12_000
 
 
+def test_border_is_refined(spark, monkeypatch):
+    """With few intervals the border's part holds several rows; the choice stays that of one sort."""
+    rows = [(i, "w " * (1 + i % 5), "en", ["a", "b", "c", "d"][i % 7 % 4]) for i in range(3000)]
+    docs = edge.documents(spark, rows)
+    want = edge.rows_of(mixing.mix(docs))
+    for bins in (1, 2, 16):
+        monkeypatch.setattr(mixing, "BINS", bins)
+        assert edge.rows_of(mixing.mix(docs)) == want
+
+
 def test_repeated_keeps_columns(spark, edge_docs, no_docs):
     docs = edge.clashing(edge_docs)
     left = mixing.repeated(docs)
@@ -228,6 +238,45 @@ def test_awkward_rows_and_labels(spark, edge_docs, no_docs):
     assert toxicity.scored(no_docs, net).collect() == []
 
 
+def test_training_sample_is_bounded(spark, monkeypatch):
+    """One id with thousands of rows trains once; texts beyond the byte budget do not train."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, langs: seen.append((texts.to_pylist(), labels.tolist())))
+    rows = [(1, f"copy {i}", "en", "a") for i in range(3000)] + [(i, "x" * 100, "en", "a") for i in range(2, 60)] + [(3, "y" * 10**6, "en", "a")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    docs = edge.documents(spark, rows)
+    toxicity.fit(docs, labels, rows=20)
+    toxicity.fit(docs, labels, rows=20, max_bytes=550)
+    toxicity.fit(docs.repartition(5), labels, rows=20, max_bytes=550)
+    assert len(seen[0][0]) <= 20 and sum(t.startswith("copy") for t in seen[0][0]) <= 1
+    assert sum(len(t) for t in seen[1][0]) <= 550 and len(seen[1][0]) >= 5 and seen[1] == seen[2]
+
+
+def naive_score(net, text):
+    """The forward pass with loops over words, filters and places."""
+    words = toxicity.buckets_of(pa.array([text]))
+    known = {int(k): i + 1 for i, k in enumerate(net.keys)}
+    inputs = [net.table[known.get(int(a), 0)] + net.table[known.get(int(b), 0)] for a, b in zip(words[0], words[1])]
+    total = net.offset
+    for n, (width, bank, bias) in enumerate(zip(toxicity.WIDTHS, net.filters, net.biases)):
+        for f in range(toxicity.FILTERS):
+            best = float(bias[f])
+            for i in range(len(inputs)):
+                best = max(best, float(bias[f]) + sum(float(inputs[i + j] @ bank[j][:, f]) for j in range(width) if i + j < len(inputs)))
+            total += max(best, 0.0) * float(net.out[n * toxicity.FILTERS + f])
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_on_the_tables_equal_a_naive_forward_pass(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    net = toxicity.fit(docs, labels)
+    short = docs.where("length(text) < 1500 or text is null")
+    rows = toxicity.scored(short, net, keep=["doc_id", "text"]).collect()
+    assert len(rows) > 50
+    for r in rows:
+        assert r.score == pytest.approx(naive_score(net, r.text or ""), abs=1e-5)
+
+
 def test_thresholds_by_language():
     scores = np.array([0.9] * 40 + [0.6] * 40 + [0.4] * 40 + [0.1] * 40)
     labels = np.array([1] * 40 + [0] * 40 + [1] * 40 + [0] * 40)

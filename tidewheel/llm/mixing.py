@@ -8,8 +8,9 @@ taken in that order until the source's remaining words are reached, to within ha
 document at the border.  Reruns draw the same numbers.
 
 No task sorts a whole source: the ranks fall into ``BINS`` equal intervals, per-source sums
-of the intervals find the one that holds the border, and only its rows are sorted.  Texts
-are never shuffled here.  One row per source is the largest table that a window spans.
+of the intervals find the one that holds the border, sums of its ``BINS`` parts find the part,
+and only that one's rows are sorted: a source of 1e11 documents has some 6000 there.  Other
+texts are never shuffled here.  One row per source is the largest table that a window spans.
 
 Defined cases: a null text has size 0, and rows of size 0 take nothing.  A null source is a
 source of its own, after all others.  Equal ids draw the same number, and identical rows
@@ -86,11 +87,13 @@ def mix(
     narrow = stored(rows.select("_id", "_source", "_none", "size", "_g"), "sizes")
     plan = _plan(narrow, weights, cap, seed)
     placed = _ranked(rows, plan, cap, seed)
-    clear = placed.where("_bin <> _border").withColumn("_more", (F.col("_bin") < F.col("_border")).cast("int"))
+    clear = placed.where("_bin <> _border or _fine <> _fine_border").withColumn(
+        "_more", (F.struct("_bin", "_fine") < F.struct(F.col("_border").alias("_bin"), F.col("_fine_border").alias("_fine"))).cast("int")
+    )
     line = W.partitionBy("_source", "_none").orderBy("_z", "_id", "size")
     words = F.sum("size").over(line.rowsBetween(W.unboundedPreceding, -1))
     half_way = F.coalesce(words, F.lit(0)) + F.col("size") / 2.0
-    edge = placed.where("_bin = _border").withColumn("_more", (half_way < F.col("_rest")).cast("int"))
+    edge = placed.where("_bin = _border and _fine = _fine_border").withColumn("_more", (half_way < F.col("_rest")).cast("int"))
     copies = F.col("_sure") + F.col("_more")
     added = {
         "size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"),
@@ -101,7 +104,8 @@ def mix(
 
 
 def _plan(narrow: DataFrame, weights: Sequence[int], cap: int, seed: str) -> DataFrame:
-    """Per source: target, rate, border interval and the words still wanted inside it."""
+    """Per source: target, rate, the border interval of ranks, the border part of that interval,
+    and the words still wanted inside it.  The part holds about 1 / ``BINS`` ** 2 of a source."""
     sums = narrow.groupBy("_source", "_none").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_g")).alias("_liked")
     )
@@ -139,12 +143,29 @@ def _plan(narrow: DataFrame, weights: Sequence[int], cap: int, seed: str) -> Dat
         F.coalesce("b._bin", F.when(F.col("_want") > 0, F.lit(BINS)).otherwise(F.lit(-1))).alias("_border"),
         F.coalesce("b._rest", F.lit(0.0)).alias("_rest"),
     )
-    return stored(first.join(found, ["_source", "_none"]), "borders")
+    coarse = stored(first.join(found, ["_source", "_none"]), "borders")
+    fine = (
+        _ranked(narrow, coarse.withColumn("_fine_border", F.lit(0)), cap, seed).where(f"_bin = _border and _border < {BINS}")
+        .groupBy("_source", "_none", "_fine").agg(F.sum("size").alias("_words"), F.max("_rest").alias("_rest"))
+    )
+    before = every.orderBy("_fine").rowsBetween(W.unboundedPreceding, -1)
+    cut = (
+        fine.select("_source", "_none", "_fine", "_words", "_rest", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before"))
+        .where("_before + _words >= _rest")
+        .groupBy("_source", "_none").agg(F.min(F.struct("_fine", (F.col("_rest") - F.col("_before")).alias("left"))).alias("f"))
+    )
+    return stored(
+        coarse.join(cut, ["_source", "_none"], "left").select(
+            *[c for c in coarse.columns if c != "_rest"],
+            F.coalesce("f._fine", F.when(F.col("_border") == BINS, -1).otherwise(BINS)).alias("_fine_border"), F.coalesce("f.left", F.lit(0.0)).alias("_rest"),
+        ),
+        "parts",
+    )
 
 
 def _ranked(rows: DataFrame, plan: DataFrame, cap: int, seed: str) -> DataFrame:
-    """Certain copies, rank ``_z`` in [0, 1) and its interval; what cannot be included is in
-    interval ``BINS``."""
+    """Certain copies, rank ``_z`` in [0, 1), its interval and the part of that; what cannot be
+    included is in interval ``BINS``."""
     joined = rows.join(plan, ["_source", "_none"])
     expected = F.least(F.lit(float(cap)), F.col("_rate") * F.col("_g"))
     sure = F.floor(expected)
@@ -157,6 +178,7 @@ def _ranked(rows: DataFrame, plan: DataFrame, cap: int, seed: str) -> DataFrame:
         joined.select("*", sure.cast("int").alias("_sure"), (expected - sure).alias("_p"), draw.alias("_u"))
         .select("*", F.when(chance > 0, odds / (1 + odds)).otherwise(F.lit(1.0)).alias("_z"))
         .select("*", F.when(chance > 0, F.least(interval, F.lit(BINS - 1))).otherwise(F.lit(BINS)).alias("_bin"))
+        .select("*", F.least(F.floor((F.col("_z") * float(BINS) - F.col("_bin")) * float(BINS)).cast("int"), F.lit(BINS - 1)).alias("_fine"))
     )
 
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tidewheel.llm.tables import free_name
 from tidewheel.llm.words import blocks, words_in
@@ -34,6 +34,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 PREFIX = 5
 TRAIN_ROWS = 8_000
+TRAIN_BYTES = 48 << 20
 MIN_DOCS = 3
 MIN_SCORE = 2.0
 EPOCHS = 4
@@ -282,10 +283,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Net:
-    """Train on at most ``rows`` labelled rows, drawn by a hash of the id.
+        lang_col: str = "lang", rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Net:
+    """Train on at most ``rows`` labelled documents, drawn by a hash of the id.
 
-    Their ids are broadcast (at most ``rows``), and only their texts reach the driver.
+    Of rows that share an id the text with the smallest hash trains, once.  The ids, sizes and
+    hashes of the drawn documents are collected first; in their order as many train as fit in
+    ``max_bytes``.  Only these ids are broadcast, and only their texts reach the driver.
     """
     sample = (
         labels.where(F.col(label_col).isNotNull() & ~held_out(id_col))
@@ -293,13 +296,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         .agg(F.max(label_col).cast("int").alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(rows)
+        .withColumn("_turn", F.row_number().over(W.orderBy(F.xxhash64("_id"), "_id")))
     )
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), lang.alias("_lang"))
+    texts = texts.where(F.col("_text").isNotNull()).withColumn("_hash", F.xxhash64("_text"))
+    one = F.struct("_hash", F.octet_length("_text").cast("long").alias("bytes"))
+    drawn = texts.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min(F.struct("_turn", "_label")).alias("t"), F.min(one).alias("o"))
+    chosen, held = [], 0
+    for r in sorted(drawn.collect(), key=lambda r: r["t"]["_turn"]):
+        if held + r["o"]["bytes"] <= max_bytes:
+            chosen.append((r["_id"], r["t"]["_label"], r["o"]["_hash"]))
+            held += r["o"]["bytes"]
+    kind = texts.schema["_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(chosen, f"_id {kind}, _label int, _hash long")
     found = (
-        texts.join(F.broadcast(sample), "_id")
-        .where(F.col("_text").isNotNull())
-        .select("_id", "_label", "_lang", "_text")
+        texts.join(F.broadcast(wanted), ["_id", "_hash"])
+        .groupBy("_id", "_label", "_hash")
+        .agg(F.min(F.struct("_lang", "_text")).alias("_row"))
+        .select("_id", "_label", "_row._lang", "_row._text")
         .toArrow()
         .sort_by([("_id", "ascending")])
     )
