@@ -72,7 +72,7 @@ def embedding_text(joined: DataFrame) -> DataFrame:
             "production_companies_list": "production_companies",
         },
     )
-    fields = listed.select(
+    cleaned = F.struct(
         "movieId",
         "imdbId",
         "tmdbId",
@@ -90,8 +90,9 @@ def embedding_text(joined: DataFrame) -> DataFrame:
         text.clean("tagline").alias("tagline"),
         text.clean("overview").alias("overview"),
     )
-    # Spark would move the filter below the cleaning and clean every field twice
-    fields = cut_lineage(fields)
+    # As the only entry of a generated list the fields are computed once; Spark would move the
+    # filter below a plain projection and clean every field twice.
+    fields = listed.select(F.inline(F.array(cleaned)))
     return (
         fields.where(text.enough_content(cleaned=True))
         .withColumn("embedding_text", text.item_text(cleaned=True))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidewheel.session import cut_lineage
 from tidewheel.operators.ordering import (
     HOT_ROWS, exact_quantiles, join_per_key, number_rows, running, sliding, with_one_row,
 )
@@ -266,8 +267,9 @@ def circuit_breaker(
         keys = ["env", "segment"]
     placed = number_rows(log, keys, order, "position", None, hot_rows)
     used = F.col("fallback_used").cast("long")
-    seen = sliding(
-        placed, keys, "position", width, {"_used": F.sum(used), "_rows": F.count(F.lit(1))}, chunk
+    # the frames are read three times: for hot keys, for the first trip and for the replay
+    seen = cut_lineage(
+        sliding(placed, keys, "position", width, {"_used": F.sum(used), "_rows": F.count(F.lit(1))}, chunk)
     )
     rate = F.col("_used") / F.col("_rows")
     seen = seen.withColumn("rate", rate).withColumn(
