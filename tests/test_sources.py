@@ -254,6 +254,24 @@ def test_merge_days(spark, tmp_path):
     assert len(state()) == 5
 
 
+def test_sketches_of_versions(spark, tmp_path):
+    """Merged sketches against exact figures; a version added again replaces its row."""
+    from tidewheel.operators import sketches
+
+    root = str(tmp_path / "sketches")
+    rows = spark.range(60_000).selectExpr("id", "id % 9000 as user", "cast((id * 7919) % 60000 as double) as value", "id % 3 as part")
+    for part in (0, 1, 2, 1):
+        sketches.add_version(rows.where(f"part = {part}").drop("part"), root, f"v{part}", ["user", "id"], ["value"])
+    (got,) = sketches.overview(spark, root, {"p10": 0.1, "p50": 0.5}).collect()
+    assert (got["versions"], got["rows"], got["least_value"], got["greatest_value"]) == (3, 60_000, 0.0, 59_999.0)
+    assert abs(got["distinct_user"] - 9000) <= 180 and abs(got["distinct_id"] - 60_000) <= 1200
+    assert abs(got["p10_value"] - 6000) <= 1200 and abs(got["p50_value"] - 30_000) <= 1200
+    kept = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "sketches" / "version=v0").glob("*.parquet")}
+    sketches.add_version(rows.where("part = 0").selectExpr("id + 100000 as id", "user", "value"), root, "v3", ["user", "id"], ["value"])
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "sketches" / "version=v0").glob("*.parquet")} == kept
+    assert sketches.overview(spark, root, {}).first()["rows"] == 80_000
+
+
 def test_batch_folders(spark, tmp_path):
     path = str(tmp_path / "c")
     assert sinks.last_batch_before(spark, path) is None

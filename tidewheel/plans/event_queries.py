@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewheel.functions import labels, vectors
+from tidewheel.operators.ordering import with_one_row
 from tidewheel.operators import (
-    cleaning, events, index, ingest, metrics, profiles, retrieval, samples, scoring,
+    cleaning, events, index, ingest, metrics, profiles, retrieval, samples, scoring, sketches,
 )
 from tidewheel.plans import datasets, sqltext as s
 from tidewheel.plans.rating_queries import LABEL, PER_USER, SAMPLES, SPLIT_CASE, exploded
@@ -303,6 +304,29 @@ def judged_model(spark, folder):
     return judged.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in judged.columns])
 
 
+def versioned_overview(spark, folder):
+    """Sketches of three versions of the watch events, merged: rows, and whether the distinct
+    counts and the rank of the median are within 2 % of the exact ones."""
+    rows = cut_lineage(tables.user_events(spark, folder).select("event_id", "user_id", "movie_id", "watch_duration_seconds"))
+    root = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    for part in range(3):
+        sketches.add_version(rows.where(F.col("event_id") % 3 == part), root, f"v{part}", ["user_id", "movie_id"], ["watch_duration_seconds"])
+    told = sketches.overview(spark, root, {"median": 0.5})
+    exact = rows.agg(F.count_distinct("user_id").alias("users"), F.count_distinct("movie_id").alias("items"))
+    both = cut_lineage(with_one_row(told, exact))
+    median = both.select("median_watch_duration_seconds").scalar()
+    below = rows.agg(
+        F.avg((F.col("watch_duration_seconds") < median).cast("double")).alias("below"),
+        F.avg((F.col("watch_duration_seconds") <= median).cast("double")).alias("upto"),
+    )
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.02 * F.col(b)
+    return with_one_row(both, below).select(
+        "versions", "rows", "least_watch_duration_seconds", "greatest_watch_duration_seconds",
+        near("distinct_user_id", "users").alias("users_near"), near("distinct_movie_id", "items").alias("items_near"),
+        ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_near"),
+    )
+
+
 def fallback_candidates(spark, folder):
     found = retrieval.with_popular_fallback(
         _users(spark, folder), cut_lineage(_retrieved(spark, folder)), _popular(spark, folder)
@@ -744,6 +768,10 @@ UNION ALL
 SELECT user_id, id::VARCHAR, place::INTEGER, 0.0::DOUBLE, 'fallback_inference_error'
 FROM (SELECT DISTINCT user_id FROM retrieved WHERE user_id % 7 = 0),
      (SELECT unnest({scoring.CURATED_IDS[:5]}) AS id, unnest(range(1, 6)) AS place)""")),
+    "versioned_overview": (versioned_overview, s.q(s.USER_EVENTS, """
+SELECT 3::BIGINT AS versions, count(*) AS rows, min(watch_duration_seconds) AS least_watch_duration_seconds,
+  max(watch_duration_seconds) AS greatest_watch_duration_seconds, true AS users_near, true AS items_near, true AS median_near
+FROM user_events""")),
     "judged_model": (judged_model, s.q(JUDGED, JUDGED_ROW)),
     "fallback_candidates": (fallback_candidates, s.q(RETRIEVED + ",\n" + POPULAR_FOR, """
 SELECT user_id, movie_id, round(score, 4) AS score, rank, 'embedding' AS category FROM retrieved
