@@ -6,11 +6,10 @@ import functools
 import hashlib
 import os
 import re
-import sys
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_ENTRIES = 600_000
 
@@ -64,17 +63,31 @@ class WordEncoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def _learn_units(self, units: list[str]) -> None:
-        tokenize, kind = self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        tokenize, flat, ends = self.model.tokenize, [], []
         for unit in units:
             written = unit if unit.isascii() else unit.translate(self.written)
-            ids = array(kind, [t.id for t in tokenize(written)])
-            if sys.byteorder == "big":
-                ids.byteswap()
-            self.units[unit] = ids.tobytes()
+            flat += [t.id for t in tokenize(written)]
+            ends.append(len(flat))
+        raw, width = np.array(flat, self.dtype).tobytes(), self.dtype.itemsize
+        at = 0
+        for unit, end in zip(units, ends):
+            self.units[unit] = raw[at * width : end * width]
+            at = end
+
+    def _known(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units; new ones are learnt, one of an older half of the cache kept."""
+        if len(self.units) > CACHE_ENTRIES // 2:
+            self.older, self.units = self.units, {}
+        missing = [u for u in units if u not in self.units]
+        again = [u for u in missing if u in self.older]
+        self.units.update((u, self.older[u]) for u in again)
+        missing = [u for u in missing if u not in self.units]
+        odd = [u for u in missing if u[:1] == _ODD]
+        self._learn_units([u for u in missing if u[:1] != _ODD])
+        self.units.update(zip(odd, self._raw([u[1:] for u in odd])))
+        return [self.units[u] for u in units]
 
     def _cut(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
-            return _UNITS.findall(text.lower())
         units: list[str] = []
         for part in text.replace("\n", " ").split(" "):
             if _PLAIN.fullmatch(part):
@@ -83,21 +96,36 @@ class WordEncoder:
                 units.append(_ODD + part)
         return units
 
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """Texts of plain characters, cut and numbered as Arrow columns: each distinct unit of
+        the batch is looked up once, and its ids are copied to all its places by numpy."""
+        low = pc.utf8_lower(pa.array(texts, pa.large_string()))
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _UNITS.pattern, "\\0 "))
+        numbered = lists.flatten().dictionary_encode()
+        raws = self._known(numbered.dictionary.to_pylist())
+        index = numbered.indices.to_numpy()
+        width = self.dtype.itemsize
+        sizes = np.array([len(r) // width for r in raws], np.int64)
+        pool = np.frombuffer(b"".join(raws), self.dtype)
+        starts = np.cumsum(sizes) - sizes
+        many = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = pool[np.repeat(starts[index] - ends[:-1], many) + np.arange(ends[-1])].tobytes()
+        bounds = (ends[np.asarray(lists.offsets)] * width).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _other_ids(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return self._raw([text])[0]
+        units = self._cut(text)
+        distinct = list(dict.fromkeys(units))
+        return b"".join(map(dict(zip(distinct, self._known(distinct))).__getitem__, units))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
-        if len(self.units) > CACHE_ENTRIES // 2:
-            self.older, self.units = self.units, {}
-        whole = [any(a in t for a in self.added) for t in texts]
-        cut = [[] if w else self._cut(t) for t, w in zip(texts, whole)]
-        missing = set().union(*cut) - self.units.keys()
-        again = missing & self.older.keys()
-        self.units.update((u, self.older[u]) for u in again)
-        missing -= again
-        odd = [u for u in missing if u[0] == _ODD]
-        self._learn_units([u for u in missing if u[0] != _ODD])
-        self.units.update(zip(odd, self._raw([u[1:] for u in odd])))
-        known = self.units.__getitem__
-        return [self._raw([t])[0] if w else b"".join(map(known, units)) for t, w, units in zip(texts, whole, cut)]
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(a in t for a in self.added) for t in texts]
+        found = iter(self._plain_ids([t for t, p in zip(texts, plain) if p]) if any(plain) else ())
+        return [next(found) if p else self._other_ids(t) for t, p in zip(texts, plain)]
 
 
 @functools.lru_cache(maxsize=4)
