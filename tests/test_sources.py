@@ -254,6 +254,25 @@ def test_merge_days(spark, tmp_path):
     assert len(state()) == 5
 
 
+def test_insert_absent_and_upsert(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v long")
+    state = lambda path: sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect())
+    path = str(tmp_path / "first")
+    sinks.insert_absent(rows((1, 10), (2, 20), (2, 25)), path, ["k"], 0, 4)
+    sinks.insert_absent(rows((2, 9), (3, 30)), path, ["k"], 1, 4)
+    sinks.insert_absent(rows((2, 9), (3, 30)), path, ["k"], 1, 4)  # the same batch again
+    sinks.insert_absent(rows(), path, ["k"], 2, 4)
+    assert state(path) == [(1, 10), (2, 20), (3, 30)]
+    path = str(tmp_path / "last")
+    sinks.upsert(rows((1, 10), (2, 20)), path, ["k"], 0, 4)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "last").rglob("*.parquet")}
+    sinks.upsert(rows((2, 5), (3, 30)), path, ["k"], 1, 4)
+    assert state(path) == [(1, 10), (2, 5), (3, 30)]
+    kept = [p for p, t in before.items() if p.exists() and p.stat().st_mtime_ns == t]
+    touched = {r["bucket"] for r in spark.read.parquet(path).where("k in (2, 3)").collect()}
+    assert all(int(p.parent.name.split("=")[1]) in touched for p in set(before) - set(kept))
+
+
 def test_sketches_of_versions(spark, tmp_path):
     """Merged sketches against exact figures; a version added again replaces its row."""
     from tidewheel.operators import sketches

@@ -11,7 +11,7 @@ from tidewheel.plans import sqltext as s
 from tidewheel.plans.rating_queries import exploded
 from tidewheel.plans.event_queries import INGEST, POPULAR, SESSIONS, USERS, WINDOWS, epoch, sessions_out, users_out
 from tidewheel.session import shared_folder
-from tidewheel.sources import tables
+from tidewheel.sources import sinks, tables
 from tidewheel.streaming import jobs
 
 
@@ -87,6 +87,20 @@ def stream_user_state(spark, folder):
     return users_out(jobs.read_users(spark, root))
 
 
+def stream_user_registry(spark, folder):
+    """Users of three micro-batches: the first batch's row stays, the last batch's row wins."""
+    root = _root(spark, "registry")
+
+    def keep(batch, batch_id: int) -> None:
+        seen = batch.where("user_id is not null").groupBy("user_id")
+        sinks.insert_absent(seen.agg(F.min("event_id").alias("first_event")), f"{root}/first", ["user_id"], batch_id)
+        sinks.upsert(seen.agg(F.max("event_id").alias("last_event")), f"{root}/last", ["user_id"], batch_id)
+
+    jobs.start(tables.shape_user_events(_in_parts(spark, folder, root)), root, "append", keep).awaitTermination()
+    first, last = (spark.read.parquet(f"{root}/{n}").drop("batch_id", "bucket") for n in ("first", "last"))
+    return first.join(last, "user_id")
+
+
 def stream_popular(spark, folder):
     root = _root(spark, "popular")
     jobs.run_popular(tables.shape_user_events(_in_parts(spark, folder, root)), root).awaitTermination()
@@ -163,6 +177,11 @@ QUERIES = {
     "stream_additive_stats": (stream_additive_stats, "WITH " + WINDOWS.format(m=5, where="WHERE event_type = 'finish'")),
     "stream_sessions": (stream_sessions, "WITH " + SESSIONS),
     "stream_user_state": (stream_user_state, "WITH " + USERS),
+    "stream_user_registry": (stream_user_registry, s.q(s.USER_EVENTS + f""",
+span AS (SELECT min(epoch_us(event_time)) AS lo, max(epoch_us(event_time)) - min(epoch_us(event_time)) + 1 AS width FROM user_events),
+cut AS (SELECT *, (epoch_us(event_time) - lo) * {PARTS} // width AS part FROM user_events, span),
+each AS (SELECT user_id, part, min(event_id) AS a, max(event_id) AS b FROM cut WHERE user_id IS NOT NULL GROUP BY ALL)""", """
+SELECT user_id, arg_min(a, part) AS first_event, arg_max(b, part) AS last_event FROM each GROUP BY user_id""")),
     "stream_popular": (stream_popular, s.q(s.USER_EVENTS + ",\n" + POPULAR, """
 SELECT movie_id, round(score, 4) AS score, watch_count, rank_position FROM popular""")),
     "stream_embedding_refresh": (stream_embedding_refresh, s.q(REFRESHES, """

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidewheel.session import shuffle_partitions
+from tidewheel.session import cut_lineage, shuffle_partitions
 from tidewheel.sources import files
 
 
@@ -134,32 +134,59 @@ def last_batch_before(spark, path: str, batch_id: int | None = None) -> str | No
     return f"{path}/batch_id={max(numbers)}" if numbers else None
 
 
-def merge_days(
-    df: DataFrame, path: str, keys: Sequence[str], day: str, batch_id: int, sums: Sequence[str] = ()
+def merge_parts(
+    df: DataFrame, path: str, keys: Sequence[str], part: str, batch_id: int, sums: Sequence[str] = (), absent_only: bool = False
 ) -> None:
-    """Upsert the rows of a micro-batch into a table partitioned by ``day``, a date.
-
-    ``sums`` are added to what a key has; its other columns take the newer value.  Only the
-    days of the batch are read, and only they are overwritten (Spark's dynamic partition
-    overwrite).  Each row names the last batch that it holds, so a batch that is merged again,
-    even after a commit that broke off between two days, changes nothing.
+    """Upsert the rows of a micro-batch into a table partitioned by ``part``, which follows
+    from the keys.
+
+    ``sums`` are added to what a key has; its other columns take the newer row's values, or
+    stay as they are with ``absent_only``.  Of several rows of a key in one batch the greatest
+    (or smallest) counts.  Only the parts of the batch are read, and only they are overwritten
+    (Spark's dynamic partition overwrite).  Each row names the last batch that it holds, so a
+    batch that is merged again, even after a commit that broke off between two parts, changes
+    nothing.
     """
     spark = df.sparkSession
-    days = [r[day] for r in df.select(day).distinct().collect()]
-    if not days:
+    parts = [r[part] for r in df.select(part).distinct().collect()]
+    if not parts:
         return
-    rest = [c for c in df.columns if c not in (*keys, day)]
-    rows = df.select(*keys, day, *rest, F.lit(batch_id).cast("long").alias("batch_id"), F.lit(True).alias("_new"))
+    rest = [c for c in df.columns if c not in (*keys, part)]
+    others = [c for c in rest if c not in sums]
+    rows = df.select(*keys, part, *rest, F.lit(batch_id).cast("long").alias("batch_id"), F.lit(True).alias("_new"))
     if files.has_parquet(spark, path):
-        old = spark.read.schema(rows.drop("_new").schema).parquet(path).where(F.col(day).isin(days))
+        old = spark.read.schema(rows.drop("_new").schema).parquet(path).where(F.col(part).isin(parts))
         rows = old.withColumn("_new", F.lit(False)).unionByName(rows)
     fresh, stale = F.col("_new"), ~F.col("_new")
     done = F.coalesce(F.max(F.when(stale, F.col("batch_id"))) >= batch_id, F.lit(False))
     total = {c: F.coalesce(F.sum(F.when(stale, F.col(c))), F.lit(0)) + F.when(done, 0).otherwise(F.coalesce(F.sum(F.when(fresh, F.col(c))), F.lit(0))) for c in sums}
-    last = F.struct("batch_id", "_new")
-    merged = rows.groupBy(*keys, day).agg(
-        *[total[c].cast(rows.schema[c].dataType).alias(c) if c in sums else F.max_by(c, last).alias(c) for c in rest],
-        F.max("batch_id").alias("batch_id"),
+    place = [F.col("_new"), *others] if absent_only else ["batch_id", "_new", *others]
+    picked = (F.min if absent_only else F.max)(F.struct(*place)).alias("_row")
+    merged = rows.groupBy(*keys, part).agg(
+        *[total[c].cast(rows.schema[c].dataType).alias(c) for c in sums], picked, F.max("batch_id").alias("_last")
     )
-    placed = merged.repartition(day)
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(day).parquet(path)
+    placed = merged.select(*keys, part, *[F.col(f"_row.{c}") if c in others else F.col(c) for c in rest], F.col("_last").alias("batch_id")).repartition(part)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(part).parquet(path)
+
+
+def merge_days(
+    df: DataFrame, path: str, keys: Sequence[str], day: str, batch_id: int, sums: Sequence[str] = ()
+) -> None:
+    """``merge_parts`` of a table with a partition per day."""
+    merge_parts(df, path, keys, day, batch_id, sums)
+
+
+def insert_absent(df: DataFrame, path: str, keys: Sequence[str], batch_id: int, buckets: int = 64) -> None:
+    """Add rows whose key is new; known keys keep what they have.  Of several new rows the
+    smallest counts.  The table is partitioned by a hash of the keys."""
+    _merge_buckets(df, path, keys, batch_id, buckets, True)
+
+
+def upsert(df: DataFrame, path: str, keys: Sequence[str], batch_id: int, buckets: int = 64) -> None:
+    """Rows of ``df`` replace rows with the same key."""
+    _merge_buckets(df, path, keys, batch_id, buckets, False)
+
+
+def _merge_buckets(df: DataFrame, path: str, keys: Sequence[str], batch_id: int, buckets: int, absent_only: bool) -> None:
+    placed = cut_lineage(df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    merge_parts(placed, path, keys, "bucket", batch_id, (), absent_only)
