@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.plans import check_queries, event_queries, rating_queries, stream_queries, text_queries
+from tidewheel.plans import check_queries, event_queries, rating_queries, source_queries, stream_queries, text_queries
 
 GROUPS = (
     rating_queries.QUERIES,
@@ -10,6 +10,7 @@ GROUPS = (
     text_queries.QUERIES,
     stream_queries.QUERIES,
     check_queries.QUERIES,
+    source_queries.QUERIES,
 )
 
 
