@@ -470,3 +470,47 @@ def test_ingest_stream(spark, tmp_path):
     assert sorted((r["batch_ok"], r["kind"]) for r in rows) == [("false", "user"), ("true", "auth"), ("true", "user")] or sorted(
         (r["batch_ok"], r["kind"]) for r in rows
     ) == [(False, "user"), (True, "auth"), (True, "user")]
+
+
+class CountedState:
+    """A value state or handle in memory that notes every call to Spark."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "update":
+                self.value = args[0]
+            return self.value if name == "get" else self if name == "getValueState" else None
+
+        return call
+
+
+def test_a_session_costs_one_read_and_one_write():
+    """Timers are touched only when they move; ids and users may be missing."""
+    from pyspark.sql import Row
+
+    from tidewheel.streaming.state import SESSION_FIELDS, Sessions
+
+    calls = []
+    worker, row = Sessions(timedelta(hours=24)), Row("event_id", "user_id", "event_type", "at", "watch_duration_seconds")
+    worker.init(CountedState(calls))
+    calls.clear()
+
+    def take(*rows):
+        calls.clear()
+        [out] = worker.handleInputRows(("s",), iter(rows), None)
+        return dict(zip(SESSION_FIELDS, list(out)[1:]))
+
+    state = take(row(4, 7, "finish", 4_000, 2.5), row(3, 7, "login", 3_000, None), row(None, None, "finish", 3_000, None))
+    assert calls == ["get", "update"]
+    assert (state["opened_by"], state["created_id"], state["first_user"], state["finish_id"]) == (3, None, None, 4)
+    assert (state["event_count"], state["total_watch_duration_seconds"], state["login_user"]) == (2, 2.5, 7)
+    take(row(5, 7, "logout", 5_000, 0.0))
+    assert calls == ["get", "update", "registerTimer"]
+    take(row(6, 7, "finish", 6_000, 1.0))
+    assert calls == ["get", "update"]  # a watch does not open a closed session
+    take(row(8, 7, "login", 8_000, 0.0))
+    assert calls == ["get", "update", "deleteTimer"]
