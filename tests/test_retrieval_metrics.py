@@ -300,3 +300,40 @@ def test_fit_and_judge(spark, tmp_path):
     (row,) = scoring.fit_and_judge(df, {"bad": (["bad"], plain()), "good": (["good"], plain())}, str(tmp_path / "m")).collect()
     assert row["chosen"] == "good" and row["mse"] < 1e-4 and row["samples"] == 200 and row["ndcg"] > 0.99 and row["users"] == 40
     assert PipelineModel.load(str(tmp_path / "m" / "good")).stages[-1].coefficients[0] == pytest.approx(0.5, abs=0.01)
+
+
+@pytest.mark.parametrize("blocks", [3, 4096])
+def test_best_keeps_ties_by_id_in_any_order(blocks):
+    """Items come in blocks in random order, many with equal scores, one without a number."""
+    rnd = np.random.default_rng(3)
+    queries, base = rnd.normal(size=(300, 4)), rnd.normal(size=(9, 4))
+    items = base[rnd.integers(0, 9, 200)]
+    items[17] = np.nan
+    ids = rnd.permutation(200)
+    best = retrieval.Best(queries, 7)
+    for at in range(0, 200, 50):
+        best.take(ids[at : at + 50], items[at : at + 50], columns=blocks)
+    scores = np.round(queries @ items.T, retrieval.DIGITS)
+    for row in range(300):
+        want = sorted((-s, i) for s, i in zip(scores[row], ids) if s == s)[:7]
+        assert [(-s, i) for s, i in zip(best.scores[row], best.items[row])] == want
+
+
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 0}])
+def test_top_items_deals_users_by_work(space, monkeypatch, options):
+    """Users lying in one file are searched by several tasks, each with its users' final rows."""
+    users, items, _ = space
+    monkeypatch.setattr(retrieval, "PAIRS", 100)
+    found = retrieval.top_items(users.coalesce(1), items, 5, **options)
+    sizes = [n for n in found.rdd.mapPartitions(lambda rows: [len({r["user_id"] for r in rows})]).collect() if n]
+    assert len(sizes) > 1 and sum(sizes) == found.select("user_id").distinct().count()
+
+
+def test_index_moves_a_user_once(space):
+    """The rows shuffled for an indexed search do not grow with the number of probes."""
+    from tidewheel.operators import index
+
+    users, items, _ = space
+    made = index.build(items, cells=6)
+    plan = lambda probes: index.search(users, made, 5, probes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(1).count("Generate") == plan(6).count("Generate") == 1  # items per chunk of users; users are not repeated

@@ -6,8 +6,8 @@ compared exactly with all items there, so only the choice of cells is approximat
 of probes is found by measuring: users whose id is divisible by ``ASKED_EVERY`` are searched
 both ways, and probes are doubled until the wanted share of the true items is found.
 
-User vectors move ``probes`` times whatever the number of items, where the exact search moves
-them once per tile of items.  Exact search (``retrieval.top_items``) stays the default.
+As in the exact search (``retrieval.top_items``, the default) user vectors move once and item
+vectors once per chunk of users, whatever the number of probes; the index spares the products.
 """
 
 from __future__ import annotations
@@ -15,20 +15,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewheel.functions import vectors
-from tidewheel.operators.retrieval import SCORED, _search, _unit_rows, top_items
+from tidewheel.operators.retrieval import Best, SCORED, _unit_rows, pass_items, task_count, top_items
 from tidewheel.session import cut_lineage
 
 SAMPLE_ITEMS = 100_000
 MAX_CELLS = 16_384
 ASKED_EVERY = 100
 TILE_ROWS = 50_000
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 100_000
 
 
 @dataclass
@@ -68,12 +68,14 @@ def _assigned(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
 
     def assign(batches):
         for batch in batches:
-            if len(batch):
-                batch["cell"] = (_unit_rows(batch["movie_embedding"]) @ shared.value.T).argmax(axis=1).astype(np.int32)
-                yield batch[["cell", "movie_id", "movie_embedding"]]
+            cells = np.empty(batch.num_rows, np.int32)
+            for at in range(0, batch.num_rows, 1024):
+                near = _unit_rows(batch.column(1).slice(at, 1024), centroids.shape[1]) @ shared.value.T
+                cells[at : at + 1024] = near.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), *batch.columns], ["cell", "movie_id", "movie_embedding"])
 
     kind = rows.schema["movie_embedding"].dataType.simpleString()
-    return rows.mapInPandas(assign, f"cell int, movie_id long, movie_embedding {kind}")
+    return rows.select(F.col("movie_id").cast("long"), "movie_embedding").mapInArrow(assign, f"cell int, movie_id long, movie_embedding {kind}")
 
 
 def _normal(matrix: np.ndarray) -> np.ndarray:
@@ -83,46 +85,38 @@ def _normal(matrix: np.ndarray) -> np.ndarray:
 def search(users: DataFrame, index: Index, k: int = 50, probes: int = 8, tile_rows: int = TILE_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """user_id, movie_id, score, rank of the best ``k`` items of each user's ``probes`` cells.
 
-    A cell's users and items meet in tiles of bounded rows, so neither a crowded cell nor one
-    that many users visit becomes one task.  A tile returns its best ``k`` per user.
+    A task holds at most ``chunk_rows`` users with the cells that they visit, and the items
+    stream past them cell by cell, at most ``tile_rows`` at once.  So neither a crowded cell
+    nor one that many users visit becomes one task, and no user vector moves more than once.
     """
     if len(index.centroids) == 0:
         return users.sparkSession.createDataFrame([], SCORED)
-    dim = index.centroids.shape[1]
-    probes = min(probes, len(index.centroids))
+    dim, cells = index.centroids.shape[1], len(index.centroids)
+    probes = min(probes, cells)
     shared = users.sparkSession.sparkContext.broadcast(_normal(index.centroids))
-    asked = users.where(F.size("user_embedding") == dim).select("user_id", "user_embedding")
-
-    def visit(batches):
-        for batch in batches:
-            if len(batch):
-                near = _unit_rows(batch["user_embedding"]) @ shared.value.T
-                chosen = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-                batch["cells"] = chosen.astype(np.int32).tolist()
-                yield batch[["user_id", "user_embedding", "cells"]]
-
-    kind = asked.schema["user_embedding"].dataType.simpleString()
-    visits = cut_lineage(asked.mapInPandas(visit, f"user_id long, user_embedding {kind}, cells array<int>")).select(
-        "user_id", "user_embedding", F.explode("cells").alias("cell")
-    )
-    pieces = lambda df, rows, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-    cuts = cut_lineage(pieces(index.items, tile_rows, "tiles").join(pieces(visits, chunk_rows, "chunks"), "cell"))
-    home = lambda key, many: F.pmod(F.xxhash64(key), F.col(many)).cast("int")
-    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    left = visits.join(cuts, "cell").select("cell", home("user_id", "chunks").alias("chunk"), every("tiles").alias("tile"), "user_id", "user_embedding")
-    right = index.items.join(cuts, "cell").select("cell", home("movie_id", "tiles").alias("tile"), every("chunks").alias("chunk"), "movie_id", "movie_embedding")
-
-    def multiply(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or theirs.empty:
-            return pd.DataFrame({"user_id": [], "movie_id": [], "score": [], "rank": []})
-        theirs = theirs.sort_values("movie_id")
-        found = _search(mine["user_id"].to_numpy(), _unit_rows(mine["user_embedding"]), theirs["movie_id"].to_numpy(), _unit_rows(theirs["movie_embedding"]).T, k)
-        return pd.concat(found, ignore_index=True)
-
-    places = ["cell", "chunk", "tile"]
-    partial = left.groupBy(*places).cogroup(right.groupBy(*places)).applyInPandas(multiply, SCORED)
-    line = W.partitionBy("user_id").orderBy(F.desc("score"), "movie_id")
-    return partial.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
+    asked = users.where(F.size("user_embedding") == dim).select("user_id", "user_embedding", F.lit(None).cast("array<int>").alias("cells"))
+    pairs = max(1, index.items.count() * probes // cells)
+
+    def begin(ids: pa.Array, queries: np.ndarray, none: pa.Array) -> Best:
+        """The chunk's users by the cells that they visit."""
+        chosen = np.empty((len(queries), probes), np.int32)
+        for at in range(0, len(queries), 1024):
+            chosen[at : at + 1024] = np.argpartition(-(queries[at : at + 1024] @ shared.value.T), probes - 1, axis=1)[:, :probes]
+        best, flat = Best(queries, k), chosen.ravel()
+        order = np.argsort(flat, kind="stable")
+        best.visitors, best.starts = (order // probes).astype(np.int32), np.searchsorted(flat[order], np.arange(cells + 1))
+        return best
+
+    def take(best: Best, ids: np.ndarray, matrix: np.ndarray, cells: pa.Array) -> None:
+        at = np.asarray(cells.flatten())
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for first, last in zip(cuts, cuts[1:]):
+            if first < last:
+                rows = best.visitors[best.starts[at[first]] : best.starts[at[first] + 1]]
+                best.take(ids[first:last], matrix[first:last], rows, min(Best.COLUMNS, tile_rows))
+
+    placed = index.items.select("movie_id", "movie_embedding", F.array("cell").alias("cells"))
+    return pass_items(asked, placed, dim, task_count(asked, asked.count(), pairs, chunk_rows), begin, take)
 
 
 def recall(users: DataFrame, items: DataFrame, index: Index, k: int, probes: int, truth: DataFrame | None = None) -> float:
