@@ -514,3 +514,18 @@ def test_a_session_costs_one_read_and_one_write():
     assert calls == ["get", "update"]  # a watch does not open a closed session
     take(row(8, 7, "login", 8_000, 0.0))
     assert calls == ["get", "update", "deleteTimer"]
+
+
+def test_recent_watches_take_plain_rows(monkeypatch):
+    """One read of a new user's state and none of a list that cannot be there; missing ids come last."""
+    from pyspark.sql import Row
+
+    from tidewheel.streaming import state
+
+    calls, row = [], Row("user_id", "event_id", "at", "movie_id", "watch_duration_seconds")
+    worker = state.RecentWatches(2)
+    worker.batch, worker.recent = CountedState(calls), CountedState(calls)
+    monkeypatch.setattr(state.TaskContext, "get", lambda: type("Task", (), {"getLocalProperty": lambda self, name: "3"})())
+    found = list(worker.handleInputRows((7,), iter([row(7, None, 20, 5, 1.0), row(7, 1, 10, 6, 2.0), row(7, 2, 20, 2**60 + 1, None)]), None))
+    assert calls == ["get", "put", "update"]
+    assert [tuple(r) for r in found] == [(7, 2, 20, 2**60 + 1, None, None, 20), (7, None, 20, 5, 1.0, None, 20)]

@@ -316,3 +316,20 @@ def test_offline_dataset_by_position(spark, folder):
     assert counts["train"] == int(n * 0.7) and counts["train"] + counts["val"] == int(n * (0.7 + 0.1))
     with pytest.raises(ValueError):
         datasets.offline_dataset(tables.ratings(spark, folder), tables.items(spark, folder), strategy="x")
+
+
+def test_split_files_sorts_no_paths(spark, tmp_path):
+    """Rows are brought together by hashes of their file; the path of each row is not sorted along."""
+    from pyspark.sql import functions as F
+
+    from tidewheel.plans import source_queries
+
+    day = F.lit("2024-01-01").cast("timestamp")
+    lines = spark.range(60).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"), F.lit(5.0).alias("l_quantity"))
+    orders = spark.range(60).select(F.col("id").alias("o_orderkey"), (F.col("id") % 4).alias("o_custkey"), day.alias("o_orderdate"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = source_queries.split_files(spark, str(tmp_path))
+    assert sum(r["rows"] for r in found.collect()) == 60 and sum(r["out_of_order"] for r in found.collect()) == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(file0" in plan
