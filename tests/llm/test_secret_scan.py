@@ -202,3 +202,78 @@ def test_nothing_to_learn_from(spark):
     assert ss.report(edge.documents(spark, [])).count() == 0
     one = ss.report(edge.documents(spark, [(1, "token=abcdef and 1234567890123", None, None)])).collect()
     assert one[0]["spans"] == "assign:0:12"
+
+
+def found_in(docs):
+    """Findings stored once, as the query does."""
+    return ss.stored(ss.findings(docs), "findings")
+
+
+def test_shards_hold_every_distinct_finding(spark):
+    """More findings than the former limit of 2000 a label, some longer than the former 512 characters."""
+    rng = random.Random(11)
+    value = lambda i: f"{i:06d}" + "".join(rng.choices(ALNUM, k=700 if i % 500 == 0 else 12))
+    rows = [(i, f"token={value(i)} and {value(i)}" + ("" if i else f" {'q' * 70_000}7"), None, None) for i in range(2100)]
+    rows += rows[:100]
+    parts = ss.sharded(found_in(edge.documents(spark, rows).repartition(5)), 500).collect()
+    plain = {(s[0], t[max(0, s[3] - 24) : s[3]], t[s[3] : s[4]], t[s[4] : s[4] + 24]) for _, t, _, _ in rows for s in ss.candidates(t)}
+    assert len(parts) == len(plain) and {(r["kind"], r["before"], r["value"], r["behind"]) for r in parts} == plain
+    assert sum(r["kind"] < 3 for r in parts) >= 2100
+    sizes = {shard: sorted(r["position"] for r in parts if r["shard"] == shard) for shard in {r["shard"] for r in parts}}
+    assert len(sizes) > 5 and all(p == list(range(len(p))) for p in sizes.values())
+
+
+def test_long_findings_train(spark):
+    """Values of which none is short enough for the former training sample."""
+    rng = random.Random(12)
+    some = lambda letters, k: "".join(rng.choices(letters, k=k - 1)) + "1"
+    rows = [(i, f"token={some('0123456789abcdef', 600)}" if i % 2 else f"see {some('GHIJKLMNOP', 600)}", None, None) for i in range(80)]
+    net = ss.fit(found_in(edge.documents(spark, rows)))
+    assert net is not None
+    scores = net.scores([("see ", some("0123456789abcdef", 600), ""), ("see ", some("GHIJKLMNOP", 600), "")])
+    assert scores[0] >= net.threshold(3) > scores[1]
+
+
+def test_many_shards_find_hidden_secrets_whatever_the_files(spark):
+    docs, hidden = labelled_docs(spark)
+    nets = [ss.fit(found_in(d), 100) for d in (docs.repartition(7), docs.coalesce(1))]
+    assert nets[0].thresholds == nets[1].thresholds and nets[0].scale == nets[1].scale
+    assert all((v == w).all() for v, w in zip(ss._weights(nets[0]).values(), ss._weights(nets[1]).values()))
+    out = {r["doc_id"]: r["spans"] for r in ss.judged(found_in(docs), nets[0]).collect()}
+    added = {d for d, spans in out.items() if any(s["kind"] == "other" and s["kept"] for s in spans)}
+    plain = [d for d in out if d < 1000 and d % 4 > 1]
+    assert len(added & hidden) >= 0.9 * len(hidden) and len(added & set(plain)) <= 0.02 * len(plain)
+
+
+def test_one_shard_is_a_network_fitted_to_it(spark):
+    docs, _ = labelled_docs(spark)
+    rows = ss.sharded(found_in(docs))
+    got = ss.averaged(rows, {0: (lambda part: ~part.held, 0.5)})[0]
+    plain = [r for r in rows.orderBy("position").collect() if r["position"] % ss.HOLD != ss.HOLD - 1]
+    net, squares = ss._fresh(0.5, np.random.default_rng(ss.SEED)), {}
+    for epoch in range(ss.EPOCHS):
+        ss.one_pass(net, squares, [(r["before"], r["value"], r["behind"]) for r in plain], np.array([r["kind"] < 3 for r in plain]), 0.5, epoch)
+    assert all(np.allclose(v, w, atol=1e-3) for v, w in zip(ss._weights(got).values(), ss._weights(net).values()))
+
+
+def test_thresholds_are_ranks_of_all_scores(spark):
+    rng = np.random.default_rng(6)
+    kinds = np.repeat([0, 1, 2, 3], [300, 5, 120, 500]).astype(int)
+    x = np.where(kinds < 3, rng.normal(2, 1, len(kinds)), rng.normal(-2, 1, len(kinds))).round(2)
+    net = some_net()
+    ss.calibrate(net, spark.createDataFrame(list(zip(kinds.tolist(), x.tolist())), "kind int, x double").repartition(4))
+    scores = ss._sigmoid(net.scale[0] * x + net.scale[1])
+    bulk = np.quantile(scores[kinds == 3], ss.RECALL)
+    want = {-1: kinds < 3, 0: kinds == 0, 2: kinds == 2}
+    assert set(net.thresholds) == set(want)
+    for key, mine in want.items():
+        assert abs(net.thresholds[key] - ss.lowered(ss.recall_threshold(scores[mine], ss.RECALL), bulk)) < 1e-9
+
+
+def test_gradient_steps_read_long_texts_in_blocks(monkeypatch):
+    rng = random.Random(13)
+    rows = [("k=", "".join(rng.choices(ALNUM[36:], k=rng.choice([0, 1, 5, 90]))), " z") for _ in range(70)]
+    labels = np.arange(70) % 2
+    whole = ss.learned(rows, labels)
+    monkeypatch.setattr(ss, "BLOCK_CHARS", 50)
+    assert all(np.allclose(v, w, atol=1e-5) for v, w in zip(ss._weights(whole).values(), ss._weights(ss.learned(rows, labels)).values()))
