@@ -337,3 +337,14 @@ def test_index_moves_a_user_once(space):
     made = index.build(items, cells=6)
     plan = lambda probes: index.search(users, made, 5, probes)._jdf.queryExecution().optimizedPlan().toString()
     assert plan(1).count("Generate") == plan(6).count("Generate") == 1  # items per chunk of users; users are not repeated
+
+
+def test_a_search_task_stays_bounded(space):
+    """Pairs and users of a task at six times the tables of 1 GB, and enough tasks at 1 GB."""
+    users, _, _ = space
+    cores = users.sparkSession.sparkContext.defaultParallelism
+    held = 16 * 1024 * 1024 // (65 * 8)
+    for many, items in ((450_000, 615_384), (5_400_000, 615_384)):
+        tasks = retrieval.task_count(users, many, items, held)
+        assert many * items / tasks <= 10_000_000_000 and many / tasks <= held
+    assert retrieval.task_count(users, 15_000, 102_564, held) >= min(5, 4 * cores)

@@ -28,7 +28,7 @@ SAMPLE_ITEMS = 100_000
 MAX_CELLS = 16_384
 ASKED_EVERY = 100
 TILE_ROWS = 50_000
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 30_000
 
 
 @dataclass
