@@ -348,3 +348,63 @@ def test_a_search_task_stays_bounded(space):
         tasks = retrieval.task_count(users, many, items, held)
         assert many * items / tasks <= 10_000_000_000 and many / tasks <= held
     assert retrieval.task_count(users, 15_000, 102_564, held) >= min(5, 4 * cores)
+
+
+def written(spark, folder):
+    """Bytes of shuffle files below a folder."""
+    import os
+
+    return sum(os.lstat(f"{d}/{f}").st_size for d, _, names in os.walk(folder) for f in names if f.startswith("shuffle"))
+
+
+def counted(items, users):
+    """A search by small tiles and chunks, and what its plan repeats."""
+    found = retrieval.top_items(users, items, 5, max_broadcast_bytes=0, tile_bytes=2_000, chunk_bytes=1_000)
+    return found, found._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+
+
+def test_items_move_once_per_executor(space, monkeypatch):
+    """Beyond a bound no item is repeated for a chunk of users, in both searches; equal rows."""
+    from tidewheel.operators import index
+
+    users, items, _ = space
+    every = lambda df: sorted((r["user_id"], r["movie_id"], r["score"], r["rank"]) for r in df.collect())
+    made = index.build(items, cells=6)
+    few, again = counted(items, users)
+    near = every(index.search(users, made, 5, 2, chunk_rows=11))
+    assert again == 1 and made.tiles is None
+    for module in (retrieval, index):
+        monkeypatch.setattr(module, "SHUFFLED_BYTES", 0 if module is retrieval else 1_000)
+    many, none = counted(items, users)
+    assert none == 0 and every(many) == every(few)
+    assert every(index.search(users, made, 5, 2, chunk_rows=11)) == near and len(made.tiles.shared) > 1
+
+
+def test_single_products_choose_the_same_items():
+    """Scores that differ beyond single precision, in blocks that are full of equal items too."""
+    rnd = np.random.default_rng(4)
+    queries = rnd.normal(size=(40, 16))
+    base = rnd.normal(size=16)
+    items = np.concatenate([np.tile(base, (300, 1)), base + 1e-9 * rnd.normal(size=(300, 16)), rnd.normal(size=(100, 16))])
+    items /= np.linalg.norm(items, axis=1, keepdims=True)
+    ids = rnd.permutation(700)
+    best = retrieval.Best(queries, 9)
+    for at in range(0, 700, 350):
+        best.take(ids[at : at + 350], items[at : at + 350], columns=128)
+    scores = np.array([[np.round(q @ v, retrieval.DIGITS) for v in items] for q in queries])
+    for row in range(40):
+        want = np.sort(scores[row])[::-1][:9]
+        assert np.allclose(best.scores[row], want, rtol=0, atol=2e-12)
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    """What the making of a stored table shuffled is removed with the write; the setting comes back."""
+    from tidewheel.session import SHUFFLE_CLEANUP, cut_lineage
+
+    shared = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    before = written(spark, folder)
+    made = cut_lineage(shared)
+    assert written(spark, folder) <= before
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) in (None, "false")
+    assert made.count() == shared.count() == 100

@@ -6,8 +6,9 @@ compared exactly with all items there, so only the choice of cells is approximat
 of probes is found by measuring: users whose id is divisible by ``ASKED_EVERY`` are searched
 both ways, and probes are doubled until the wanted share of the true items is found.
 
-As in the exact search (``retrieval.top_items``, the default) user vectors move once and item
-vectors once per chunk of users, whatever the number of probes; the index spares the products.
+As in the exact search (``retrieval.top_items``, the default) user vectors move once, and item
+vectors once per chunk of users or once per executor, whatever the number of probes; the index
+spares the products.
 """
 
 from __future__ import annotations
@@ -21,22 +22,34 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from tidewheel.functions import vectors
-from tidewheel.operators.retrieval import Best, SCORED, _unit_rows, pass_items, task_count, top_items
+from tidewheel.operators.retrieval import SHUFFLED_BYTES, Best, SCORED, _unit_rows, item_tiles, pass_items, pass_tiles, task_count, top_items
+from tidewheel.operators.tiles import Tiles
 from tidewheel.session import cut_lineage
 
 SAMPLE_ITEMS = 100_000
 MAX_CELLS = 16_384
 ASKED_EVERY = 100
 TILE_ROWS = 50_000
+TILE_BYTES = 8 * 1024 * 1024
 CHUNK_ROWS = 30_000
 
 
 @dataclass
 class Index:
-    """``items``: cell, movie_id, movie_embedding, stored; ``centroids``: a row per cell, in memory."""
+    """``items``: cell, movie_id, movie_embedding, stored; ``centroids``: a row per cell, in memory.
+
+    ``tiles`` has the items in the order of their cells on the executors, once a search asked for it.
+    """
 
     items: DataFrame
     centroids: np.ndarray
+    tiles: Tiles | None = None
+    size: int | None = None
+
+    def count(self) -> int:
+        if self.size is None:
+            self.size = self.items.count()
+        return self.size
 
 
 def build(items: DataFrame, cells: int | None = None, sample_items: int = SAMPLE_ITEMS, iterations: int = 8, seed: int = 7) -> Index:
@@ -94,10 +107,10 @@ def search(users: DataFrame, index: Index, k: int = 50, probes: int = 8, tile_ro
     dim, cells = index.centroids.shape[1], len(index.centroids)
     probes = min(probes, cells)
     shared = users.sparkSession.sparkContext.broadcast(_normal(index.centroids))
-    asked = users.where(F.size("user_embedding") == dim).select("user_id", "user_embedding", F.lit(None).cast("array<int>").alias("cells"))
-    pairs = max(1, index.items.count() * probes // cells)
+    asked = users.where(F.size("user_embedding") == dim).select("user_id", "user_embedding")
+    pairs = max(1, index.count() * probes // cells)
 
-    def begin(ids: pa.Array, queries: np.ndarray, none: pa.Array) -> Best:
+    def begin(queries: np.ndarray) -> Best:
         """The chunk's users by the cells that they visit."""
         chosen = np.empty((len(queries), probes), np.int32)
         for at in range(0, len(queries), 1024):
@@ -116,7 +129,13 @@ def search(users: DataFrame, index: Index, k: int = 50, probes: int = 8, tile_ro
                 best.take(ids[first:last], matrix[first:last], rows, min(Best.COLUMNS, tile_rows))
 
     placed = index.items.select("movie_id", "movie_embedding", F.array("cell").alias("cells"))
-    return pass_items(asked, placed, dim, task_count(asked, asked.count(), pairs, chunk_rows), begin, take)
+    chunks, row = task_count(asked, asked.count(), pairs, chunk_rows), (dim + 1) * 8
+    if chunks * index.count() * row <= SHUFFLED_BYTES:
+        return pass_items(asked, placed, dim, chunks, begin, take)
+    if index.tiles is None:
+        parts = -(-index.count() * row // SHUFFLED_BYTES)
+        index.tiles = item_tiles(placed.repartitionByRange(parts, "cells", "movie_id").sortWithinPartitions("cells", "movie_id"), min(tile_rows, TILE_BYTES // row + 1))
+    return pass_tiles(asked, index.tiles, dim, chunks, chunk_rows + chunk_rows // 4, begin, take)
 
 
 def recall(users: DataFrame, items: DataFrame, index: Index, k: int, probes: int, truth: DataFrame | None = None) -> float:
