@@ -267,3 +267,20 @@ def test_embedded_counts_hold_no_pairs(spark):
     found = profiles.embedded_counts(boot, items)
     assert {tuple(r) for r in found.collect()} == {(1, 4, 1), (2, 0, 1), (None, 0, 0), (3, 0, 0)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_both_profiles_in_one_pass(spark, ratings, items):
+    """Equal to the profiles made one by one, and each vector goes to its user once for both."""
+    boot = timeline.base_events(timeline.bootstrap_cut(ratings))
+    twice = items.unionByName(items.limit(3))  # ids may repeat
+    one = profiles.preference_profile(boot, twice, "long_term_embedding")
+    two = profiles.preference_profile(profiles.recent_bootstrap(boot), twice, "short_term_embedding")
+    want = {r["user_id"]: tuple(r)[1:] for r in one.join(two, "user_id", "full").collect()}
+    both = profiles.preference_profiles(boot, twice)
+    got = {r["user_id"]: tuple(r)[1:] for r in both.collect()}
+    assert set(got) == set(want) and any(w[1] is None for w in want.values())
+    for user, pair in want.items():
+        for a, b in zip(got[user], pair):
+            assert (a is None) == (b is None) and (a is None or np.allclose(a, b, atol=1e-6))
+    plan = profiles.base_user_profiles(boot, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
