@@ -408,3 +408,39 @@ def test_written_tables_leave_no_shuffle(spark):
     assert written(spark, folder) <= before
     assert spark.conf.get(SHUFFLE_CLEANUP, None) in (None, "false")
     assert made.count() == shared.count() == 100
+
+
+def test_candidates_get_every_row_of_their_item(spark, monkeypatch):
+    """As a join by item: an id that comes twice gives two, one without a row none; missing ids meet nothing."""
+    monkeypatch.setattr(retrieval, "TILE_BYTES", 30)
+    lists = spark.createDataFrame(
+        [(1, [1.0], [(1, 10), (2, 11), (3, None)]), (2, [2.0], [(1, 12)]), (3, [3.0], []), (4, [4.0], [(1, 11), (2, 10)])],
+        "user_id long, user_embedding array<float>, found array<struct<rank:int, movie_id:long>>",
+    )
+    items = spark.createDataFrame([(10, [1.5, 2.5]), (11, None), (10, [3.5]), (None, [9.0]), (13, [4.0])], "movie_id long, movie_embedding array<float>")
+    made = retrieval.with_item_vectors(lists, items)
+    assert made.columns == ["user_id", "user_embedding", "candidates"]
+    got = {r["user_id"]: [tuple(c) for c in r["candidates"]] for r in made.collect()}
+    assert {u: sorted(c, key=str) for u, c in got.items()} == {
+        1: [(1, 10, [1.5, 2.5]), (1, 10, [3.5]), (2, 11, None)], 2: [], 3: [], 4: [(1, 11, None), (2, 10, [1.5, 2.5]), (2, 10, [3.5])],
+    }
+    assert [c[0] for c in got[4]] == [1, 2, 2]  # in the order of the list
+    none = retrieval.with_item_vectors(lists, items.where("movie_id = 99")).collect()
+    assert [r["candidates"] for r in none] == [[]] * 4
+
+
+def test_answers_read_their_requests_once(spark):
+    """Scores are stored narrow, so the vectors of requests are not made again to rank them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def limit(k):
+        seen.add(1)
+        return k
+
+    req = requests(spark).withColumn("request_k", limit.asNondeterministic()("request_k"))
+    found = scoring.answer_requests(req, lambda p: p.withColumn("score", F.element_at("movie_embedding", 1)), ["a"])
+    made = seen.value
+    assert found.count() == 9 and made >= 4  # three requests have candidates
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1  # the fallback list; candidates were taken apart before
