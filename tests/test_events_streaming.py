@@ -529,3 +529,69 @@ def test_recent_watches_take_plain_rows(monkeypatch):
     found = list(worker.handleInputRows((7,), iter([row(7, None, 20, 5, 1.0), row(7, 1, 10, 6, 2.0), row(7, 2, 20, 2**60 + 1, None)]), None))
     assert calls == ["get", "put", "update"]
     assert [tuple(r) for r in found] == [(7, 2, 20, 2**60 + 1, None, None, 20), (7, None, 20, 5, 1.0, None, 20)]
+
+
+class Moment:
+    """The watermark and the time of a timer, in milliseconds."""
+
+    def __init__(self, now, fired=None):
+        self.now, self.fired = now, fired
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.fired
+
+
+def test_a_group_of_sessions_costs_one_read_and_one_write():
+    """States equal those of single sessions, a group has one timer, and expired sessions alone leave it."""
+    from pyspark.sql import Row
+
+    from tidewheel.streaming.state import SESSION_FIELDS, SessionGroups, fold_session
+
+    calls = []
+    row = Row("session_id", "event_id", "user_id", "event_type", "at", "watch_duration_seconds")
+    worker = SessionGroups(timedelta(milliseconds=10))
+    worker.init(CountedState(calls))
+
+    def take(*rows):
+        calls.clear()
+        return {r[0]: dict(zip(SESSION_FIELDS, list(r)[1:])) for r in worker.handleInputRows((3,), iter(rows), None)}
+
+    def expire(now, fired):
+        calls.clear()
+        assert list(worker.handleExpiredTimer((3,), Moment(now), Moment(now, fired))) == []
+
+    first = [row(s, i, i, kind, 1000 * i, 1.5) for i, (s, kind) in enumerate([("a", "login"), ("b", "finish"), (None, "login"), ("a", "finish"), ("b", "logout"), ("a", "logout")])]
+    got = take(*first)
+    assert calls == ["get", "update", "registerTimer"]
+    assert got == {s: fold_session(None, [r for r in first if r.session_id == s]) for s in ("a", "b", None)}
+    more = [row("c", 9, 7, "login", 9000, 0.0), row("a", 8, 4, "login", 8000, 0.0)]
+    again = take(*more)  # b is the first to leave, before and after
+    assert calls == ["get", "update"] and set(again) == {"a", "c"}
+    assert again["a"] == fold_session(dict(got["a"]), more[1:]) and again["a"]["login_user"] == 4
+    take(row("c", 10, 7, "logout", 10000, 0.0))
+    assert calls == ["get", "update"]
+    expire(15, 14)  # b goes, c waits until 20
+    assert calls == ["get", "update", "registerTimer"]
+    assert take(row("b", 11, 5, "finish", 15000, 2.0))["b"]["opened_by"] == 11
+    assert take(row("a", 12, 4, "finish", 15000, 2.0))["a"]["event_count"] == 2
+    expire(30, 20)
+    assert calls == ["get", "update"]  # a, b and the missing id are open
+    alone = SessionGroups(timedelta(milliseconds=10))
+    alone.init(CountedState(calls))
+    worker = alone
+    take(row("a", 1, 1, "login", 1000, 0.0), row("a", 2, 1, "logout", 2000, 0.0))
+    expire(13, 12)
+    assert calls == ["get", "clear"]
+
+
+def test_sessions_are_keyed_by_group(spark, tmp_path):
+    """The state has a row per group, so that the calls of a batch are bounded, with the rows of the batch form."""
+    many = [(i, i, 1, f"s{i}", "login", BASE + timedelta(seconds=i), 1.0) for i in range(300)]
+    root = str(tmp_path / "s")
+    seen = one_by_one(spark, tmp_path, [many[:200], many[100:]], lambda stream: jobs.run_sessions(stream, root, groups=7))
+    assert [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in seen][-1] == 7
+    rows = jobs.read_sessions(spark, root).collect()
+    assert sorted(r["session_id"] for r in rows) == sorted(f"s{i}" for i in range(300))
