@@ -444,3 +444,23 @@ def test_answers_read_their_requests_once(spark):
     assert found.count() == 9 and made >= 4  # three requests have candidates
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode") == 1  # the fallback list; candidates were taken apart before
+
+
+def test_few_products_are_formed_in_double(monkeypatch):
+    """Only pairs that may be among the best; a missing number in a block hides no other."""
+    rnd = np.random.default_rng(8)
+    queries, items = rnd.normal(size=(50, 16)), rnd.normal(size=(20_000, 16))
+    items[::4096] = np.nan
+    formed, plain = [], retrieval.Best._products
+
+    def counted(self, mine, matrix, rows, cols):
+        formed.append(len(rows))
+        return plain(self, mine, matrix, rows, cols)
+
+    monkeypatch.setattr(retrieval.Best, "_products", counted)
+    best = retrieval.Best(queries, 10)
+    best.take(np.arange(20_000), items)
+    scores = np.where(np.isnan(items[:, 0]), -np.inf, np.round(queries @ items.T, retrieval.DIGITS))
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :10]
+    assert (best.items == order).all() and np.allclose(best.scores, np.take_along_axis(scores, order, 1), rtol=0, atol=2e-12)
+    assert 500 <= sum(formed) <= 50 * 20_000 // 100
